@@ -219,7 +219,7 @@ def estimate_times(chunk: Column, cleaned: Column, s0: Column, e1: Column,
     its position; times are interpolated linearly over the transcript span
     and clamped to it.  Not found, or a zero span, gives the whole span.
     """
-    pos = F.locate(F.substring(strip_ws(chunk), 1, prefix), cleaned) - 1
+    pos = F.call_function("instr", cleaned, F.substring(strip_ws(chunk), 1, prefix)) - 1
     cps = F.try_divide(F.length(cleaned).cast("double"), e1 - s0)
     start = s0 + F.try_divide(pos.cast("double"), cps)
     end = start + F.try_divide(F.length(chunk).cast("double"), cps)

@@ -1,0 +1,94 @@
+"""End-to-end pipelines: L1 build, L2 re-index, L3 search, L4 URL work list.
+
+Each is one lazy plan per stage.  The build (chunk -> embed -> append) is a
+map-only job: no shuffle between reading transcripts and writing rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import fixed_values as fv
+from tessera.functions import urls as U
+from tessera.operators import chunking, embedding, expansion, search
+from tessera.operators.collections import KnowledgeBase
+from tessera.sources import transcript_md, url_list
+
+
+def build_knowledge_base(transcripts: DataFrame, kb: KnowledgeBase,
+                         collection: str = fv.DEFAULT_COLLECTION, embedder=None,
+                         size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
+    """L1: chunk every transcript, embed the chunks, append them, return stats.
+
+    Empty input or no chunks: nothing is written (the collection is not
+    created) and the stats of the collection as it is are returned.
+    """
+    chunks = chunking.chunk_transcripts(transcripts, size, overlap)
+    vectors = embedding.embed_chunks(chunks, embedder)
+    kb.append(vectors, collection)
+    return kb.stats(collection)
+
+
+def build_by_column(transcripts: DataFrame, kb: KnowledgeBase, collection_col: str,
+                    embedder=None, size: int = fv.CHUNK_SIZE,
+                    overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
+    """L1 for many collections at once: the collection name is a column."""
+    chunks = chunking.chunk_transcripts(transcripts, size, overlap)
+    if collection_col not in chunks.columns:
+        keys = transcripts.select("transcript_id", collection_col)
+        chunks = chunks.join(keys, "transcript_id")
+    vectors = embedding.embed_chunks(chunks, embedder)
+    kb.append_by_column(vectors, collection_col)
+    return kb.list()
+
+
+def reindex_transcripts(spark: SparkSession, directory: str, kb: KnowledgeBase,
+                        collection: str = fv.DEFAULT_COLLECTION, embedder=None) -> DataFrame:
+    """L2: saved transcript documents -> knowledge base."""
+    t = transcript_md.load_transcripts(spark, directory)
+    t = t.withColumn("total_duration", F.col("duration"))
+    return build_knowledge_base(t, kb, collection, embedder)
+
+
+def search_knowledge_base(kb: KnowledgeBase, query_text: str, k: int = fv.DEFAULT_TOP_K,
+                          collection: str = fv.DEFAULT_COLLECTION, embedder=None,
+                          metric: str = "l2", preview: int = 300) -> DataFrame:
+    """L3: embed the query with the collection's embedder, top-k, report lines.
+
+    The query vector is a scalar subquery, computed once by the engine.
+    """
+    spark = kb.spark
+    q = embedding.embed_text(spark, query_text, embedder).select("embedding").scalar()
+    hits = search.knn_topk(kb.rows(collection), q, k, metric, id_col="id")
+    return search.report(hits, preview).select(
+        "rank", "score", "distance", "text", "start_time", "end_time", "source_file",
+        search.strip_metadata(F.coalesce("extra", F.create_map().cast("map<string,string>"))).alias("metadata"),
+        "report")
+
+
+def url_work_list(spark: SparkSession, list_paths: list[str], cli_urls: DataFrame | None,
+                  catalogue: DataFrame, limit: int = fv.DEFAULT_CHANNEL_LIMIT) -> DataFrame:
+    """L4: URL files then CLI URLs -> route/expand -> strict host check.
+
+    Output ``(list_ord, url_ord, sub_ord, url, kind, status)`` with status
+    'valid' or 'invalid' (the strict check of the extractor).
+    """
+    lists = []
+    for i, path in enumerate(list_paths):
+        f = url_list.read_url_list(spark, path)
+        lists.append(f.select(F.lit(i).alias("list_ord"),
+                              F.struct("source_file", "block_start", "line_id").alias("url_ord"), "url"))
+    if cli_urls is not None:
+        lists.append(cli_urls.select(F.lit(len(list_paths)).alias("list_ord"),
+                                     F.struct(F.lit("").alias("source_file"),
+                                              F.lit(0).cast("bigint").alias("block_start"),
+                                              F.col("url_ord").cast("bigint").alias("line_id")).alias("url_ord"),
+                                     "url"))
+    allu = lists[0]
+    for other in lists[1:]:
+        allu = allu.unionByName(other)
+    keyed = allu.withColumn("url_ord", F.struct("list_ord", "url_ord"))
+    routed = expansion.route(keyed.select("url_ord", "url"), catalogue, limit)
+    status = F.when(U.supported_host(F.col("url")), F.lit("valid")).otherwise(F.lit("invalid"))
+    return routed.withColumn("status", status)
