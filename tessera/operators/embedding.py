@@ -51,7 +51,9 @@ class ArrowEmbedder:
 
     def embed(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
         factory, batch_size = self.factory, self.batch_size
-        schema = df.schema.add(out_col, "array<double>")
+        from pyspark.sql.types import ArrayType, DoubleType, StructType
+
+        schema = StructType(list(df.schema.fields)).add(out_col, ArrayType(DoubleType()))
         position = len(df.columns)
 
         def run(batches):
