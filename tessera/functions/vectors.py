@@ -119,7 +119,7 @@ def hash_embedding(text: Column | str, dim: int = DEFAULT_HASH_DIM) -> Column:
     position and the next distinct bucket's first position.
     """
     buckets = F.sort_array(F.transform(tokens(text), lambda w: token_bucket(w, dim)))
-    return let(buckets, lambda bs: _normalize_bound(_dense_counts(bs, dim)))
+    return let(buckets, lambda bs: let(_dense_counts(bs, dim), _normalize_bound))
 
 
 def _dense_counts(buckets: Column, dim: int) -> Column:
@@ -136,3 +136,17 @@ def _dense_counts(buckets: Column, dim: int) -> Column:
                        lambda d: F.coalesce(F.try_element_at(by_bucket, d), F.lit(0.0))))
 
     return let(F.array_distinct(buckets), from_distinct)
+
+
+def explode_array(df, array_col, pos_name: str, value_name: str, *keep):
+    """``posexplode`` of a computed array without an inferred pre-filter.
+
+    A plain ``posexplode`` makes the optimiser add ``size(array) > 0`` below
+    the generator, which can be pushed under a repartition and evaluates the
+    whole array expression a second time; the outer form adds no filter, and
+    the empty-array row it emits is dropped here.
+    """
+    cols = list(keep) if keep else [c for c in df.columns if c != array_col]
+    out = df.select(*cols, F.posexplode_outer(array_col).alias(pos_name, value_name))
+    return out.where(F.col(pos_name).isNotNull())
+

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fixed_values as fv
 from tessera.functions.text import WS_CLASS, doc_clean
-from tessera.functions.vectors import let
+from tessera.functions.vectors import explode_array, let
 
 # Marks split points for separators longer than one character (so that
 # matches are taken left to right without overlap, as a regex split does).
@@ -211,22 +211,35 @@ def min_chunk_size(size: int) -> int:
     return max(100, size // 10)
 
 
+def chars_per_second(cleaned: Column, s0: Column, e1: Column) -> Column:
+    """Characters of cleaned text per second of the transcript span; NULL for a zero span."""
+    return F.try_divide(F.length(cleaned).cast("double"), e1 - s0)
+
+
 def estimate_times(chunk: Column, cleaned: Column, s0: Column, e1: Column,
-                   prefix: int = fv.TIME_MATCH_PREFIX) -> Column:
+                   prefix: int = fv.TIME_MATCH_PREFIX, cps: Column | None = None) -> Column:
     """(start, end) of a chunk by its character position in the text.
 
     The first occurrence of the chunk's first ``prefix`` characters gives
     its position; times are interpolated linearly over the transcript span
     and clamped to it.  Not found, or a zero span, gives the whole span.
+    ``cps`` may be passed in when it is already bound for the transcript.
+    Each intermediate value is bound once (no re-evaluation inside lambdas).
     """
+    cps = chars_per_second(cleaned, s0, e1) if cps is None else cps
     pos = F.call_function("instr", cleaned, F.substring(strip_ws(chunk), 1, prefix)) - 1
-    cps = F.try_divide(F.length(cleaned).cast("double"), e1 - s0)
-    start = s0 + F.try_divide(pos.cast("double"), cps)
-    end = start + F.try_divide(F.length(chunk).cast("double"), cps)
-    ok = (pos >= 0) & start.isNotNull() & end.isNotNull()
-    return F.struct(
-        F.when(ok, F.greatest(s0, start)).otherwise(s0).alias("start_time"),
-        F.when(ok, F.least(e1, end)).otherwise(e1).alias("end_time"))
+
+    def from_pos(p: Column) -> Column:
+        def from_start(st: Column) -> Column:
+            def from_end(en: Column) -> Column:
+                ok = (p >= 0) & st.isNotNull() & en.isNotNull()
+                return F.struct(
+                    F.when(ok, F.greatest(s0, st)).otherwise(s0).alias("start_time"),
+                    F.when(ok, F.least(e1, en)).otherwise(e1).alias("end_time"))
+            return let(st + F.try_divide(F.length(chunk).cast("double"), cps), from_end)
+        return let(s0 + F.try_divide(p.cast("double"), cps), from_start)
+
+    return let(pos, from_pos)
 
 
 def chunk_transcripts(transcripts: DataFrame, size: int = fv.CHUNK_SIZE,
@@ -247,14 +260,14 @@ def chunk_transcripts(transcripts: DataFrame, size: int = fv.CHUNK_SIZE,
          .withColumn("cleaned", doc_clean("full_text", fillers)))
     cleaned, s0, e1 = F.col("cleaned"), F.col("first_start"), F.col("last_end")
     t = with_chunks(t, "cleaned", "_chunks", size, overlap, separators)
-    timed = F.transform(F.col("_chunks"), lambda c: F.struct(
-        c.alias("text"), estimate_times(c, cleaned, s0, e1).alias("t")))
+    timed = let(chars_per_second(cleaned, s0, e1), lambda cps: F.transform(F.col("_chunks"), lambda c: F.struct(
+        c.alias("text"), estimate_times(c, cleaned, s0, e1, cps=cps).alias("t"))))
     whole = F.array(F.struct(cleaned.alias("text"),
                              F.struct(s0.alias("start_time"), e1.alias("end_time")).alias("t")))
     short = F.length(cleaned) < F.lit(min_size)
     chunks = F.when(short, whole).otherwise(timed)
-    exploded = t.select("*", short.alias("_short"),
-                        F.posexplode(chunks).alias("chunk_index", "_c")).drop("cleaned", "_chunks")
+    staged = t.select("*", short.alias("_short"), chunks.alias("_arr")).drop("cleaned", "_chunks")
+    exploded = explode_array(staged, "_arr", "chunk_index", "_c")
     kept = exploded.where(F.col("_short")                                 # P7
                           | (F.length(strip_ws(F.col("_c.text"))) >= F.lit(min_size)))
     return kept.select(

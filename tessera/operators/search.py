@@ -57,13 +57,19 @@ def knn_topk(vectors: DataFrame, query: Column, k: int = fv.DEFAULT_TOP_K, metri
     return top.withColumn("rank", rank).withColumn("score", distance_to_score("distance"))
 
 
-def _partial_topk_fn(qids, qmat_bc, k, metric, id_col, vec_col, round_digits):
+def _partial_topk_fn(qids, qmat_bc, k, metric, id_col, vec_col, round_digits, payload=()):
+    """Per task: scan all Arrow batches, keep a running top-k per query, emit once.
+
+    A task therefore emits at most ``queries x k`` rows however many rows it
+    reads, so the final per-query window sees ``tasks x k`` rows.
+    """
     def run(batches):
         import numpy as np
         import pandas as pd
 
         q = qmat_bc.value
         qn = (q * q).sum(axis=1)
+        best = [None] * len(qids)          # per query: DataFrame of current best rows
         for pdf in batches:
             pdf = pdf[pdf[vec_col].notna()]
             if pdf.empty:
@@ -74,8 +80,7 @@ def _partial_topk_fn(qids, qmat_bc, k, metric, id_col, vec_col, round_digits):
             ids = pdf[id_col].to_numpy()
             g = x @ q.T                                   # (n, Q)
             if metric == "l2":
-                d = (x * x).sum(axis=1)[:, None] - 2.0 * g + qn[None, :]
-                d = np.maximum(d, 0.0)
+                d = np.maximum((x * x).sum(axis=1)[:, None] - 2.0 * g + qn[None, :], 0.0)
             elif metric == "cosine":
                 xn = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt(qn)[None, :]
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -83,24 +88,29 @@ def _partial_topk_fn(qids, qmat_bc, k, metric, id_col, vec_col, round_digits):
             else:
                 d = 1.0 - g
             key = np.round(d, round_digits) if round_digits is not None else d
-            out_q, out_id, out_d = [], [], []
             take = min(k, len(ids))
-            for j, qid in enumerate(qids):
+            for j in range(len(qids)):
                 col = key[:, j]
-                ok = np.isfinite(col)
-                if not ok.any():
+                cand = np.nonzero(np.isfinite(col))[0]
+                if len(cand) == 0:
                     continue
-                cand = np.nonzero(ok)[0]
                 if len(cand) > take:
                     kth = np.partition(col[cand], take - 1)[take - 1]
                     cand = cand[col[cand] <= kth]          # keeps ties at the cut
-                order = np.lexsort((ids[cand], col[cand]))[:take]
-                sel = cand[order]
-                out_q.extend([qid] * len(sel))
-                out_id.extend(ids[sel].tolist())
-                out_d.extend(key[sel, j].tolist())
-            if out_q:
-                yield pd.DataFrame({"query_id": out_q, id_col: out_id, "distance": out_d})
+                part = pd.DataFrame({id_col: ids[cand], "distance": col[cand]})
+                for c in payload:
+                    part[c] = pdf[c].iloc[cand].to_numpy()
+                merged = part if best[j] is None else pd.concat([best[j], part], ignore_index=True)
+                order = np.lexsort((merged[id_col].to_numpy(), merged["distance"].to_numpy()))[:k]
+                best[j] = merged.iloc[order].reset_index(drop=True)
+        frames = []
+        for j, qid in enumerate(qids):
+            if best[j] is not None and len(best[j]):
+                f = best[j].copy()
+                f.insert(0, "query_id", qid)
+                frames.append(f)
+        if frames:
+            yield pd.concat(frames, ignore_index=True)[["query_id", id_col, "distance", *payload]]
     return run
 
 
@@ -117,8 +127,14 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = fv.DEFAULT_TOP_K,
               metric: str = "l2", id_col: str = "id", vec_col: str = "embedding",
               qid_col: str = "query_id", qvec_col: str = "qv",
               round_digits: int | None = None, dim_hint: int | None = None,
-              max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """T2, many queries: ``(query_id, id, distance, rank)`` for the k nearest per query."""
+              max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+              payload: list[str] | tuple = ()) -> DataFrame:
+    """T2, many queries: ``(query_id, id, distance, rank, *payload)``, k nearest per query.
+
+    ``payload`` columns of the vectors travel with the few selected rows, so
+    the caller does not need to join the result back to the vectors (which
+    would compute them a second time).
+    """
     spark = vectors.sparkSession
     id_type = dict(vectors.dtypes)[id_col]
     qid_type = dict(queries.dtypes)[qid_col]
@@ -126,6 +142,13 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = fv.DEFAULT_TOP_K,
     n_q, dim = int(stats["n"] or 0), int(stats["dim"] or dim_hint or 1)
     per_block = max(1, max_broadcast_bytes // (8 * max(dim, 1)))
     n_blocks = max(1, math.ceil(n_q / per_block))
+    if n_blocks > 1:
+        # every block scans the vectors again: materialise them once
+        # (reliable checkpoint in the shared spark.checkpoint.dir)
+        from tessera.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(spark)
+        vectors = vectors.select(id_col, vec_col, *payload).checkpoint(eager=True)
     partial = None
     for b in range(n_blocks):
         block = queries if n_blocks == 1 else queries.where(
@@ -133,12 +156,15 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = fv.DEFAULT_TOP_K,
         qids, bc = _query_block(spark, block, qid_col, qvec_col)
         if not qids:
             continue
-        fn = _partial_topk_fn(qids, bc, k, metric, id_col, vec_col, round_digits)
-        part = vectors.select(id_col, vec_col).mapInPandas(
-            fn, f"query_id {qid_type}, {id_col} {id_type}, distance double")
+        fn = _partial_topk_fn(qids, bc, k, metric, id_col, vec_col, round_digits, tuple(payload))
+        extra = "".join(f", {c} {dict(vectors.dtypes)[c]}" for c in payload)
+        part = vectors.select(id_col, vec_col, *payload).mapInPandas(
+            fn, f"query_id {qid_type}, {id_col} {id_type}, distance double{extra}")
         partial = part if partial is None else partial.unionByName(part)
     if partial is None:
-        return spark.createDataFrame([], f"query_id {qid_type}, {id_col} {id_type}, distance double, rank int")
+        extra = "".join(f", {c} {dict(vectors.dtypes)[c]}" for c in payload)
+        return spark.createDataFrame(
+            [], f"query_id {qid_type}, {id_col} {id_type}, distance double{extra}, rank int")
     w = Window.partitionBy("query_id").orderBy(F.col("distance"), F.col(id_col))
     ranked = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.withColumnRenamed("query_id", qid_col) if qid_col != "query_id" else ranked

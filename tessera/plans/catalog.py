@@ -162,7 +162,7 @@ def q_l2_normalize(spark, sf):
     e = tables.load(spark, sf, "embeddings")
     scaled = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * (F.col("label") + 1))
     out = e.select("vec_id", V.l2_normalize(scaled).alias("v"))
-    return out.select("vec_id", F.posexplode("v").alias("pos", "value")).select(
+    return V.explode_array(out, "v", "pos", "value").select(
         "vec_id", F.col("pos").cast("int").alias("pos"), r6(F.col("value")).alias("value"))
 
 
@@ -278,8 +278,8 @@ def q_transcript_bounds(spark, sf):
 @register("embed_hash", f"""SELECT id AS doc_id, CAST(bucket AS INTEGER) AS bucket, round(weight, {DIGITS}) AS weight
     FROM {O.sparse_hash_embedding('documents', 'doc_id', 'text')}""")
 def q_embed_hash(spark, sf):
-    d = embedding.embed(tables.documents(spark, sf), "text", "e")
-    return d.select("doc_id", F.posexplode("e").alias("bucket", "weight")).where(F.col("weight") > 0).select(
+    d = embedding.embed(tables.documents(spark, sf), "text", "e").select("doc_id", "e")
+    return V.explode_array(d, "e", "bucket", "weight").where(F.col("weight") > 0).select(
         "doc_id", F.col("bucket").cast("int").alias("bucket"), r6(F.col("weight")).alias("weight"))
 
 
@@ -569,7 +569,8 @@ def q_transcript_md_parse(spark, sf):
 def q_md_segments(spark, sf):
     docs = transcript_md.read_documents(spark, _written_docs(spark, sf))
     tid = F.regexp_extract("file_path", r"transcript_(\d+)\.md$", 1).cast("bigint")
-    seg = docs.select(tid.alias("transcript_id"), F.explode(transcript_md.parse_segments(F.col("content"))).alias("s"))
+    parsed = docs.select(tid.alias("transcript_id"), transcript_md.parse_segments(F.col("content")).alias("segs"))
+    seg = V.explode_array(parsed, "segs", "_i", "s")
     return seg.select("transcript_id", "s.seg_idx", "s.text", "s.start_time", "s.end_time")
 
 
@@ -704,7 +705,7 @@ def q_kb_search(spark, sf):
         "embedding", "text", "start_time", "end_time", "source_file")
     bench = embedding.embed(tables.load(spark, sf, "benchmark"), "text", "qv").select(
         F.col("item_id").alias("query_id"), "qv")
-    hits = search.knn_batch(vec.select("id", "embedding"), bench, fv.DEFAULT_TOP_K, "l2", round_digits=DIGITS)
-    j = hits.join(vec.drop("embedding"), "id")
-    rep = search.report(search.with_scores(j), 300)
+    hits = search.knn_batch(vec, bench, fv.DEFAULT_TOP_K, "l2", round_digits=DIGITS,
+                            payload=["text", "start_time", "end_time", "source_file"])
+    rep = search.report(search.with_scores(hits), 300)
     return rep.select("query_id", "rank", "id", "distance", r6(F.col("score")).alias("score"), "report")
