@@ -2,9 +2,10 @@
 
 Layout under a root path (on shared storage):
 
-* ``rows/collection=<name>/``: chunk rows (with or without vectors), parquet,
-  partitioned by collection so that stats, search and drop prune to one
-  collection.
+* ``rows/collection=<name>/batch=<id>/``: chunk rows (with or without
+  vectors), parquet, partitioned by collection so that stats, search and
+  drop prune to one collection, and by write batch so that a replayed
+  streaming micro-batch overwrites exactly its own output.
 * ``registry/``: append-only log ``(name, description, op, seq)``; the state
   of a name is its latest event ('create' or 'drop').
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed_values as fv
@@ -138,7 +139,7 @@ class KnowledgeBase:
 
     # ---- rows ---------------------------------------------------------------------
     def all_rows(self) -> DataFrame:
-        schema = ", ".join(f"{c} {t}" for c, t in ROW_COLUMNS) + ", collection string"
+        schema = ", ".join(f"{c} {t}" for c, t in ROW_COLUMNS) + ", collection string, batch string"
         if not path_exists(self.spark, self.rows_path):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.rows_path)
@@ -158,8 +159,20 @@ class KnowledgeBase:
             return
         self.create(name)
         run = uuid.uuid4().hex
-        rows = to_rows(items, run, F.lit(name).alias("collection"))
-        rows.write.mode("append").partitionBy("collection").parquet(self.rows_path)
+        rows = to_rows(items, run, F.lit(name).alias("collection"), F.lit(run).alias("batch"))
+        rows.write.mode("append").partitionBy("collection", "batch").parquet(self.rows_path)
+
+    def write_batch(self, items: DataFrame, name: str, batch_id: str) -> None:
+        """Idempotent append: rows of ``batch_id`` replace any earlier write of it.
+
+        Ids derive from the batch id, and only the ``(collection, batch)``
+        partition is overwritten, so re-running a batch (a retried
+        streaming micro-batch) leaves exactly one copy.
+        """
+        self.create(name)
+        rows = to_rows(items, batch_id, F.lit(name).alias("collection"), F.lit(batch_id).alias("batch"))
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("collection", "batch").parquet(self.rows_path))
 
     def append_by_column(self, items: DataFrame, collection_col: str) -> None:
         """S7 where each row names its collection; absent collections are created."""
@@ -168,8 +181,8 @@ class KnowledgeBase:
         self.create_many(items.select(F.col(collection_col).alias("name"),
                                       F.lit(None).cast("string").alias("description")).distinct())
         run = uuid.uuid4().hex
-        rows = to_rows(items, run, F.col(collection_col).alias("collection"))
-        rows.write.mode("append").partitionBy("collection").parquet(self.rows_path)
+        rows = to_rows(items, run, F.col(collection_col).alias("collection"), F.lit(run).alias("batch"))
+        rows.write.mode("append").partitionBy("collection", "batch").parquet(self.rows_path)
 
     def stats(self, name: str = fv.DEFAULT_COLLECTION) -> DataFrame:
         """A5: ``(name, document_count, db_path)``."""
@@ -224,8 +237,3 @@ def to_rows(items: DataFrame, run_id: str, *extra_cols) -> DataFrame:
 def chunk_counts(chunks: DataFrame) -> DataFrame:
     """Chunks per transcript plus a total row (transcript_id NULL)."""
     return chunks.rollup("transcript_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-
-
-def collection_window_rank(rows: DataFrame) -> DataFrame:
-    w = Window.partitionBy("collection").orderBy("id")
-    return rows.withColumn("row_in_collection", F.row_number().over(w))
