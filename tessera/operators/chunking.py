@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from tessera.functions import fixed_values as fv
 from tessera.functions.text import WS_CLASS, doc_clean
 from tessera.functions.vectors import explode_array, let
+from tessera.session import memo_column
 
 # Marks split points for separators longer than one character (so that
 # matches are taken left to right without overlap, as a regex split does).
@@ -123,8 +124,11 @@ def with_pieces(df: DataFrame, text: str, out: str, size: int = fv.CHUNK_SIZE,
     time; a level reads the previous column several times, so the optimiser
     keeps the projections apart instead of inlining one into the next.
     """
+    spark = df.sparkSession
     df = df.withColumn(out, _initial_pieces(F.col(text)))
-    level = _refine(F.col(out), size, separators)  # built once, applied per level
+    # built once per session, applied per level
+    level = memo_column(spark, ("refine", out, size, tuple(separators)),
+                        lambda: _refine(F.col(out), size, separators))
     for _ in range(len(separators)):
         df = df.withColumn(out, level)
     return df
@@ -195,11 +199,18 @@ def with_chunks(df: DataFrame, text: str, out: str, size: int = fv.CHUNK_SIZE,
         raise ValueError("overlap must be smaller than size")
     pieces = f"_{out}_pieces"
     spans = f"_{out}_spans"
+    spark = df.sparkSession
     df = with_pieces(df, text, pieces, size, separators)
-    df = df.withColumn(spans, _pack(F.col(pieces), size, overlap)).drop(pieces)
-    t = F.col(text)
-    texts = F.transform(F.col(spans), lambda c: strip_ws(F.substring(t, c["off"] + 1, c["len"])))
-    return df.withColumn(out, F.filter(texts, lambda x: x != F.lit(""))).drop(spans)
+    pack = memo_column(spark, ("pack", pieces, size, overlap),
+                       lambda: _pack(F.col(pieces), size, overlap))
+    df = df.withColumn(spans, pack).drop(pieces)
+
+    def cut() -> Column:
+        t = F.col(text)
+        texts = F.transform(F.col(spans), lambda c: strip_ws(F.substring(t, c["off"] + 1, c["len"])))
+        return F.filter(texts, lambda x: x != F.lit(""))
+
+    return df.withColumn(out, memo_column(spark, ("cut", text, spans), cut)).drop(spans)
 
 
 def guarded_overlap(size: int, overlap: int) -> int:

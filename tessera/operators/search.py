@@ -114,8 +114,7 @@ def _partial_topk_fn(qids, qmat_bc, k, metric, id_col, vec_col, round_digits, pa
     return run
 
 
-def _query_block(spark: SparkSession, queries: DataFrame, qid_col: str, qvec_col: str):
-    rows = queries.select(qid_col, qvec_col).where(F.col(qvec_col).isNotNull()).collect()
+def _as_block(spark: SparkSession, rows):
     import numpy as np
 
     qids = [r[0] for r in rows]
@@ -126,11 +125,15 @@ def _query_block(spark: SparkSession, queries: DataFrame, qid_col: str, qvec_col
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = fv.DEFAULT_TOP_K,
               metric: str = "l2", id_col: str = "id", vec_col: str = "embedding",
               qid_col: str = "query_id", qvec_col: str = "qv",
-              round_digits: int | None = None, dim_hint: int | None = None,
+              round_digits: int | None = None, dim_hint: int = 1024,
               max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
               payload: list[str] | tuple = ()) -> DataFrame:
     """T2, many queries: ``(query_id, id, distance, rank, *payload)``, k nearest per query.
 
+    The queries are read with a bounded ``limit``: at most as many rows as fit
+    the broadcast bound at ``dim_hint`` dimensions.  When the bound is
+    reached, the query set is split into hash blocks that each fit, and the
+    vectors are checkpointed once so that the blocks do not recompute them.
     ``payload`` columns of the vectors travel with the few selected rows, so
     the caller does not need to join the result back to the vectors (which
     would compute them a second time).
@@ -138,33 +141,36 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = fv.DEFAULT_TOP_K,
     spark = vectors.sparkSession
     id_type = dict(vectors.dtypes)[id_col]
     qid_type = dict(queries.dtypes)[qid_col]
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("dim")).first()
-    n_q, dim = int(stats["n"] or 0), int(stats["dim"] or dim_hint or 1)
-    per_block = max(1, max_broadcast_bytes // (8 * max(dim, 1)))
-    n_blocks = max(1, math.ceil(n_q / per_block))
-    if n_blocks > 1:
-        # every block scans the vectors again: materialise them once
-        # (reliable checkpoint in the shared spark.checkpoint.dir)
+    extra = "".join(f", {c} {dict(vectors.dtypes)[c]}" for c in payload)
+    out_schema = f"query_id {qid_type}, {id_col} {id_type}, distance double{extra}"
+    live = queries.select(qid_col, qvec_col).where(F.col(qvec_col).isNotNull())
+    cap = max(1, max_broadcast_bytes // (8 * max(dim_hint, 1)))
+    rows = live.limit(cap + 1).collect()
+    dim = max((len(r[1]) for r in rows), default=1)
+    if len(rows) <= cap and len(rows) * dim * 8 <= max_broadcast_bytes:
+        blocks = [rows]
+    else:
+        stats = live.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("d")).first()
+        per_block = max(1, max_broadcast_bytes // (8 * max(int(stats["d"] or 1), 1)))
+        n_blocks = max(1, math.ceil(int(stats["n"]) / per_block))
         from tessera.session import ensure_checkpoint_dir
 
         ensure_checkpoint_dir(spark)
+        # every block scans the vectors again: materialise them once
+        # (reliable checkpoint in the shared spark.checkpoint.dir)
         vectors = vectors.select(id_col, vec_col, *payload).checkpoint(eager=True)
+        blocks = [live.where(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_blocks)) == F.lit(b)).collect()
+                  for b in range(n_blocks)]
     partial = None
-    for b in range(n_blocks):
-        block = queries if n_blocks == 1 else queries.where(
-            F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_blocks)) == F.lit(b))
-        qids, bc = _query_block(spark, block, qid_col, qvec_col)
-        if not qids:
+    for block in blocks:
+        if not block:
             continue
+        qids, bc = _as_block(spark, block)
         fn = _partial_topk_fn(qids, bc, k, metric, id_col, vec_col, round_digits, tuple(payload))
-        extra = "".join(f", {c} {dict(vectors.dtypes)[c]}" for c in payload)
-        part = vectors.select(id_col, vec_col, *payload).mapInPandas(
-            fn, f"query_id {qid_type}, {id_col} {id_type}, distance double{extra}")
+        part = vectors.select(id_col, vec_col, *payload).mapInPandas(fn, out_schema)
         partial = part if partial is None else partial.unionByName(part)
     if partial is None:
-        extra = "".join(f", {c} {dict(vectors.dtypes)[c]}" for c in payload)
-        return spark.createDataFrame(
-            [], f"query_id {qid_type}, {id_col} {id_type}, distance double{extra}, rank int")
+        return spark.createDataFrame([], out_schema + ", rank int")
     w = Window.partitionBy("query_id").orderBy(F.col("distance"), F.col(id_col))
     ranked = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.withColumnRenamed("query_id", qid_col) if qid_col != "query_id" else ranked
@@ -227,5 +233,8 @@ def with_scores(results: DataFrame) -> DataFrame:
 
 def report(results: DataFrame, preview: int = 300) -> DataFrame:
     """F22 + T5: one printable block per result, ranks from 1."""
-    return results.withColumn("report", result_lines(
+    from tessera.session import memo_column
+
+    lines = memo_column(results.sparkSession, ("report", preview), lambda: result_lines(
         "rank", "score", "text", "start_time", "end_time", "source_file", preview))
+    return results.withColumn("report", lines)

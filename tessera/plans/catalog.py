@@ -259,6 +259,38 @@ def q_chunk_counts(spark, sf):
     return chunk_counts(chunking.chunk_transcripts(tables.document_transcripts(spark, sf)))
 
 
+def _windows_sql() -> str:
+    clean = O.doc_clean("text")
+    strip = f"regexp_replace(w, {O.q('^' + O.WS_CLASS + '+|' + O.WS_CLASS + '+$')}, '', 'g')"
+    return f"""
+    WITH c AS (SELECT doc_id, {clean} AS cleaned, 0.0::DOUBLE AS s0, n_chars / 15.0::DOUBLE AS e1 FROM documents),
+    w AS (SELECT doc_id, cleaned, s0, e1, CAST(i AS INTEGER) AS i, substr(cleaned, 1 + 700 * i, 1000) AS w
+          FROM c, range(0, CAST(ceil(length(cleaned) / 700.0) AS BIGINT)) r(i)),
+    p AS (SELECT *, instr(cleaned, substr({strip}, 1, 50)) - 1 AS pos,
+                 length(cleaned) / (e1 - s0) AS cps FROM w),
+    t AS (SELECT *, s0 + pos / cps AS st FROM p),
+    u AS (SELECT *, st + length(w) / cps AS en FROM t)
+    SELECT doc_id, i, round(CASE WHEN pos >= 0 AND e1 <> s0 THEN greatest(s0, st) ELSE s0 END, {DIGITS}) AS start_time,
+           round(CASE WHEN pos >= 0 AND e1 <> s0 THEN least(e1, en) ELSE e1 END, {DIGITS}) AS end_time
+    FROM u"""
+
+
+@register("chunk_timestamps", _windows_sql())
+def q_chunk_timestamps(spark, sf):
+    """F19 on every document: fixed 1000-character windows every 700 characters
+    (covering the whole cleaned text) located and timed like chunks."""
+    d = tables.document_transcripts(spark, sf).withColumn("cleaned", T.doc_clean("full_text"))
+    n = F.ceil(F.length("cleaned") / F.lit(700.0)).cast("int")
+    starts = F.sequence(F.lit(0), n - 1)
+    wins = d.select("transcript_id", "cleaned", "first_start", "last_end",
+                    F.when(n > 0, starts).otherwise(F.array().cast("array<int>")).alias("_w"))
+    ex = V.explode_array(wins, "_w", "_p", "i")
+    ex = ex.withColumn("w", F.substring("cleaned", F.col("i") * 700 + 1, 1000))
+    t = chunking.estimate_times(F.col("w"), F.col("cleaned"), F.col("first_start"), F.col("last_end"))
+    return ex.select(F.col("transcript_id").alias("doc_id"), F.col("i").cast("int").alias("i"),
+                     r6(t["start_time"]).alias("start_time"), r6(t["end_time"]).alias("end_time"))
+
+
 _ASSEMBLED = f"""(SELECT transcript_id, string_agg(t, ' ' ORDER BY seg_idx) AS full_text,
         count(*) AS n_segments, arg_min(start_time, seg_idx) AS first_start, arg_max(end_time, seg_idx) AS last_end
    FROM (SELECT *, {O.segment_clean('text')} AS t FROM {O.SEGMENTS}) WHERE t <> '' GROUP BY transcript_id)"""

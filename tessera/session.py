@@ -40,6 +40,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -61,6 +62,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable on executors (cluster mode), once per context.
+
+    Python tasks (``mapInPandas`` closures) import helpers from the package;
+    on a cluster the package is zipped into the shared checkpoint folder and
+    added with ``addPyFile``.  Local masters share the driver's path.
+    """
+    sc = spark.sparkContext
+    if sc.master.startswith("local") or getattr(sc, "_tessera_shipped", False):
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    stage = tempfile.mkdtemp(prefix="tessera-pkg-")
+    archive = shutil.make_archive(os.path.join(stage, "tessera"), "zip",
+                                  os.path.dirname(pkg_dir), "tessera")
+    target = scratch_path(spark, "pyfiles") + "/tessera.zip"
+    jvm = sc._jvm
+    dst = jvm.org.apache.hadoop.fs.Path(target)
+    fs = dst.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path("file://" + archive), dst)
+    sc.addPyFile(target)
+    sc._tessera_shipped = True
+
+
+def memo_column(spark: SparkSession, key: tuple, build):
+    """Build a Column expression once per SparkContext and reuse it.
+
+    Large expressions (the chunker levels, the cleaner) cost thousands of
+    py4j calls to build; they refer to columns by name, so one object
+    serves every DataFrame of the session.
+    """
+    sc = spark.sparkContext
+    cache = getattr(sc, "_tessera_columns", None)
+    if cache is None:
+        cache = {}
+        sc._tessera_columns = cache
+    if key not in cache:
+        cache[key] = build()
+    return cache[key]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -123,3 +123,25 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert {"query_id", "rank", "report"} <= set(df.columns)
+
+
+def test_write_batch_is_idempotent(spark):
+    kb = KnowledgeBase(spark, scratch_path(spark, "kbbatch"))
+    items = _items(spark)
+    kb.write_batch(items, "c", "b-1")
+    ids1 = sorted(r.id for r in kb.rows("c").collect())
+    kb.write_batch(items, "c", "b-1")          # replay of the same batch
+    ids2 = sorted(r.id for r in kb.rows("c").collect())
+    assert ids1 == ids2 and len(ids1) == 2
+    kb.write_batch(items, "c", "b-2")
+    assert kb.rows("c").count() == 4
+
+
+def test_file_names_unique_on_duplicate_urls(spark):
+    df = spark.createDataFrame([(1, "https://x/1"), (2, "https://x/1"), (3, None), (4, "https://x/2")],
+                               "transcript_id long, source_url string")
+    names = {r.transcript_id: r.file_name for r in transcript_md.file_names(df, F.lit("TS")).collect()}
+    assert len(set(names.values())) == 4
+    assert names[3] == "transcript_TS_003.md"
+    assert names[4].startswith("transcript_TS_") and names[4].count("_") == 2   # unique URL: no suffix
+    assert names[1].count("_") == 3 and names[2].count("_") == 3                # duplicates: suffixed
