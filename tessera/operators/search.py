@@ -45,14 +45,17 @@ def knn_topk(vectors: DataFrame, query: Column, k: int = fv.DEFAULT_TOP_K, metri
     """T2, one query: the k rows nearest to ``query`` (a scalar array column)."""
     # The query is bound to a column first: a scalar subquery may not sit
     # inside the higher-order functions of the distance expression.
+    # Rows without a distance (no vector, other dimension) sort last and are
+    # dropped after the limit: filtering them first would make the optimiser
+    # push the whole distance expression into a filter and compute it twice.
     scored = (vectors.where(F.col(vec_col).isNotNull())
               .withColumn("_query", query)
               .withColumn("distance", vdistance(F.col(vec_col), F.col("_query"), metric))
-              .drop("_query")
-              .where(F.col("distance").isNotNull()))
+              .drop("_query"))
     if round_digits is not None:
         scored = scored.withColumn("distance", F.round("distance", round_digits))
-    top = scored.orderBy(F.col("distance"), F.col(id_col)).limit(k)
+    top = (scored.orderBy(F.col("distance").asc_nulls_last(), F.col(id_col)).limit(k)
+           .where(F.col("distance").isNotNull()))
     rank = F.row_number().over(Window.orderBy(F.col("distance"), F.col(id_col)))
     return top.withColumn("rank", rank).withColumn("score", distance_to_score("distance"))
 

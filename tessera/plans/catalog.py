@@ -345,15 +345,14 @@ def q_cache_misses(spark, sf):
     return fresh.select("text_key")
 
 
-@register("cache_lookup", f"""SELECT d.doc_id, round(sqrt(sum(e.weight * e.weight)), {DIGITS}) AS norm,
-        count(*) AS nonzero
-    FROM documents d JOIN {O.sparse_hash_embedding('documents', 'doc_id', 'text')} e ON e.id = d.doc_id
+@register("cache_lookup", f"""SELECT d.doc_id, round(coalesce(sqrt(sum(e.weight * e.weight)), 0.0), {DIGITS}) AS norm,
+        count(e.id) AS nonzero
+    FROM documents d LEFT JOIN {O.sparse_hash_embedding('documents', 'doc_id', 'text')} e ON e.id = d.doc_id
     GROUP BY d.doc_id""")
 def q_cache_lookup(spark, sf):
     res, _ = embedding.cache_lookup(tables.documents(spark, sf), _seed_cache(spark, sf))
     return res.select("doc_id", r6(V.norm("embedding")).alias("norm"),
-                      F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("nonzero")) \
-        .where(F.col("nonzero") > 0)
+                      F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("nonzero"))
 
 
 @register("cache_merge", f"""SELECT DISTINCT 'hashing-md5-64' AS model_name, md5(text) AS text_key FROM documents""")
