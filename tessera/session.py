@@ -63,26 +63,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``tessera`` importable on executors (cluster mode), once per context.
+    """Make ``tessera`` importable in Python workers, once per context.
 
-    Python tasks (``mapInPandas`` closures) import helpers from the package;
-    on a cluster the package is zipped into the shared checkpoint folder and
-    added with ``addPyFile``.  Local masters share the driver's path.
+    Python tasks (``mapInPandas`` closures) import helpers from the package.
+    Workers do not see the driver's ``sys.path``, so the package is zipped
+    into the shared checkpoint folder and added with ``addPyFile`` (which
+    ships it to every executor, and to local workers alike).
     """
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_tessera_shipped", False):
+    if getattr(sc, "_tessera_shipped", False):
         return
-    import shutil
+    import io
+    import zipfile
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    stage = tempfile.mkdtemp(prefix="tessera-pkg-")
-    archive = shutil.make_archive(os.path.join(stage, "tessera"), "zip",
-                                  os.path.dirname(pkg_dir), "tessera")
+    root = os.path.dirname(pkg_dir)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    zf.write(full, os.path.relpath(full, root))
     target = scratch_path(spark, "pyfiles") + "/tessera.zip"
     jvm = sc._jvm
     dst = jvm.org.apache.hadoop.fs.Path(target)
-    fs = dst.getFileSystem(sc._jsc.hadoopConfiguration())
-    fs.copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path("file://" + archive), dst)
+    out = dst.getFileSystem(sc._jsc.hadoopConfiguration()).create(dst, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
     sc.addPyFile(target)
     sc._tessera_shipped = True
 
