@@ -109,9 +109,9 @@ def _initial_pieces(text: Column) -> Column:
                             F.lit(False).alias("done")))
 
 
-def _refine(ps: Column, size: int, separators: Sequence[str]) -> Column:
-    """One split level; it only runs when some piece still needs splitting."""
-    return F.when(F.exists(ps, lambda p: ~p["done"]), F.flatten(F.transform(
+def _refine(ps: Column, todo: Column, size: int, separators: Sequence[str]) -> Column:
+    """One split level; rows with nothing left to split pass through untouched."""
+    return F.when(todo, F.flatten(F.transform(
         ps, lambda p: F.when(p["done"], F.array(p)).otherwise(_split_node(p, size, separators)))
     )).otherwise(ps)
 
@@ -121,17 +121,24 @@ def with_pieces(df: DataFrame, text: str, out: str, size: int = fv.CHUNK_SIZE,
     """Add ``out``: final pieces ``array<struct<s, k, g, done>>`` of the split.
 
     Each level is its own projection, so the analyser sees one level at a
-    time; a level reads the previous column several times, so the optimiser
-    keeps the projections apart instead of inlining one into the next.
+    time.  A flag column records whether a row still has pieces to split; it
+    is computed once per level from the new pieces, so rows that are done
+    (most rows after the first level) skip the later levels at the cost of
+    one boolean test.  Each level reads the previous columns twice, so the
+    optimiser keeps the projections apart instead of inlining one into the
+    next.
     """
     spark = df.sparkSession
-    df = df.withColumn(out, _initial_pieces(F.col(text)))
+    todo = f"{out}_todo"
+    df = df.withColumn(out, _initial_pieces(F.col(text))).withColumn(todo, F.lit(True))
     # built once per session, applied per level
-    level = memo_column(spark, ("refine", out, size, tuple(separators)),
-                        lambda: _refine(F.col(out), size, separators))
+    level = memo_column(spark, ("refine", out, todo, size, tuple(separators)),
+                        lambda: _refine(F.col(out), F.col(todo), size, separators))
+    flag = memo_column(spark, ("todo", out, todo),
+                       lambda: F.col(todo) & F.exists(F.col(out), lambda p: ~p["done"]))
     for _ in range(len(separators)):
-        df = df.withColumn(out, level)
-    return df
+        df = df.withColumn(out, level).withColumn(todo, flag)
+    return df.drop(todo)
 
 
 def _pack(pieces: Column, size: int, overlap: int) -> Column:

@@ -238,6 +238,17 @@ def report(results: DataFrame, preview: int = 300) -> DataFrame:
     """F22 + T5: one printable block per result, ranks from 1."""
     from tessera.session import memo_column
 
-    lines = memo_column(results.sparkSession, ("report", preview), lambda: result_lines(
-        "rank", "score", "text", "start_time", "end_time", "source_file", preview))
+    from tessera.functions.vectors import let
+
+    # The formatter is large; bound through a lambda it is evaluated without
+    # generated code (it runs on k rows per query), which keeps the fused
+    # stage under the JVM's 64 KB method limit.
+    def build():
+        row = F.struct(F.col("rank").alias("rank"), F.col("score").alias("score"),
+                       F.col("text").alias("text"), F.col("start_time").alias("start_time"),
+                       F.col("end_time").alias("end_time"), F.col("source_file").alias("source_file"))
+        return let(row, lambda r: result_lines(r["rank"], r["score"], r["text"], r["start_time"],
+                                               r["end_time"], r["source_file"], preview))
+
+    lines = memo_column(results.sparkSession, ("report", preview), build)
     return results.withColumn("report", lines)
