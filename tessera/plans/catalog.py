@@ -324,11 +324,17 @@ def q_chunk_embed(spark, sf):
 
 
 def _seed_cache(spark, sf) -> DataFrame:
-    """A cache filled by an earlier run over the English documents."""
+    """A cache filled by an earlier run over the English documents.
+
+    A cache is a stored table: it is materialised (reliable checkpoint in the
+    shared checkpoint folder) so that the lookups read it instead of
+    recomputing it.
+    """
     d = tables.documents(spark, sf).where(F.col("lang") == "en")
     emb = embedding.HashingEmbedder()
-    return embedding.embed(d.select(T.text_key("text").alias("text_key"), "text"), "text", "embedding", emb) \
+    seed = embedding.embed(d.select(T.text_key("text").alias("text_key"), "text"), "text", "embedding", emb) \
         .select(F.lit(emb.model_name).alias("model_name"), "text_key", "embedding").dropDuplicates(["text_key"])
+    return seed.checkpoint(eager=True)
 
 
 @register("cache_hits", """SELECT doc_id, md5(text) AS text_key FROM documents
