@@ -61,10 +61,14 @@ def knn_topk(vectors: DataFrame, query: Column, k: int = fv.DEFAULT_TOP_K, metri
 
 
 def _partial_topk_fn(qids, qmat_bc, k, metric, id_col, vec_col, round_digits, payload=()):
-    """Per task: scan all Arrow batches, keep a running top-k per query, emit once.
-
-    A task therefore emits at most ``queries x k`` rows however many rows it
-    reads, so the final per-query window sees ``tasks x k`` rows.
+    """Per task: scan all Arrow batches, keep the top k per query, emit once.
+
+    Vectorised: per batch and per slice of queries (the distance slice is
+    kept near 64 MB), one ``np.partition`` gives each query's k-th smallest
+    key, and every row at or below it (ties included, so the final
+    ``(distance, id)`` order stays exact) becomes a candidate.  Candidates
+    are reduced to k per query by one ``lexsort`` whenever they pile up, so
+    a task holds O(queries x k) rows and emits at most ``queries x k``.
     """
     def run(batches):
         import numpy as np
@@ -72,7 +76,26 @@ def _partial_topk_fn(qids, qmat_bc, k, metric, id_col, vec_col, round_digits, pa
 
         q = qmat_bc.value
         qn = (q * q).sum(axis=1)
-        best = [None] * len(qids)          # per query: DataFrame of current best rows
+        qarr = np.asarray(qids)
+        n_q = len(qids)
+        acc = {"q": [], "key": [], "id": [], "pay": []}
+        held = 0
+
+        def reduce():
+            qs = np.concatenate(acc["q"])
+            ks = np.concatenate(acc["key"])
+            ids = np.concatenate(acc["id"])
+            order = np.lexsort((ids, ks, qs))
+            qs_o = qs[order]
+            starts = np.r_[0, np.flatnonzero(qs_o[1:] != qs_o[:-1]) + 1]
+            lengths = np.diff(np.r_[starts, len(order)])
+            rank = np.arange(len(order)) - np.repeat(starts, lengths)
+            keep = order[rank < k]
+            pay = pd.concat(acc["pay"], ignore_index=True).iloc[keep] if payload else None
+            acc["q"], acc["key"], acc["id"] = [qs[keep]], [ks[keep]], [ids[keep]]
+            acc["pay"] = [pay.reset_index(drop=True)] if payload else []
+            return len(keep)
+
         for pdf in batches:
             pdf = pdf[pdf[vec_col].notna()]
             if pdf.empty:
@@ -81,39 +104,44 @@ def _partial_topk_fn(qids, qmat_bc, k, metric, id_col, vec_col, round_digits, pa
             if x.shape[1] != q.shape[1]:
                 raise ValueError(f"dimension mismatch: vectors {x.shape[1]}, queries {q.shape[1]}")
             ids = pdf[id_col].to_numpy()
-            g = x @ q.T                                   # (n, Q)
-            if metric == "l2":
-                d = np.maximum((x * x).sum(axis=1)[:, None] - 2.0 * g + qn[None, :], 0.0)
-            elif metric == "cosine":
-                xn = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt(qn)[None, :]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d = 1.0 - g / xn
-            else:
-                d = 1.0 - g
-            key = np.round(d, round_digits) if round_digits is not None else d
-            take = min(k, len(ids))
-            for j in range(len(qids)):
-                col = key[:, j]
-                cand = np.nonzero(np.isfinite(col))[0]
-                if len(cand) == 0:
+            xn = (x * x).sum(axis=1)
+            step = max(1, (8 << 20) // max(len(x), 1))           # ~64 MB of distances
+            for lo in range(0, n_q, step):
+                hi = min(n_q, lo + step)
+                g = x @ q[lo:hi].T
+                if metric == "l2":
+                    d = np.maximum(xn[:, None] - 2.0 * g + qn[None, lo:hi], 0.0)
+                elif metric == "cosine":
+                    denom = np.sqrt(xn)[:, None] * np.sqrt(qn[lo:hi])[None, :]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        d = 1.0 - g / denom
+                else:
+                    d = 1.0 - g
+                key = np.round(d, round_digits) if round_digits is not None else d
+                key = np.where(np.isfinite(key), key, np.inf)
+                if len(x) > k:
+                    kth = np.partition(key, k - 1, axis=0)[k - 1]
+                    rows, cols = np.nonzero((key <= kth[None, :]) & np.isfinite(key))
+                else:
+                    rows, cols = np.nonzero(np.isfinite(key))
+                if len(rows) == 0:
                     continue
-                if len(cand) > take:
-                    kth = np.partition(col[cand], take - 1)[take - 1]
-                    cand = cand[col[cand] <= kth]          # keeps ties at the cut
-                part = pd.DataFrame({id_col: ids[cand], "distance": col[cand]})
-                for c in payload:
-                    part[c] = pdf[c].iloc[cand].to_numpy()
-                merged = part if best[j] is None else pd.concat([best[j], part], ignore_index=True)
-                order = np.lexsort((merged[id_col].to_numpy(), merged["distance"].to_numpy()))[:k]
-                best[j] = merged.iloc[order].reset_index(drop=True)
-        frames = []
-        for j, qid in enumerate(qids):
-            if best[j] is not None and len(best[j]):
-                f = best[j].copy()
-                f.insert(0, "query_id", qid)
-                frames.append(f)
-        if frames:
-            yield pd.concat(frames, ignore_index=True)[["query_id", id_col, "distance", *payload]]
+                acc["q"].append(qarr[lo:hi][cols])
+                acc["key"].append(key[rows, cols])
+                acc["id"].append(ids[rows])
+                if payload:
+                    acc["pay"].append(pdf[list(payload)].iloc[rows].reset_index(drop=True))
+                held += len(rows)
+            if held > 4 * k * n_q + 65536:
+                held = reduce()
+        if not acc["q"]:
+            return
+        reduce()
+        out = pd.DataFrame({"query_id": acc["q"][0], id_col: acc["id"][0], "distance": acc["key"][0]})
+        if payload:
+            for c in payload:
+                out[c] = acc["pay"][0][c].to_numpy()
+        yield out[["query_id", id_col, "distance", *payload]]
     return run
 
 
