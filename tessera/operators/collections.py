@@ -152,15 +152,26 @@ class KnowledgeBase:
         """Add chunk rows (embedding optional); creates the collection if absent.
 
         Each call gives fresh ids, so adding the same items twice keeps two
-        copies.  Empty input is a no-op (no collection is created).  Returns
-        nothing.
+        copies.  Empty input is a no-op: nothing is written and no collection
+        is created.  The items are computed once: rows are written first, and
+        the collection is registered if the write produced its partition.
         """
-        if items.isEmpty():
-            return
-        self.create(name)
         run = uuid.uuid4().hex
         rows = to_rows(items, run, F.lit(name).alias("collection"), F.lit(run).alias("batch"))
         rows.write.mode("append").partitionBy("collection", "batch").parquet(self.rows_path)
+        if self._written_collections(run):
+            self._register([name])
+
+    def append_by_column(self, items: DataFrame, collection_col: str) -> None:
+        """S7 where each row names its collection; absent collections are created.
+
+        The collections written are read from the partition directories of
+        this write, not from the items (which would compute them twice).
+        """
+        run = uuid.uuid4().hex
+        rows = to_rows(items, run, F.col(collection_col).alias("collection"), F.lit(run).alias("batch"))
+        rows.write.mode("append").partitionBy("collection", "batch").parquet(self.rows_path)
+        self._register(self._written_collections(run))
 
     def write_batch(self, items: DataFrame, name: str, batch_id: str) -> None:
         """Idempotent append: rows of ``batch_id`` replace any earlier write of it.
@@ -169,20 +180,29 @@ class KnowledgeBase:
         partition is overwritten, so re-running a batch (a retried
         streaming micro-batch) leaves exactly one copy.
         """
-        self.create(name)
         rows = to_rows(items, batch_id, F.lit(name).alias("collection"), F.lit(batch_id).alias("batch"))
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("collection", "batch").parquet(self.rows_path))
+        if self._written_collections(batch_id):
+            self._register([name])
 
-    def append_by_column(self, items: DataFrame, collection_col: str) -> None:
-        """S7 where each row names its collection; absent collections are created."""
-        if items.isEmpty():
-            return
-        self.create_many(items.select(F.col(collection_col).alias("name"),
-                                      F.lit(None).cast("string").alias("description")).distinct())
-        run = uuid.uuid4().hex
-        rows = to_rows(items, run, F.col(collection_col).alias("collection"), F.lit(run).alias("batch"))
-        rows.write.mode("append").partitionBy("collection", "batch").parquet(self.rows_path)
+    def _written_collections(self, batch: str) -> list[str]:
+        """Collections that have a partition for ``batch`` (directory listing only)."""
+        jvm = self.spark.sparkContext._jvm
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.rows_path}/collection=*/batch={batch}")
+        fs = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = fs.globStatus(pattern) or []
+        names = []
+        for st in found:
+            part = st.getPath().getParent().getName()
+            names.append(_unescape(part.split("=", 1)[1]))
+        return sorted(set(names))
+
+    def _register(self, names: list[str]) -> None:
+        """Create the given collections if absent (no row count)."""
+        if names:
+            self.create_many(self.spark.createDataFrame([(n, None) for n in names],
+                                                        "name string, description string"))
 
     def stats(self, name: str = fv.DEFAULT_COLLECTION) -> DataFrame:
         """A5: ``(name, document_count, db_path)``."""
@@ -198,6 +218,13 @@ class KnowledgeBase:
                         F.coalesce("document_count", F.lit(0)).cast("bigint").alias("document_count"))
 
 
+def _unescape(part: str) -> str:
+    """Undo the %XX escaping of partition directory names."""
+    import re
+
+    return re.sub(r"%([0-9A-Fa-f]{2})", lambda m: chr(int(m.group(1), 16)), part)
+
+
 def to_rows(items: DataFrame, run_id: str, *extra_cols) -> DataFrame:
     """F20 on insert: the stored row shape, with falsy defaults and a fresh id.
 
