@@ -20,10 +20,25 @@ WS_CLASS = (r"[\t\n\x{0b}\f\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}
             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 
 
+# The same characters as a plain string, for btrim (strip at both ends).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip_ws(c: Column | str) -> Column:
+    """Python ``str.strip()``: remove Unicode whitespace at both ends.
+
+    ``btrim`` with the whitespace set only looks at the ends of the string,
+    unlike a regex anchored at both ends, which is tried at every position.
+    """
+    return F.call_function("btrim", _col(c), F.lit(WS_CHARS))
+
+
 def regex_alternation(words: Sequence[str]) -> str:
     """A non-capturing alternation matching any of ``words`` literally."""
     return "(?:" + "|".join(re.escape(w) for w in words) + ")"

@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed_values as fv
-from tessera.functions.text import WS_CLASS, doc_clean
+from tessera.functions.text import doc_clean
+from tessera.functions.text import strip_ws as text_strip
 from tessera.functions.vectors import explode_array, let
 from tessera.session import memo_column
 
@@ -41,7 +42,7 @@ _SPLIT_MARK = "\u0000"
 
 def strip_ws(c: Column) -> Column:
     """Strip Unicode whitespace at both ends (as Python ``str.strip``)."""
-    return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    return text_strip(c)
 
 
 def _split_keep(s: Column, j: Column, separators: Sequence[str]) -> Column:

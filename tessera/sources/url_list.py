@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import WS_CLASS
+from tessera.functions.text import strip_ws
 
 URL_LIST_SCHEMA = "source_file string, block_start bigint, line_id bigint, url string"
 
@@ -32,7 +32,7 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     if not path_exists(spark, path):
         return spark.createDataFrame([], URL_LIST_SCHEMA)
     raw = spark.read.text(path)
-    line = F.regexp_replace(F.col("value"), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    line = strip_ws(F.col("value"))
     return (raw.select(
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("block_start"),
