@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed_values as fv
-from tessera.functions import names as N
 from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.functions import vectors as V

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import transcripts
 from tessera.operators.collections import KnowledgeBase
 from tessera.plans.catalog import conversation_transcripts
 from tessera.session import scratch_path
@@ -36,4 +35,3 @@ def test_stream_reindex_two_waves(spark, sf_small):
     assert rows.select("source_file").distinct().count() == docs.count()
     # no duplicates: every (source_file, chunk_index) once
     assert rows.groupBy("source_file", "chunk_index").count().where("count > 1").count() == 0
-    assert transcripts is not None

@@ -5,7 +5,6 @@ from __future__ import annotations
 from urllib.parse import parse_qs, urlparse
 
 from conftest import one_col
-from pyspark.sql import functions as F
 
 from tessera.functions import fixed_values as fv
 from tessera.functions import urls as U
@@ -113,4 +112,3 @@ def test_limit_is_pushed_before_join(spark):
     cat = spark.read.parquet(path)
     plan = expansion.channel_expand(urls, cat, 3)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "LessThanOrEqual(pos,3)" in plan
-    assert F is not None
