@@ -203,8 +203,8 @@ def with_chunks(df: DataFrame, text: str, out: str, size: int = fv.CHUNK_SIZE,
                 overlap: int = fv.CHUNK_OVERLAP,
                 separators: Sequence[str] = fv.SEPARATORS) -> DataFrame:
     """Add ``out``: the chunk texts of column ``text`` (stripped, non-empty), in order."""
-    if overlap >= size:
-        raise ValueError("overlap must be smaller than size")
+    if overlap > size:
+        raise ValueError("overlap must not exceed size")
     pieces = f"_{out}_pieces"
     spans = f"_{out}_spans"
     spark = df.sparkSession
