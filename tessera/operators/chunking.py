@@ -264,14 +264,15 @@ def estimate_times(chunk: Column, cleaned: Column, s0: Column, e1: Column,
 def chunk_transcripts(transcripts: DataFrame, size: int = fv.CHUNK_SIZE,
                       overlap: int = fv.CHUNK_OVERLAP,
                       separators: Sequence[str] = fv.SEPARATORS,
-                      fillers: Sequence[str] = fv.FILLER_WORDS) -> DataFrame:
+                      fillers: Sequence[str] = fv.FILLER_WORDS,
+                      keep: Sequence[str] = ()) -> DataFrame:
     """G1 over a transcripts table.
 
     Input columns: ``transcript_id``, ``full_text``, ``n_segments``,
     ``first_start``, ``last_end``, ``language``, ``source_url``, ``source_file``,
     ``total_duration``, ``processing_time``.  Output: one row per chunk with
     ``chunk_index``, ``text``, ``start_time``, ``end_time`` and the metadata
-    columns of F20.
+    columns of F20, plus the transcript columns named in ``keep``.
     """
     overlap = guarded_overlap(size, overlap)
     min_size = min_chunk_size(size)
@@ -295,7 +296,7 @@ def chunk_transcripts(transcripts: DataFrame, size: int = fv.CHUNK_SIZE,
         F.col("_c.text").alias("text"),
         F.col("_c.t.start_time").alias("start_time"),
         F.col("_c.t.end_time").alias("end_time"),
-        *chunk_metadata_columns())
+        *chunk_metadata_columns(), *keep)
 
 
 def chunk_metadata_columns() -> list[Column]:

@@ -233,7 +233,16 @@ def _chunk_cols(df: DataFrame) -> DataFrame:
                      r6(F.col("end_time")).alias("end_time"), "chunk_length", "language", "source_file")
 
 
-@register("chunk_documents")
+_DOC_SRC = f"""(SELECT doc_id AS id, {O.doc_clean('text')} AS cleaned, 0.0::DOUBLE AS s0,
+    n_chars / 15.0::DOUBLE AS e1 FROM documents)"""
+_DOC_CHUNKS = f"({O.chunk_sql(_DOC_SRC)})"
+
+
+@register("chunk_documents", f"""SELECT c.id AS transcript_id, c.chunk_index, c.text,
+    round(c.start_time, {DIGITS}) AS start_time, round(c.end_time, {DIGITS}) AS end_time,
+    CAST(length(c.text) AS INTEGER) AS chunk_length, d.lang AS language,
+    d.source || '/' || CAST(d.doc_id AS VARCHAR) || '.md' AS source_file
+    FROM {_DOC_CHUNKS} c JOIN documents d ON d.doc_id = c.id""")
 def q_chunk_documents(spark, sf):
     return _chunk_cols(chunking.chunk_transcripts(tables.document_transcripts(spark, sf)))
 
@@ -248,12 +257,21 @@ def conversation_transcripts(spark, sf) -> DataFrame:
                     F.lit(None).cast("double").alias("processing_time"), "segments")
 
 
+_CONV_SRC = f"""(SELECT transcript_id AS id, {O.doc_clean('full_text')} AS cleaned, first_start AS s0,
+    last_end AS e1 FROM @ASSEMBLED@)"""
+
+
+def _conv_chunks_sql() -> str:
+    return f"({O.chunk_sql(_CONV_SRC.replace('@ASSEMBLED@', _ASSEMBLED))})"
+
+
 @register("chunk_conversations")
 def q_chunk_conversations(spark, sf):
     return _chunk_cols(chunking.chunk_transcripts(conversation_transcripts(spark, sf)))
 
 
-@register("chunk_counts")
+@register("chunk_counts", f"""SELECT id AS transcript_id, count(*) AS n_chunks FROM {_DOC_CHUNKS}
+    GROUP BY ROLLUP (id)""")
 def q_chunk_counts(spark, sf):
     return chunk_counts(chunking.chunk_transcripts(tables.document_transcripts(spark, sf)))
 
@@ -295,6 +313,13 @@ _ASSEMBLED = f"""(SELECT transcript_id, string_agg(t, ' ' ORDER BY seg_idx) AS f
    FROM (SELECT *, {O.segment_clean('text')} AS t FROM {O.SEGMENTS}) WHERE t <> '' GROUP BY transcript_id)"""
 
 
+ORACLES["chunk_conversations"] = f"""SELECT c.id AS transcript_id, c.chunk_index, c.text,
+    round(c.start_time, {DIGITS}) AS start_time, round(c.end_time, {DIGITS}) AS end_time,
+    CAST(length(c.text) AS INTEGER) AS chunk_length, 'en' AS language,
+    'conversation/' || CAST(c.id AS VARCHAR) AS source_file
+    FROM {_conv_chunks_sql()} c"""
+
+
 @register("transcript_bounds", f"""SELECT transcript_id, n_segments, first_start, last_end FROM {_ASSEMBLED}""")
 def q_transcript_bounds(spark, sf):
     t = transcripts.assemble(transcripts.clean_segments(tables.segments(spark, sf)))
@@ -314,7 +339,14 @@ def q_embed_hash(spark, sf):
         "doc_id", F.col("bucket").cast("int").alias("bucket"), r6(F.col("weight")).alias("weight"))
 
 
-@register("chunk_embed")
+_CHUNK_KEYED = f"(SELECT id * 1000000 + chunk_index AS cid, text FROM {_DOC_CHUNKS})"
+
+
+@register("chunk_embed", f"""SELECT c.id AS transcript_id, c.chunk_index, 'hashing-md5-64' AS model_name,
+    64 AS dimension, round(coalesce(sqrt(sum(e.weight * e.weight)), 0.0), {DIGITS}) AS norm
+    FROM {_DOC_CHUNKS} c
+    LEFT JOIN {O.sparse_hash_embedding(_CHUNK_KEYED, 'cid', 'text')} e ON e.id = c.id * 1000000 + c.chunk_index
+    GROUP BY c.id, c.chunk_index""")
 def q_chunk_embed(spark, sf):
     chunks = chunking.chunk_transcripts(tables.document_transcripts(spark, sf))
     out = embedding.embed_chunks(chunks)
@@ -697,7 +729,8 @@ def q_metadata_strip(spark, sf):
     return kept.select("doc_id", F.explode("m").alias("key", "value"))
 
 
-@register("kb_build")
+@register("kb_build", f"""SELECT d.source AS name, 'Collection ' || d.source AS description, count(*) AS document_count
+    FROM {_DOC_CHUNKS} c JOIN documents d ON d.doc_id = c.id GROUP BY d.source""")
 def q_kb_build(spark, sf):
     kb = _kb(spark)
     return pipelines.build_by_column(tables.document_transcripts(spark, sf), kb, "collection")
@@ -705,8 +738,10 @@ def q_kb_build(spark, sf):
 
 @register("kb_reindex")
 def q_kb_reindex(spark, sf):
+    """L2: render -> write -> read back -> chunk -> embed -> append; the stats
+    without the (scratch) storage path."""
     kb = _kb(spark)
-    return pipelines.reindex_transcripts(spark, _written_docs(spark, sf), kb)
+    return pipelines.reindex_transcripts(spark, _written_docs(spark, sf), kb).select("name", "document_count")
 
 
 def _report_sql() -> str:
@@ -732,7 +767,35 @@ def q_search_report(spark, sf):
     return rep.select("query_id", "rank", r6(F.col("score")).alias("score"), "report")
 
 
-@register("kb_search")
+def _chunk_search_sql() -> str:
+    chunks = O.sparse_hash_embedding("ck", "cid", "text")
+    qs = O.sparse_hash_embedding("benchmark", "item_id", "text")
+    return f"""
+    WITH c AS {_DOC_CHUNKS},
+    ck AS (SELECT c.id * 1000000 + c.chunk_index AS cid,
+                  CAST(c.id AS VARCHAR) || ':' || CAST(c.chunk_index AS VARCHAR) AS sid,
+                  c.text, c.start_time, c.end_time,
+                  d.source || '/' || CAST(d.doc_id AS VARCHAR) || '.md' AS source_file
+           FROM c JOIN documents d ON d.doc_id = c.id),
+    ce AS {chunks}, qe AS {qs},
+    cn AS (SELECT cid, sid, coalesce((SELECT sum(weight * weight) FROM ce WHERE ce.id = ck.cid), 0.0) AS n2 FROM ck),
+    qn AS (SELECT item_id AS query_id, coalesce((SELECT sum(weight * weight) FROM qe WHERE qe.id = benchmark.item_id), 0.0) AS n2 FROM benchmark),
+    dots AS (SELECT qe.id AS query_id, ce.id AS cid, sum(qe.weight * ce.weight) AS dot
+             FROM qe JOIN ce USING (bucket) GROUP BY ALL),
+    d AS (SELECT qn.query_id, cn.cid, cn.sid,
+                 round(greatest(qn.n2 + cn.n2 - 2 * coalesce(dots.dot, 0.0), 0.0), {DIGITS}) AS distance
+          FROM qn CROSS JOIN cn LEFT JOIN dots ON dots.query_id = qn.query_id AND dots.cid = cn.cid),
+    r AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, sid) AS INTEGER) AS rank
+                         FROM d) WHERE rank <= {fv.DEFAULT_TOP_K})
+    SELECT r.query_id, r.rank, r.sid AS id, r.distance, round(greatest(0.0, 1.0 - r.distance), {DIGITS}) AS score,
+      '--- Result ' || CAST(r.rank AS VARCHAR) || ' (Score: ' || printf('%.3f', greatest(0.0, 1.0 - r.distance)) || ') ---' || chr(10) ||
+      'Text: ' || substr(ck.text, 1, 300) || '...' || chr(10) ||
+      CASE WHEN ck.start_time <> 0 THEN 'Time: ' || printf('%.1f', ck.start_time) || 's - ' || printf('%.1f', ck.end_time) || 's' || chr(10) ELSE '' END ||
+      'Source: ' || ck.source_file AS report
+    FROM r JOIN ck ON ck.cid = r.cid"""
+
+
+@register("kb_search", _chunk_search_sql())
 def q_kb_search(spark, sf):
     """L3 flagship: chunks of every document, nearest chunks to each benchmark passage."""
     chunks = chunking.chunk_transcripts(tables.document_transcripts(spark, sf))
@@ -745,3 +808,9 @@ def q_kb_search(spark, sf):
                             payload=["text", "start_time", "end_time", "source_file"])
     rep = search.report(search.with_scores(hits), 300)
     return rep.select("query_id", "rank", "id", "distance", r6(F.col("score")).alias("score"), "report")
+
+
+# The re-indexed documents carry the conversation transcripts' text unchanged,
+# so the collection holds exactly their chunks.
+ORACLES["kb_reindex"] = f"""SELECT '{fv.DEFAULT_COLLECTION}' AS name, count(*) AS document_count
+    FROM {_conv_chunks_sql()} c"""

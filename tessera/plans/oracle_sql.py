@@ -144,3 +144,86 @@ CJK = f"(SELECT doc_id, lang, translate(text, 'abcdefgh', '這個來過時間問
 REPEATED = "(SELECT doc_id, replace(replace(text, ', ', ',,, '), '. ', '... ') AS t FROM documents)"
 FULL_WIDTH = f"(SELECT doc_id, translate(t, ',.', '，。') AS t FROM {REPEATED})"
 FILLERS = "(SELECT doc_id, replace(text, ' the ', ' 然后 ') AS t FROM documents)"
+
+
+# ---- chunker (G1, P7, F19) restated in DuckDB list SQL --------------------------------
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, {q('^' + WS_CLASS + '+|' + WS_CLASS + '+$')}, '', 'g')"
+
+
+def _split_keep(s: str, sep: str) -> str:
+    if sep == "":
+        return f"string_split({s}, '')"
+    return (f"list_transform(string_split({s}, {q(sep)}), "
+            f"lambda x, i: CASE WHEN i = 1 THEN x ELSE {q(sep)} || x END)")
+
+
+def _node(size: int, seps) -> str:
+    n = len(seps)
+    conds = " ".join(
+        f"WHEN pe.k <= {i}{'' if sep == '' else f' AND contains(pe.s, {q(sep)})'} THEN {i}"
+        for i, sep in enumerate(seps))
+    found = f"CASE {conds} ELSE -1 END"
+    cont = ", ".join(str(i) for i, sep in enumerate(seps) if sep != "" and i < n - 1) or "-99"
+    j = f"(CASE WHEN jf < 0 THEN {n - 1} ELSE jf END)"
+    branches = " ".join(f"WHEN {i} THEN {_split_keep('pe.s', sep)}" for i, sep in enumerate(seps))
+    children = f"list_filter(CASE {j} {branches} END, lambda c: c <> '')"
+    child = (f"{{'s': c, 'k': {j} + 1, "
+             f"'g': CASE WHEN length(c) < {size} THEN pe.g ELSE pe.g || '.' || CAST(i - 1 AS VARCHAR) END, "
+             f"'done': length(c) < {size} OR NOT (jf IN ({cont}))}}")
+    return f"list_transform([{found}], lambda jf: list_transform({children}, lambda c, i: {child}))[1]"
+
+
+def chunk_sql(source: str, size: int = 1000, overlap: int = 200, separators=None,
+              min_size: int | None = None) -> str:
+    """DuckDB SQL: chunks of ``source(id, cleaned, s0, e1)``.
+
+    Yields ``(id, chunk_index, text, start_time, end_time)``.  Same algorithm
+    as ``operators.chunking`` (recursive split, per-node greedy merge with
+    overlap, strip, P7, F19), written with DuckDB list functions.
+    """
+    seps = list(separators if separators is not None else fv.SEPARATORS)
+    min_size = min_size if min_size is not None else max(100, size // 10)
+    init = "[{'s': cleaned, 'k': 0, 'g': '', 'done': false}]"
+    level = (f"CASE WHEN len(list_filter(p, lambda pe: NOT pe.done)) > 0 THEN flatten(list_transform(p, "
+             f"lambda pe: CASE WHEN pe.done THEN [pe] ELSE {_node(size, seps)} END)) ELSE p END")
+    ctes = [f"l0 AS (SELECT id, cleaned, s0, e1, {init} AS p FROM {source})"]
+    for i in range(1, len(seps) + 1):
+        ctes.append(f"l{i} AS (SELECT id, cleaned, s0, e1, {level} AS p FROM l{i - 1})")
+    last = f"l{len(seps)}"
+    emit = ("CASE WHEN {a}.total > 0 THEN list_append({a}.chunks, {{'off': {a}.off, 'len': {a}.total}}) "
+            "ELSE {a}.chunks END")
+    pop = (f"list_reduce(lens[acc.a + 1 : x.i], lambda st, ln: CASE WHEN NOT st.stop AND "
+           f"(st.total > {overlap} OR (st.total + x.len > {size} AND st.total > 0)) "
+           f"THEN {{'a': st.a + 1, 'off': st.off + ln, 'total': st.total - ln, 'stop': false}} "
+           f"ELSE {{'a': st.a, 'off': st.off, 'total': st.total, 'stop': true}} END, "
+           f"{{'a': acc.a, 'off': acc.off, 'total': acc.total, 'stop': false}})")
+    merge = (f"CASE WHEN acc.g IS NULL OR acc.g <> x.g THEN "
+             f"{{'chunks': {emit.format(a='acc')}, 'a': x.i, 'off': acc.off + acc.total, 'total': x.len, 'g': x.g}} "
+             f"WHEN acc.total + x.len > {size} AND acc.total > 0 THEN list_transform([{pop}], lambda st: "
+             f"{{'chunks': {emit.format(a='acc')}, 'a': st.a, 'off': st.off, 'total': st.total + x.len, 'g': acc.g}})[1] "
+             f"ELSE {{'chunks': acc.chunks, 'a': acc.a, 'off': acc.off, 'total': acc.total + x.len, 'g': acc.g}} END")
+    init_acc = ("{'chunks': []::STRUCT(off BIGINT, len BIGINT)[], 'a': 0::BIGINT, 'off': 0::BIGINT, "
+                "'total': 0::BIGINT, 'g': NULL::VARCHAR}")
+    items = "list_transform(p, lambda q, i: {'len': length(q.s)::BIGINT, 'g': q.g, 'i': (i - 1)::BIGINT})"
+    ctes.append(f"lk AS (SELECT id, cleaned, s0, e1, p, list_transform(p, lambda q: length(q.s)::BIGINT) AS lens "
+                f"FROM {last})")
+    ctes.append(f"sp AS (SELECT id, cleaned, s0, e1, list_transform([list_reduce({items}, lambda acc, x: {merge}, "
+                f"{init_acc})], lambda r: {emit.format(a='r')})[1] AS spans FROM lk)")
+    texts = (f"list_filter(list_transform(spans, lambda c: {strip('substr(cleaned, c.off + 1, c.len)')}), "
+             f"lambda t: t <> '')")
+    ctes.append(f"ch AS (SELECT id, cleaned, s0, e1, length(cleaned) < {min_size} AS short, "
+                f"CASE WHEN length(cleaned) < {min_size} THEN [cleaned] ELSE {texts} END AS ch FROM sp)")
+    ctes.append("ro AS (SELECT id, cleaned, s0, e1, short, ch[i] AS text, CAST(i - 1 AS INTEGER) AS chunk_index "
+                "FROM ch, range(1, len(ch) + 1) r(i))")
+    ctes.append(f"kp AS (SELECT * FROM ro WHERE short OR length({strip('text')}) >= {min_size})")
+    ctes.append(f"tp AS (SELECT *, instr(cleaned, substr({strip('text')}, 1, {fv.TIME_MATCH_PREFIX})) - 1 AS pos, "
+                f"CASE WHEN e1 <> s0 THEN length(cleaned) / (e1 - s0) END AS cps FROM kp)")
+    ctes.append("tt AS (SELECT *, s0 + pos / cps AS st FROM tp)")
+    ctes.append("tu AS (SELECT *, st + length(text) / cps AS en FROM tt)")
+    body = ("SELECT id, chunk_index, text, "
+            "CASE WHEN short THEN s0 WHEN pos >= 0 AND st IS NOT NULL AND en IS NOT NULL THEN greatest(s0, st) "
+            "ELSE s0 END AS start_time, "
+            "CASE WHEN short THEN e1 WHEN pos >= 0 AND st IS NOT NULL AND en IS NOT NULL THEN least(e1, en) "
+            "ELSE e1 END AS end_time FROM tu")
+    return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -34,10 +34,7 @@ def build_by_column(transcripts: DataFrame, kb: KnowledgeBase, collection_col: s
                     embedder=None, size: int = fv.CHUNK_SIZE,
                     overlap: int = fv.CHUNK_OVERLAP) -> DataFrame:
     """L1 for many collections at once: the collection name is a column."""
-    chunks = chunking.chunk_transcripts(transcripts, size, overlap)
-    if collection_col not in chunks.columns:
-        keys = transcripts.select("transcript_id", collection_col)
-        chunks = chunks.join(keys, "transcript_id")
+    chunks = chunking.chunk_transcripts(transcripts, size, overlap, keep=[collection_col])
     vectors = embedding.embed_chunks(chunks, embedder)
     kb.append_by_column(vectors, collection_col)
     return kb.list()
