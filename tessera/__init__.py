@@ -9,7 +9,7 @@ Sub-packages:
   sources    readers and writers (URL lists, transcript documents, media listings)
   operators  relational operators (chunking, expansion, assembly, embedding,
              search, collections)
-  plans      end-to-end pipelines and the query registry
+  plans      end-to-end flows (build, re-index, search, URL work list) and the query registry
   streaming  incremental re-indexing with Structured Streaming
 """
 

@@ -24,7 +24,7 @@ from tessera.functions import vectors as V
 from tessera.operators import chunking, embedding, expansion, search, transcripts
 from tessera.operators.collections import KnowledgeBase, chunk_counts
 from tessera.plans import oracle_sql as O
-from tessera.plans import pipelines
+from tessera.plans import flows
 from tessera.session import scratch_path
 from tessera.sources import media, tables, transcript_md, url_list
 
@@ -524,13 +524,13 @@ def q_url_union(spark, sf):
     return expansion.url_union(tables.urls(spark, sf), raw)
 
 
-@register("url_pipeline", f"""SELECT sub_ord, url, kind,
+@register("url_work_list", f"""SELECT sub_ord, url, kind,
         CASE WHEN {O.supported_host('url')} THEN 'valid' ELSE 'invalid' END AS status
     FROM ({_route_sql(fv.DEFAULT_CHANNEL_LIMIT)})""")
-def q_url_pipeline(spark, sf):
+def q_url_work_list(spark, sf):
     path = scratch_path(spark, "urllist")
     url_list.write_url_list(tables.urls(spark, sf).select(F.col("url").alias("line")), path)
-    out = pipelines.url_work_list(spark, [path], None, tables.catalogue(spark, sf), fv.DEFAULT_CHANNEL_LIMIT)
+    out = flows.url_work_list(spark, [path], None, tables.catalogue(spark, sf), fv.DEFAULT_CHANNEL_LIMIT)
     return out.select("sub_ord", "url", "kind", "status")
 
 
@@ -733,7 +733,7 @@ def q_metadata_strip(spark, sf):
     FROM {_DOC_CHUNKS} c JOIN documents d ON d.doc_id = c.id GROUP BY d.source""")
 def q_kb_build(spark, sf):
     kb = _kb(spark)
-    return pipelines.build_by_column(tables.document_transcripts(spark, sf), kb, "collection")
+    return flows.build_by_column(tables.document_transcripts(spark, sf), kb, "collection")
 
 
 @register("kb_reindex")
@@ -741,7 +741,7 @@ def q_kb_reindex(spark, sf):
     """L2: render -> write -> read back -> chunk -> embed -> append; the stats
     without the (scratch) storage path."""
     kb = _kb(spark)
-    return pipelines.reindex_transcripts(spark, _written_docs(spark, sf), kb).select("name", "document_count")
+    return flows.reindex_transcripts(spark, _written_docs(spark, sf), kb).select("name", "document_count")
 
 
 def _report_sql() -> str:

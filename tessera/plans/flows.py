@@ -1,4 +1,4 @@
-"""End-to-end pipelines: L1 build, L2 re-index, L3 search, L4 URL work list.
+"""End-to-end flows: L1 build, L2 re-index, L3 search, L4 URL work list.
 
 Each is one lazy plan per stage.  The build (chunk -> embed -> append) is a
 map-only job: no shuffle between reading transcripts and writing rows.

@@ -77,7 +77,7 @@ def test_empty_transcript_no_chunks(spark):
     assert chunking.chunk_transcripts(_transcript(spark, [(1, "zh", "", 0, None, None)])).count() == 0
 
 
-def test_long_transcript_pipeline(spark):
+def test_long_transcript_chunking(spark):
     """size 200 / overlap 50 over three long segments: several chunks, all above the
     minimum, indexes rising (gaps allowed), start times non-decreasing."""
     texts = ["这是一个很长的转录文本内容，包含了很多有用的信息。" * 5,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.names import fixed
 from tessera.operators import search, transcripts
 from tessera.operators.collections import KnowledgeBase
-from tessera.plans import pipelines
+from tessera.plans import flows
 from tessera.session import scratch_path
 from tessera.sources import tables, transcript_md
 
@@ -105,10 +105,10 @@ def test_metadata_strip(spark):
 def test_build_and_search(spark, sf_small):
     kb = KnowledgeBase(spark, scratch_path(spark, "kbsearch"))
     t = tables.document_transcripts(spark, sf_small)
-    stats = pipelines.build_knowledge_base(t, kb).first()
+    stats = flows.build_knowledge_base(t, kb).first()
     assert stats.document_count > 0
     text = t.first().full_text
-    res = pipelines.search_knowledge_base(kb, text, k=5).orderBy("rank").collect()
+    res = flows.search_knowledge_base(kb, text, k=5).orderBy("rank").collect()
     assert [r.rank for r in res] == [1, 2, 3, 4, 5]
     assert all(0.0 <= r.score <= 1.0 for r in res)
     assert res[0].distance <= res[-1].distance
