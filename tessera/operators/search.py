@@ -229,19 +229,26 @@ def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int = fv.DEFAULT_TOP_K,
                                         bucketLength=bucket_length, numHashTables=num_hash_tables,
                                         seed=seed).fit(vec)
 
-    def buckets(df: DataFrame, key: str) -> DataFrame:
-        h = model.transform(df).select(key, F.posexplode("hashes").alias("tbl", "h"))
-        return h.select(key, "tbl", vector_to_array(F.col("h"))[0].alias("bucket"))
-
-    vb = buckets(vec, id_col)
-    qb = buckets(qry, "query_id")
-    cand = qb.join(vb, ["tbl", "bucket"]).select("query_id", id_col).distinct()
-    scored = (cand.join(qry.select("query_id", "_q"), "query_id")
-              .join(vec.select(id_col, "_v"), id_col)
-              .withColumn("distance", vdistance(F.col("_v"), F.col("_q"), "l2")))
+    def buckets(df: DataFrame, key: str, payload: str) -> DataFrame:
+        h = model.transform(df).select(key, payload, F.posexplode("hashes").alias("tbl", "h"))
+        return h.select(key, payload, "tbl", vector_to_array(F.col("h"))[0].alias("bucket"))
+
+    # Vectors travel with their bucket rows, so candidates need no join back
+    # to the vector table; the query side is small and is broadcast by the
+    # planner, and only candidates are shuffled (for the dedup).
+    vb = buckets(vec, id_col, "_v")
+    qb = buckets(qry, "query_id", "_q")
+    cand = qb.join(vb, ["tbl", "bucket"]).dropDuplicates(["query_id", id_col])
+    scored = cand.select("query_id", id_col, vdistance(F.col("_v"), F.col("_q"), "l2").alias("distance"))
     scored = scored.withColumn("distance", _rank_key(F.col("distance"), round_digits))
     w = Window.partitionBy("query_id").orderBy(F.col("distance"), F.col(id_col))
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # ranked (queries x k rows) feeds two branches; materialise it once in the
+    # shared checkpoint folder instead of running the bucket join twice
+    from tessera.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(vectors.sparkSession)
+    ranked = ranked.checkpoint(eager=True)
     counts = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     full = counts.where(F.col("_n") >= k).select("query_id")
     approx = ranked.join(full, "query_id", "left_semi").select("query_id", id_col, "distance", "rank")
