@@ -52,14 +52,19 @@ def falsy_to_empty(c: Column | str) -> Column:
     return F.coalesce(_col(c), F.lit(""))
 
 
+_WS_NOT_SPACE = WS_CHARS.replace(" ", "")
+
+
 def collapse_whitespace(c: Column | str) -> Column:
     """Strip, then turn every run of whitespace into one space.
 
-    (A pattern that skips runs already equal to one space does fewer
-    replacements but measured slower: Java tries its alternatives at every
-    position.)
+    Other whitespace characters first become spaces (``translate``, no
+    regex), then runs of two or more spaces collapse: equal to replacing
+    whitespace runs with one space, and measured faster than one regex over
+    the whole whitespace class.
     """
-    return F.trim(F.regexp_replace(_col(c), WS_CLASS + "+", " "))
+    spaced = F.translate(_col(c), _WS_NOT_SPACE, " " * len(_WS_NOT_SPACE))
+    return F.trim(F.regexp_replace(spaced, " {2,}", " "))
 
 
 def segment_clean(c: Column | str, marks: str = fv.SEGMENT_DEDUP_MARKS) -> Column:
