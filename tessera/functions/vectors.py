@@ -106,7 +106,17 @@ def tokens(text: Column | str) -> Column:
 
 
 def token_bucket(w: Column, dim: int) -> Column:
-    """Bucket of a token: first 32 bits of its md5, modulo ``dim``."""
+    """Bucket of a token: first 32 bits of its md5, modulo ``dim``.
+
+    For a power-of-two ``dim`` (<= 2^16) the bucket depends only on the last
+    hex digits of that 32-bit prefix (2^32 is a multiple of ``dim``), so only
+    those digits are converted (measured faster than converting all eight).
+    Same value either way.
+    """
+    if dim & (dim - 1) == 0 and dim <= 1 << 16:
+        n = max(1, (dim.bit_length() - 1 + 3) // 4)       # hex digits needed
+        digits = F.substring(F.md5(w), 9 - n, n)
+        return F.pmod(F.conv(digits, 16, 10).cast("int"), F.lit(dim))
     return F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"),
                   F.lit(dim).cast("bigint")).cast("int")
 
