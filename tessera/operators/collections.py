@@ -28,7 +28,7 @@ REGISTRY_SCHEMA = "name string, description string, op string, seq bigint"
 
 ROW_COLUMNS = [
     ("id", "string"), ("text", "string"), ("text_key", "string"),
-    ("embedding", "array<double>"), ("model_name", "string"), ("dimension", "int"),
+    ("embedding", "array<float>"), ("model_name", "string"), ("dimension", "int"),
     ("start_time", "double"), ("end_time", "double"), ("source_file", "string"),
     ("chunk_index", "int"), ("language", "string"), ("source_url", "string"),
     ("audio_file", "string"), ("total_duration", "double"), ("chunk_length", "int"),
@@ -243,7 +243,9 @@ def to_rows(items: DataFrame, run_id: str, *extra_cols) -> DataFrame:
         F.sha2(ident, 256).substr(1, 32).alias("id"),
         text.alias("text"),
         F.md5(text).alias("text_key"),
-        get("embedding", "array<double>").alias("embedding"),
+        # stored as float32 (as vector stores keep them): half the bytes;
+        # distances are computed in double after a cast
+        get("embedding", "array<float>").alias("embedding"),
         get("model_name", "string").alias("model_name"),
         get("dimension", "int").alias("dimension"),
         F.coalesce(F.nullif(get("start_time", "double"), F.lit(0.0)), F.lit(0.0)).alias("start_time"),
