@@ -84,6 +84,27 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
     return F.lit(1.0) - F.try_divide(dot(a, b), denom)
 
 
+# Longest literal query expanded into per-dimension terms (keeps generated
+# code well under the JVM's method size limit).
+MAX_EXPANDED_DIM = 256
+
+
+def squared_l2_to(v: Column | str, query: list[float]) -> Column:
+    """Squared L2 distance from ``v`` to a known query vector.
+
+    Written as a fixed sum over dimensions (``element_at`` terms), which
+    whole-stage code generation compiles, unlike lambda-based array
+    functions.  NULL when the vector has another dimension.
+    """
+    x = _col(v).cast("array<double>")
+    terms = [(F.element_at(x, i + 1) - F.lit(float(qv))) * (F.element_at(x, i + 1) - F.lit(float(qv)))
+             for i, qv in enumerate(query)]
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return F.when(F.size(x) == F.lit(len(query)), total)
+
+
 def distance(a: Column | str, b: Column | str, metric: str = "l2") -> Column:
     if metric == "l2":
         return squared_l2(a, b)

@@ -39,19 +39,30 @@ def _rank_key(d: Column, round_digits: int | None) -> Column:
     return F.round(d, round_digits) if round_digits is not None else d
 
 
-def knn_topk(vectors: DataFrame, query: Column, k: int = fv.DEFAULT_TOP_K, metric: str = "l2",
+def knn_topk(vectors: DataFrame, query, k: int = fv.DEFAULT_TOP_K, metric: str = "l2",
              id_col: str = "id", vec_col: str = "embedding",
              round_digits: int | None = None) -> DataFrame:
-    """T2, one query: the k rows nearest to ``query`` (a scalar array column)."""
-    # The query is bound to a column first: a scalar subquery may not sit
-    # inside the higher-order functions of the distance expression.
+    """T2, one query: the k rows nearest to ``query``.
+
+    ``query`` is a scalar array Column (a literal or a scalar subquery), or a
+    list of floats; a short list under the L2 metric is expanded into a fixed
+    per-dimension sum that runs in generated code.
+    """
+    from tessera.functions.vectors import MAX_EXPANDED_DIM, squared_l2_to
+
+    base = vectors.where(F.col(vec_col).isNotNull())
     # Rows without a distance (no vector, other dimension) sort last and are
     # dropped after the limit: filtering them first would make the optimiser
     # push the whole distance expression into a filter and compute it twice.
-    scored = (vectors.where(F.col(vec_col).isNotNull())
-              .withColumn("_query", query)
-              .withColumn("distance", vdistance(F.col(vec_col), F.col("_query"), metric))
-              .drop("_query"))
+    if isinstance(query, (list, tuple)) and metric == "l2" and 0 < len(query) <= MAX_EXPANDED_DIM:
+        scored = base.withColumn("distance", squared_l2_to(F.col(vec_col), list(query)))
+    else:
+        q = F.array(*[F.lit(float(x)) for x in query]) if isinstance(query, (list, tuple)) else query
+        # a scalar subquery may not sit inside the lambdas of the distance:
+        # bind it to a column first
+        scored = (base.withColumn("_query", q)
+                  .withColumn("distance", vdistance(F.col(vec_col), F.col("_query"), metric))
+                  .drop("_query"))
     if round_digits is not None:
         scored = scored.withColumn("distance", F.round("distance", round_digits))
     top = (scored.orderBy(F.col("distance").asc_nulls_last(), F.col(id_col)).limit(k)

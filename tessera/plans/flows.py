@@ -53,10 +53,13 @@ def search_knowledge_base(kb: KnowledgeBase, query_text: str, k: int = fv.DEFAUL
                           metric: str = "l2", preview: int = 300) -> DataFrame:
     """L3: embed the query with the collection's embedder, top-k, report lines.
 
-    The query vector is a scalar subquery, computed once by the engine.
+    The query vector (one row, its size bounded by the dimension) is
+    embedded by Spark and brought to the driver, so the distance can be
+    written as a fixed per-dimension expression over the collection.
     """
     spark = kb.spark
-    q = embedding.embed_text(spark, query_text, embedder).select("embedding").scalar()
+    row = embedding.embed_text(spark, query_text, embedder).select("embedding").first()
+    q = [float(x) for x in row["embedding"]]
     hits = search.knn_topk(kb.rows(collection), q, k, metric, id_col="id")
     return search.report(hits, preview).select(
         "rank", "score", "distance", "text", "start_time", "end_time", "source_file",

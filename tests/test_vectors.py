@@ -113,3 +113,14 @@ def test_lsh_recall(spark, sf_small):
     assert all(n == 5 for n in per_query.values())
     recall = len(exact & got) / len(exact)
     assert recall >= 0.5, recall
+
+
+def test_topk_literal_query_matches_lambda_path(spark, sf_small):
+    e = tables.load(spark, sf_small, "embeddings")
+    vec = e.select(F.col("vec_id").alias("id"), "embedding")
+    q = [float(x) for x in e.first().embedding]
+    by_list = search.knn_topk(vec, q, 7, round_digits=6).orderBy("rank").collect()
+    by_col = search.knn_topk(vec, F.array(*[F.lit(x) for x in q]), 7, round_digits=6).orderBy("rank").collect()
+    assert [(r.id, r.distance) for r in by_list] == [(r.id, r.distance) for r in by_col]
+    plan = search.knn_topk(vec, q, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "zip_with" not in plan
