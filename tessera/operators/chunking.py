@@ -1,6 +1,7 @@
 """G1 overlapping chunker, F19 time estimation, F20 chunk metadata, P7, P9.
 
-The chunker is one native Column expression per transcript (no Python):
+The chunker is built from native Column expressions, a few projections per
+transcript (no Python):
 
 1. *Split.*  A piece is split on the first separator (from its remaining
    list) that occurs in it, the separator staying at the head of the
@@ -31,8 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed_values as fv
-from tessera.functions.text import doc_clean
-from tessera.functions.text import strip_ws as text_strip
+from tessera.functions.text import doc_clean, strip_ws
 from tessera.functions.vectors import explode_array, let
 from tessera.session import memo_column
 
@@ -40,9 +40,8 @@ from tessera.session import memo_column
 # matches are taken left to right without overlap, as a regex split does).
 _SPLIT_MARK = "\u0000"
 
-def strip_ws(c: Column) -> Column:
-    """Strip Unicode whitespace at both ends (as Python ``str.strip``)."""
-    return text_strip(c)
+__all__ = ["with_pieces", "with_chunks", "chunk_transcripts", "estimate_times", "chars_per_second",
+           "chunk_metadata_columns", "guarded_overlap", "min_chunk_size", "strip_ws"]
 
 
 def _split_keep(s: Column, j: Column, separators: Sequence[str]) -> Column:
