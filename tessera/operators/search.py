@@ -167,13 +167,13 @@ def _as_block(spark: SparkSession, rows):
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = fv.DEFAULT_TOP_K,
               metric: str = "l2", id_col: str = "id", vec_col: str = "embedding",
               qid_col: str = "query_id", qvec_col: str = "qv",
-              round_digits: int | None = None, dim_hint: int = 1024,
+              round_digits: int | None = None,
               max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
               payload: list[str] | tuple = ()) -> DataFrame:
     """T2, many queries: ``(query_id, id, distance, rank, *payload)``, k nearest per query.
 
     The queries are read with a bounded ``limit``: at most as many rows as fit
-    the broadcast bound at ``dim_hint`` dimensions.  When the bound is
+    the broadcast bound at the queries' dimension.  When the bound is
     reached, the query set is split into hash blocks that each fit, and the
     vectors are checkpointed once so that the blocks do not recompute them.
     ``payload`` columns of the vectors travel with the few selected rows, so
@@ -186,7 +186,12 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = fv.DEFAULT_TOP_K,
     extra = "".join(f", {c} {dict(vectors.dtypes)[c]}" for c in payload)
     out_schema = f"query_id {qid_type}, {id_col} {id_type}, distance double{extra}"
     live = queries.select(qid_col, qvec_col).where(F.col(qvec_col).isNotNull())
-    cap = max(1, max_broadcast_bytes // (8 * max(dim_hint, 1)))
+    # the dimension of one query bounds the bytes of the collect that follows
+    first = live.select(F.size(qvec_col).alias("d")).first()
+    if first is None:
+        return spark.createDataFrame([], out_schema + ", rank int")
+    dim = max(int(first["d"]), 1)
+    cap = max(1, max_broadcast_bytes // (8 * dim))
     rows = live.limit(cap + 1).collect()
     dim = max((len(r[1]) for r in rows), default=1)
     if len(rows) <= cap and len(rows) * dim * 8 <= max_broadcast_bytes:
