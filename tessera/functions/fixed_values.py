@@ -53,6 +53,9 @@ DEFAULT_CHANNEL_LIMIT = 10
 # --- FIXED VALUES: search defaults -----------------------------------------------
 DEFAULT_TOP_K = 5
 DEFAULT_COLLECTION = "bili_videos"
+DEMO_QUERY = "视频内容"
+REPORT_PREVIEW = 300       # characters of chunk text in a search report
+DEMO_PREVIEW = 200         # characters of chunk text in the demo report
 
 # --- FIXED VALUES: metadata keys flattened into stored rows and stripped on read
 FLATTENED_KEYS = ["start_time", "end_time", "source_file", "chunk_index",

@@ -50,7 +50,7 @@ def reindex_transcripts(spark: SparkSession, directory: str, kb: KnowledgeBase,
 
 def search_knowledge_base(kb: KnowledgeBase, query_text: str, k: int = fv.DEFAULT_TOP_K,
                           collection: str = fv.DEFAULT_COLLECTION, embedder=None,
-                          metric: str = "l2", preview: int = 300) -> DataFrame:
+                          metric: str = "l2", preview: int = fv.REPORT_PREVIEW) -> DataFrame:
     """L3: embed the query with the collection's embedder, top-k, report lines.
 
     The query vector (one row, its size bounded by the dimension) is
@@ -67,6 +67,13 @@ def search_knowledge_base(kb: KnowledgeBase, query_text: str, k: int = fv.DEFAUL
         "report")
 
 
+def demo_search(kb: KnowledgeBase, query_text: str | None = None,
+                collection: str = fv.DEFAULT_COLLECTION, embedder=None) -> DataFrame:
+    """The search demo: L3 with the default query and a shorter text preview."""
+    return search_knowledge_base(kb, query_text or fv.DEMO_QUERY, fv.DEFAULT_TOP_K, collection,
+                                 embedder, preview=fv.DEMO_PREVIEW)
+
+
 def url_work_list(spark: SparkSession, list_paths: list[str], cli_urls: DataFrame | None,
                   catalogue: DataFrame, limit: int = fv.DEFAULT_CHANNEL_LIMIT) -> DataFrame:
     """L4: URL files then CLI URLs -> route/expand -> strict host check.

@@ -145,3 +145,13 @@ def test_file_names_unique_on_duplicate_urls(spark):
     assert names[3] == "transcript_TS_003.md"
     assert names[4].startswith("transcript_TS_") and names[4].count("_") == 2   # unique URL: no suffix
     assert names[1].count("_") == 3 and names[2].count("_") == 3                # duplicates: suffixed
+
+
+def test_demo_search_preview(spark, sf_small):
+    kb = KnowledgeBase(spark, scratch_path(spark, "kbdemo"))
+    flows.build_knowledge_base(tables.document_transcripts(spark, sf_small), kb)
+    res = flows.demo_search(kb).orderBy("rank").collect()
+    assert len(res) == 5
+    for r in res:
+        line = r.report.split("\n")[1]
+        assert line == "Text: " + r.text[:200] + "..."
