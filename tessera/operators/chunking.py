@@ -109,36 +109,42 @@ def _initial_pieces(text: Column) -> Column:
                             F.lit(False).alias("done")))
 
 
-def _refine(ps: Column, todo: Column, size: int, separators: Sequence[str]) -> Column:
-    """One split level; rows with nothing left to split pass through untouched."""
-    return F.when(todo, F.flatten(F.transform(
-        ps, lambda p: F.when(p["done"], F.array(p)).otherwise(_split_node(p, size, separators)))
-    )).otherwise(ps)
+def _refine(state: Column, size: int, separators: Sequence[str]) -> Column:
+    """One split level over ``state = struct(pieces, todo)``.
+
+    Rows with nothing left to split pass through untouched; otherwise the
+    new pieces are bound once and the flag is recomputed from them.
+    """
+    def with_new(ps: Column) -> Column:
+        return F.struct(ps.alias("pieces"), F.exists(ps, lambda p: ~p["done"]).alias("todo"))
+
+    split = F.flatten(F.transform(
+        state["pieces"],
+        lambda p: F.when(p["done"], F.array(p)).otherwise(_split_node(p, size, separators))))
+    return F.when(state["todo"], let(split, with_new)).otherwise(state)
 
 
 def with_pieces(df: DataFrame, text: str, out: str, size: int = fv.CHUNK_SIZE,
                 separators: Sequence[str] = fv.SEPARATORS) -> DataFrame:
     """Add ``out``: final pieces ``array<struct<s, k, g, done>>`` of the split.
 
-    Each level is its own projection, so the analyser sees one level at a
-    time.  A flag column records whether a row still has pieces to split; it
-    is computed once per level from the new pieces, so rows that are done
-    (most rows after the first level) skip the later levels at the cost of
-    one boolean test.  Each level reads the previous columns twice, so the
-    optimiser keeps the projections apart instead of inlining one into the
-    next.
+    Each level is its own projection over a ``struct(pieces, todo)`` column,
+    so the analyser sees one level at a time.  ``todo`` records whether a
+    row still has pieces to split; rows that are done (most rows after the
+    first level) skip the later levels at the cost of one boolean test.
+    Each level reads the previous column more than once, so the optimiser
+    keeps the projections apart instead of inlining one into the next.
     """
     spark = df.sparkSession
-    todo = f"{out}_todo"
-    df = df.withColumn(out, _initial_pieces(F.col(text))).withColumn(todo, F.lit(True))
+    state = f"{out}_state"
+    df = df.withColumn(state, F.struct(_initial_pieces(F.col(text)).alias("pieces"),
+                                       F.lit(True).alias("todo")))
     # built once per session, applied per level
-    level = memo_column(spark, ("refine", out, todo, size, tuple(separators)),
-                        lambda: _refine(F.col(out), F.col(todo), size, separators))
-    flag = memo_column(spark, ("todo", out, todo),
-                       lambda: F.col(todo) & F.exists(F.col(out), lambda p: ~p["done"]))
+    level = memo_column(spark, ("refine", state, size, tuple(separators)),
+                        lambda: _refine(F.col(state), size, separators))
     for _ in range(len(separators)):
-        df = df.withColumn(out, level).withColumn(todo, flag)
-    return df.drop(todo)
+        df = df.withColumn(state, level)
+    return df.withColumn(out, F.col(state)["pieces"]).drop(state)
 
 
 def _pack(pieces: Column, size: int, overlap: int) -> Column:
