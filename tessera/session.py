@@ -95,6 +95,7 @@ def ship_package(spark: SparkSession) -> None:
         out.close()
     sc.addPyFile(target)
     sc._tessera_shipped = True
+    sc._tessera_pyfile = target
 
 
 def memo_column(spark: SparkSession, key: tuple, build):
