@@ -52,7 +52,11 @@ def fixed(x: Column | str, digits: int = 1) -> Column:
         frac = F.lpad((rounded % F.lit(scale)).cast("string"), digits, "0")
         body = F.concat(body, F.lit("."), frac)
     sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.when(x.isNull(), F.lit(None)).otherwise(F.concat(sign, body))
+    return (F.when(x.isNull(), F.lit(None))
+            .when(F.isnan(x), F.lit("nan"))
+            .when(x == F.lit(float("inf")), F.lit("inf"))
+            .when(x == F.lit(float("-inf")), F.lit("-inf"))
+            .otherwise(F.concat(sign, body)))
 
 
 def transcript_file_name(ts: Column | str, url: Column | str, ordinal: Column | str) -> Column:
