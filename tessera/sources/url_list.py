@@ -24,7 +24,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.globStatus(hpath)) and len(fs.globStatus(hpath)) > 0
+    found = fs.globStatus(hpath)
+    return found is not None and len(found) > 0
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
