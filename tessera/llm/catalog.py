@@ -10,6 +10,7 @@ from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.langid import identify
 from tessera.llm.packing import pack_documents
+from tessera.llm.pii import detect
 from tessera.llm.simhash import simhash_components
 from tessera.llm.token_counts import token_counts
 
@@ -34,6 +35,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"),
                       public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("ids")
@@ -45,6 +50,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_language": op7_language,
+    "op9_pii": op9_pii,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
