@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.byte_bpe import bpe_encode
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.html_extract import extract
 from tessera.llm.langid import identify
 from tessera.llm.packing import pack_documents
 from tessera.llm.pii import detect
@@ -35,6 +36,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_language": op7_language,
+    "op8_html": op8_html,
     "op9_pii": op9_pii,
     "op10_byte_bpe": op10_byte_bpe,
 }
