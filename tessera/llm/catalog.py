@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.byte_bpe import bpe_encode
+from tessera.llm.chat import REPLY_TOOL, conversation_events, format_chat
 from tessera.llm.common import table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.html_extract import extract
@@ -20,6 +21,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chat(conversation_events(table(spark, sf_dir, "conversations")), REPLY_TOOL)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_chat": op3_chat,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
@@ -62,7 +68,36 @@ QUERIES = {
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: A user turn is a call, an assistant turn the result of the turn before; the rest are messages.
+_CHAT = """
+    WITH e AS (
+        SELECT conv_id, turn, role, text,
+               CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+               'call-' || CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS call_id
+        FROM conversations),
+    calls AS (SELECT conv_id, call_id, min(turn) AS first FROM e WHERE kind = 'call' GROUP BY ALL),
+    results AS (SELECT DISTINCT conv_id, call_id FROM e WHERE kind = 'result')
+    SELECT e.conv_id, e.turn, e.kind, e.call_id,
+           CASE e.kind WHEN 'result' THEN c.first END AS linked_turn,
+           CASE e.kind WHEN 'message' THEN e.turn ELSE greatest(e.turn, c.first) END AS position,
+           CASE WHEN e.kind = 'result' AND c.first IS NOT NULL THEN 1 ELSE 0 END::INT AS level,
+           CASE WHEN e.kind = 'result' AND c.first IS NULL THEN 'orphan'
+                WHEN e.kind = 'call' AND e.turn > c.first THEN 'duplicate'
+                WHEN e.kind = 'call' AND e.text IS NULL THEN 'bad arguments'
+                WHEN e.kind = 'call' AND r.call_id IS NULL THEN 'open' END AS problem,
+           CASE e.kind
+               WHEN 'call' THEN '{"role":"assistant","tool_calls":[{"arguments":{"prompt":'
+                    || coalesce(to_json(e.text)::VARCHAR, 'null') || ',"turn":' || e.turn || '},"id":'
+                    || to_json(e.call_id)::VARCHAR || ',"name":"reply"}]}'
+               WHEN 'result' THEN '{"content":' || coalesce(to_json(e.text)::VARCHAR, 'null')
+                    || ',"role":"tool","tool_call_id":' || to_json(e.call_id)::VARCHAR || '}'
+               ELSE '{"content":' || coalesce(to_json(e.text)::VARCHAR, 'null') || ',"role":'
+                    || to_json(e.role)::VARCHAR || '}' END AS json
+    FROM e LEFT JOIN calls c ON e.conv_id = c.conv_id AND e.call_id = c.call_id AND e.kind != 'message'
+           LEFT JOIN results r ON e.conv_id = r.conv_id AND e.call_id = r.call_id AND e.kind = 'call'"""
+
 ORACLES = {
+    "op3_chat": _CHAT,
     "op4_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
