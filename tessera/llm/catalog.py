@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm.bm25 import search
 from tessera.llm.byte_bpe import bpe_encode
 from tessera.llm.chat import REPLY_TOOL, conversation_events, format_chat
 from tessera.llm.common import table
@@ -21,6 +23,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chat(conversation_events(table(spark, sf_dir, "conversations")), REPLY_TOOL)
 
@@ -56,6 +62,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_bm25": op2_bm25,
     "op3_chat": op3_chat,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_counts": op5_token_counts,
