@@ -1,0 +1,19 @@
+from __future__ import annotations
+
+import glob
+import os
+
+import pytest
+
+
+def read_rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+@pytest.fixture(scope="session")
+def documents(spark, sf_small):
+    return spark.read.parquet(f"{sf_small}/documents.parquet")
+
+
+def parquet(path):
+    return path if os.path.isfile(path) else sorted(glob.glob(f"{path}/*.parquet"))
