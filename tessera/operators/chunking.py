@@ -18,7 +18,8 @@ transcript (no Python):
    shorter than ``min_size`` are dropped (leaving gaps in the numbering).
 
 Every piece is a substring of the text and pieces concatenate back to it,
-so a chunk is kept as (offset, length) while packing and cut out at the end.
+so a chunk is kept as a range of pieces while packing and joined at the end,
+in time linear in the text.
 The work is per row: no shuffle, and every transcript is handled in the
 task that reads it.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed_values as fv
-from tessera.functions.text import doc_clean, strip_ws
+from tessera.functions.text import WS_CHARS, doc_clean, strip_ws
 from tessera.functions.vectors import explode_array, let
 from tessera.session import memo_column
 
@@ -147,24 +148,29 @@ def with_pieces(df: DataFrame, text: str, out: str, size: int = fv.CHUNK_SIZE,
     return df.withColumn(out, F.col(state)["pieces"]).drop(state)
 
 
+def _part(array: Column, first: Column, count: Column) -> Column:
+    """``count`` (at least 1) elements from index ``first``; ``slice`` would copy the whole array."""
+    return F.transform(F.sequence(first, first + count - 1), lambda i: F.get(array, i))
+
+
 def _pack(pieces: Column, size: int, overlap: int) -> Column:
-    """Greedy packing of final pieces into (offset, length) chunks."""
+    """Greedy packing of final pieces into chunks: first piece, number of pieces, offset."""
 
     def with_lens(lens: Column) -> Column:
         items = F.transform(pieces, lambda p, i: F.struct(
             F.length(p["s"]).alias("len"), p["g"].alias("g"), i.alias("i")))
         init = F.struct(
-            F.array().cast("array<struct<off:int,len:int>>").alias("chunks"),
+            F.array().cast("array<struct<a:int,n:int,off:int>>").alias("chunks"),
             F.lit(0).alias("a"), F.lit(0).alias("off"), F.lit(0).alias("total"),
             F.lit(None).cast("string").alias("g"))
 
-        def emit(acc: Column) -> Column:
+        def emit(acc: Column, end: Column) -> Column:
             return F.when(acc["total"] > 0, F.array_append(
-                acc["chunks"], F.struct(acc["off"].alias("off"), acc["total"].alias("len")))
+                acc["chunks"], F.struct(acc["a"].alias("a"), (end - acc["a"]).alias("n"), acc["off"].alias("off")))
             ).otherwise(acc["chunks"])
 
         def pop(acc: Column, x: Column) -> Column:
-            window = F.slice(lens, acc["a"] + 1, x["i"] - acc["a"])
+            window = _part(lens, acc["a"], x["i"] - acc["a"])
             start = F.struct(acc["a"].alias("a"), acc["off"].alias("off"),
                              acc["total"].alias("total"), F.lit(False).alias("stop"))
 
@@ -183,7 +189,7 @@ def _pack(pieces: Column, size: int, overlap: int) -> Column:
         def merge(acc: Column, x: Column) -> Column:
             new_group = acc["g"].isNull() | (acc["g"] != x["g"])
             overflow = (acc["total"] + x["len"] > F.lit(size)) & (acc["total"] > 0)
-            switched = F.struct(emit(acc).alias("chunks"), x["i"].alias("a"),
+            switched = F.struct(emit(acc, x["i"]).alias("chunks"), x["i"].alias("a"),
                                 (acc["off"] + acc["total"]).alias("off"),
                                 x["len"].alias("total"), x["g"].alias("g"))
             grown = F.struct(acc["chunks"].alias("chunks"), acc["a"].alias("a"),
@@ -191,7 +197,7 @@ def _pack(pieces: Column, size: int, overlap: int) -> Column:
                              acc["g"].alias("g"))
 
             def flushed(st: Column) -> Column:
-                return F.struct(emit(acc).alias("chunks"), st["a"].alias("a"),
+                return F.struct(emit(acc, x["i"]).alias("chunks"), st["a"].alias("a"),
                                 st["off"].alias("off"), (st["total"] + x["len"]).alias("total"),
                                 acc["g"].alias("g"))
 
@@ -199,7 +205,7 @@ def _pack(pieces: Column, size: int, overlap: int) -> Column:
                     .when(overflow, let(pop(acc, x), flushed))
                     .otherwise(grown))
 
-        return F.aggregate(items, init, merge, lambda acc: emit(acc))
+        return F.aggregate(items, init, merge, lambda acc: emit(acc, F.size(lens)))
 
     return let(F.transform(pieces, lambda p: F.length(p["s"])), with_lens)
 
@@ -207,7 +213,12 @@ def _pack(pieces: Column, size: int, overlap: int) -> Column:
 def with_chunks(df: DataFrame, text: str, out: str, size: int = fv.CHUNK_SIZE,
                 overlap: int = fv.CHUNK_OVERLAP,
                 separators: Sequence[str] = fv.SEPARATORS) -> DataFrame:
-    """Add ``out``: the chunk texts of column ``text`` (stripped, non-empty), in order."""
+    """Add ``out``: the chunks of column ``text`` in order, as structs of the text ``s`` (stripped,
+    non-empty) and its character offset ``off`` in the column.
+
+    A chunk is joined from its pieces, not cut out of the text: finding a character position in a
+    string takes time in proportion to the position, joining only to the chunk.
+    """
     if overlap > size:
         raise ValueError("overlap must not exceed size")
     pieces = f"_{out}_pieces"
@@ -216,14 +227,17 @@ def with_chunks(df: DataFrame, text: str, out: str, size: int = fv.CHUNK_SIZE,
     df = with_pieces(df, text, pieces, size, separators)
     pack = memo_column(spark, ("pack", pieces, size, overlap),
                        lambda: _pack(F.col(pieces), size, overlap))
-    df = df.withColumn(spans, pack).drop(pieces)
+    df = df.withColumn(spans, pack)
 
     def cut() -> Column:
-        t = F.col(text)
-        texts = F.transform(F.col(spans), lambda c: strip_ws(F.substring(t, c["off"] + 1, c["len"])))
-        return F.filter(texts, lambda x: x != F.lit(""))
+        def one(c: Column) -> Column:
+            raw = F.array_join(F.transform(_part(F.col(pieces), c["a"], c["n"]), lambda p: p["s"]), "")
+            return let(raw, lambda r: let(strip_ws(r), lambda t: F.struct(
+                t.alias("s"), (c["off"] + F.length(r) - F.length(F.ltrim(r, F.lit(WS_CHARS)))).alias("off"))))
 
-    return df.withColumn(out, memo_column(spark, ("cut", text, spans), cut)).drop(spans)
+        return F.filter(F.transform(F.col(spans), one), lambda x: x["s"] != F.lit(""))
+
+    return df.withColumn(out, memo_column(spark, ("cut", pieces, spans), cut)).drop(spans, pieces)
 
 
 def guarded_overlap(size: int, overlap: int) -> int:
@@ -241,17 +255,20 @@ def chars_per_second(cleaned: Column, s0: Column, e1: Column) -> Column:
 
 
 def estimate_times(chunk: Column, cleaned: Column, s0: Column, e1: Column,
-                   prefix: int = fv.TIME_MATCH_PREFIX, cps: Column | None = None) -> Column:
+                   prefix: int = fv.TIME_MATCH_PREFIX, cps: Column | None = None,
+                   position: Column | None = None) -> Column:
     """(start, end) of a chunk by its character position in the text.
 
     The first occurrence of the chunk's first ``prefix`` characters gives
     its position; times are interpolated linearly over the transcript span
     and clamped to it.  Not found, or a zero span, gives the whole span.
-    ``cps`` may be passed in when it is already bound for the transcript.
+    ``cps`` may be passed in when it is already bound for the transcript; a
+    known ``position`` is used instead of the search.
     Each intermediate value is bound once (no re-evaluation inside lambdas).
     """
     cps = chars_per_second(cleaned, s0, e1) if cps is None else cps
-    pos = F.call_function("instr", cleaned, F.substring(strip_ws(chunk), 1, prefix)) - 1
+    pos = position if position is not None else (
+        F.call_function("instr", cleaned, F.substring(strip_ws(chunk), 1, prefix)) - 1)
 
     def from_pos(p: Column) -> Column:
         def from_start(st: Column) -> Column:
@@ -270,9 +287,15 @@ def chunk_transcripts(transcripts: DataFrame, size: int = fv.CHUNK_SIZE,
                       overlap: int = fv.CHUNK_OVERLAP,
                       separators: Sequence[str] = fv.SEPARATORS,
                       fillers: Sequence[str] = fv.FILLER_WORDS,
-                      keep: Sequence[str] = ()) -> DataFrame:
+                      keep: Sequence[str] = (), times: str | None = "prefix",
+                      min_size: int | None = None) -> DataFrame:
     """G1 over a transcripts table.
 
+    ``times`` says how a chunk's place is found for its times (F19): by the first occurrence of
+    its first characters (``prefix``, the compatible rule: a repeated passage gets the time of its
+    first occurrence), by its known ``offset``, which takes no search, or not at all (None: no
+    time columns).  ``min_size`` is the shortest chunk kept (default: by the chunk size).
+
     Input columns: ``transcript_id``, ``full_text``, ``n_segments``,
     ``first_start``, ``last_end``, ``language``, ``source_url``, ``source_file``,
     ``total_duration``, ``processing_time``.  Output: one row per chunk with
@@ -280,15 +303,21 @@ def chunk_transcripts(transcripts: DataFrame, size: int = fv.CHUNK_SIZE,
     columns of F20, plus the transcript columns named in ``keep``.
     """
     overlap = guarded_overlap(size, overlap)
-    min_size = min_chunk_size(size)
+    min_size = min_chunk_size(size) if min_size is None else min_size
     t = (transcripts.where(F.col("n_segments") > 0)                      # P9
          .withColumn("cleaned", doc_clean("full_text", fillers)))
     cleaned, s0, e1 = F.col("cleaned"), F.col("first_start"), F.col("last_end")
     t = with_chunks(t, "cleaned", "_chunks", size, overlap, separators)
-    timed = let(chars_per_second(cleaned, s0, e1), lambda cps: F.transform(F.col("_chunks"), lambda c: F.struct(
-        c.alias("text"), estimate_times(c, cleaned, s0, e1, cps=cps).alias("t"))))
-    whole = F.array(F.struct(cleaned.alias("text"),
-                             F.struct(s0.alias("start_time"), e1.alias("end_time")).alias("t")))
+    names = [] if times is None else ["start_time", "end_time"]
+    if times is None:
+        timed = F.transform(F.col("_chunks"), lambda c: F.struct(c["s"].alias("text")))
+        whole = F.array(F.struct(cleaned.alias("text")))
+    else:
+        timed = let(chars_per_second(cleaned, s0, e1), lambda cps: F.transform(F.col("_chunks"), lambda c: F.struct(
+            c["s"].alias("text"), estimate_times(
+                c["s"], cleaned, s0, e1, cps=cps, position=c["off"] if times == "offset" else None).alias("t"))))
+        whole = F.array(F.struct(cleaned.alias("text"),
+                                 F.struct(s0.alias("start_time"), e1.alias("end_time")).alias("t")))
     short = F.length(cleaned) < F.lit(min_size)
     chunks = F.when(short, whole).otherwise(timed)
     staged = t.select("*", short.alias("_short"), chunks.alias("_arr")).drop("cleaned", "_chunks")
@@ -299,8 +328,7 @@ def chunk_transcripts(transcripts: DataFrame, size: int = fv.CHUNK_SIZE,
         "transcript_id",
         F.col("chunk_index").cast("int").alias("chunk_index"),
         F.col("_c.text").alias("text"),
-        F.col("_c.t.start_time").alias("start_time"),
-        F.col("_c.t.end_time").alias("end_time"),
+        *[F.col(f"_c.t.{n}").alias(n) for n in names],
         *chunk_metadata_columns(), *keep)
 
 

@@ -63,7 +63,7 @@ class KnowledgeBase:
             "name", F.col("e.description").alias("description"))
 
     def _log(self, events: DataFrame) -> None:
-        events.coalesce(1).write.mode("append").parquet(self.registry_path)
+        events.write.mode("append").parquet(self.registry_path)
 
     def create(self, name: str, description: str | None = None) -> DataFrame:
         """Create-or-get; an existing collection keeps its description.
@@ -105,37 +105,35 @@ class KnowledgeBase:
         """Delete the partitions of the given collection names (storage metadata only)."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in self._partition_names_in(gone):
-            part = jvm.org.apache.hadoop.fs.Path(f"{self.rows_path}/collection={name}")
+        for folder in self._partition_folders_in(gone):
+            part = jvm.org.apache.hadoop.fs.Path(f"{self.rows_path}/{folder}")
             fs = part.getFileSystem(conf)
             if fs.exists(part):
                 fs.delete(part, True)
 
-    def _partition_names_in(self, gone: DataFrame) -> list[str]:
-        """Names of existing partition directories that are in ``gone``.
+    def _partition_folders_in(self, gone: DataFrame) -> list[str]:
+        """Existing partition folders of the collections in ``gone``.
 
         Reads the directory listing (one entry per collection), not the rows.
+        Folder names are escaped, so collections are compared by the name a
+        folder stands for.
         """
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.rows_path)
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(root):
             return []
-        present = [st.getPath().getName().split("=", 1)[1] for st in fs.listStatus(root)
+        present = [st.getPath().getName() for st in fs.listStatus(root)
                    if st.isDirectory() and st.getPath().getName().startswith("collection=")]
         if not present:
             return []
-        listing = self.spark.createDataFrame([(n,) for n in present], "name string")
-        return [r["name"] for r in listing.join(gone, "name", "left_semi").collect()]
+        listing = self.spark.createDataFrame([(_unescape(n.split("=", 1)[1]), n) for n in present],
+                                             "name string, folder string")
+        return [r["folder"] for r in listing.join(gone, "name", "left_semi").collect()]
 
     def drop(self, name: str) -> None:
         """Remove the registry entry and the collection's partition."""
-        self._log(self.spark.createDataFrame([(name, None, "drop", time.time_ns())], REGISTRY_SCHEMA))
-        jvm = self.spark.sparkContext._jvm
-        part = jvm.org.apache.hadoop.fs.Path(f"{self.rows_path}/collection={name}")
-        fs = part.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(part):
-            fs.delete(part, True)
+        self.drop_many(self.spark.createDataFrame([(name,)], "name string"))
 
     # ---- rows ---------------------------------------------------------------------
     def all_rows(self) -> DataFrame:
@@ -228,16 +226,16 @@ def _unescape(part: str) -> str:
 def to_rows(items: DataFrame, run_id: str, *extra_cols) -> DataFrame:
     """F20 on insert: the stored row shape, with falsy defaults and a fresh id.
 
-    The id is a hash of the run id and the row's identity, so a retried task
-    writes the same ids as the first attempt.
+    The id is a hash of the run id and the row's position (task and row in
+    it), so equal rows of one append have different ids, and a retried task
+    writes the ids of the first attempt.
     """
     cols = set(items.columns)
 
     def get(name: str, typ: str):
         return F.col(name).cast(typ) if name in cols else F.lit(None).cast(typ)
 
-    ident = F.concat_ws("\u0001", F.lit(run_id), get("transcript_id", "string"),
-                        get("source_file", "string"), get("chunk_index", "string"), get("text", "string"))
+    ident = F.concat(F.lit(run_id + "/"), F.monotonically_increasing_id().cast("string"))
     text = F.coalesce(get("text", "string"), F.lit(""))
     return items.select(
         F.sha2(ident, 256).substr(1, 32).alias("id"),

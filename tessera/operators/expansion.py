@@ -23,8 +23,9 @@ def _first_n(catalogue: DataFrame, limit: int) -> DataFrame:
 
 
 def container_key(url: Column, kind: Column) -> Column:
-    """Catalogue key of a container URL: the list id, or the channel's last path segment."""
-    return (F.when(kind == F.lit("playlist"), U.playlist_id(url))
+    """Catalogue key of a container URL: the list id (the URL itself if it has none), or the
+    channel's last path segment."""
+    return (F.when(kind == F.lit("playlist"), F.coalesce(U.playlist_id(url), url))
             .when(kind == F.lit("channel"), U.last_path_segment(url)))
 
 
@@ -51,8 +52,9 @@ def channel_expand(urls: DataFrame, catalogue: DataFrame, limit: int = fv.DEFAUL
 
 def playlist_expand(urls: DataFrame, catalogue: DataFrame, limit: int = 0,
                     prefix: str = fv.ITEM_URL_PREFIX) -> DataFrame:
-    """Entries of the canonical playlist (F11); ``limit <= 0`` keeps all."""
-    keyed = urls.withColumn("_key", U.playlist_id(F.col("url")))
+    """Entries of the canonical playlist (F11), listed by URL where it has no list id;
+    ``limit <= 0`` keeps all."""
+    keyed = urls.withColumn("_key", container_key(F.col("url"), F.lit("playlist")))
     return _expand(keyed, catalogue, limit, False, prefix)
 
 

@@ -51,17 +51,22 @@ def knn_topk(vectors: DataFrame, query, k: int = fv.DEFAULT_TOP_K, metric: str =
     from tessera.functions.vectors import MAX_EXPANDED_DIM, squared_l2_to
 
     base = vectors.where(F.col(vec_col).isNotNull())
-    # Rows without a distance (no vector, other dimension) sort last and are
-    # dropped after the limit: filtering them first would make the optimiser
+    # A vector of another dimension than the query is an error.  Rows without
+    # a distance sort last and are dropped after the limit: filtering them first would make the optimiser
     # push the whole distance expression into a filter and compute it twice.
     if isinstance(query, (list, tuple)) and metric == "l2" and 0 < len(query) <= MAX_EXPANDED_DIM:
-        scored = base.withColumn("distance", squared_l2_to(F.col(vec_col), list(query)))
+        same = F.size(vec_col) == len(query)
+        scored = base.withColumn("distance", F.when(same, squared_l2_to(F.col(vec_col), list(query))).otherwise(
+            F.raise_error(F.lit("the query has another dimension than a vector")).cast("double")))
     else:
         q = F.array(*[F.lit(float(x)) for x in query]) if isinstance(query, (list, tuple)) else query
         # a scalar subquery may not sit inside the lambdas of the distance:
         # bind it to a column first
         scored = (base.withColumn("_query", q)
-                  .withColumn("distance", vdistance(F.col(vec_col), F.col("_query"), metric))
+                  .withColumn("distance", F.when(
+                      F.size(vec_col) == F.size("_query"), vdistance(F.col(vec_col), F.col("_query"), metric))
+                      .when(F.col("_query").isNotNull(), F.raise_error(
+                          F.lit("the query has another dimension than a vector")).cast("double")))
                   .drop("_query"))
     if round_digits is not None:
         scored = scored.withColumn("distance", F.round("distance", round_digits))

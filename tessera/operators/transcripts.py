@@ -48,12 +48,13 @@ def assemble(segments: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(seg)).alias("segments"),
         F.min_by("start_time", "seg_idx").alias("first_start"),
         F.max_by("end_time", "seg_idx").alias("last_end"),
+        F.count(F.lit(1)).cast("int").alias("n_segments"),
     )
     return grouped.select(
         "transcript_id",
         "segments",
         F.array_join(F.transform("segments", lambda s: s["text"]), " ").alias("full_text"),
-        F.size("segments").alias("n_segments"),
+        "n_segments",
         "first_start",
         "last_end",
     )

@@ -273,7 +273,7 @@ def q_chunk_conversations(spark, sf):
 @register("chunk_counts", f"""SELECT id AS transcript_id, count(*) AS n_chunks FROM {_DOC_CHUNKS}
     GROUP BY ROLLUP (id)""")
 def q_chunk_counts(spark, sf):
-    return chunk_counts(chunking.chunk_transcripts(tables.document_transcripts(spark, sf)))
+    return chunk_counts(chunking.chunk_transcripts(tables.document_transcripts(spark, sf), times=None))
 
 
 def _windows_sql() -> str:
@@ -348,7 +348,7 @@ _CHUNK_KEYED = f"(SELECT id * 1000000 + chunk_index AS cid, text FROM {_DOC_CHUN
     LEFT JOIN {O.sparse_hash_embedding(_CHUNK_KEYED, 'cid', 'text')} e ON e.id = c.id * 1000000 + c.chunk_index
     GROUP BY c.id, c.chunk_index""")
 def q_chunk_embed(spark, sf):
-    chunks = chunking.chunk_transcripts(tables.document_transcripts(spark, sf))
+    chunks = chunking.chunk_transcripts(tables.document_transcripts(spark, sf), times=None)
     out = embedding.embed_chunks(chunks)
     return out.select("transcript_id", "chunk_index", "model_name", "dimension",
                       r6(V.norm("embedding")).alias("norm"))
@@ -478,7 +478,7 @@ def q_channel_listing_url(spark, sf):
 
 
 def _expand_sql(kind: str, limit: int, drop_self: bool) -> str:
-    key = O.playlist_id("u.url") if kind == "playlist" else O.last_segment("u.url")
+    key = f"coalesce({O.playlist_id('u.url')}, u.url)" if kind == "playlist" else O.last_segment("u.url")
     lim = f"AND c.pos <= {limit}" if limit > 0 else ""
     self_f = f"AND c.item_id <> {O.last_segment('u.url')}" if drop_self else ""
     return f"""SELECT u.url_ord, c.pos AS sub_ord, '{fv.ITEM_URL_PREFIX}' || c.item_id AS url
@@ -506,7 +506,7 @@ def _route_sql(limit: int) -> str:
     UNION ALL
     SELECT u.url_ord, c.pos AS sub_ord, '{fv.ITEM_URL_PREFIX}' || c.item_id AS url, {O.url_kind('u.url')} AS kind
     FROM {allowed} u JOIN {O.CATALOGUE} c
-      ON c.container_id = CASE WHEN {O.url_kind('u.url')} = 'playlist' THEN {O.playlist_id('u.url')}
+      ON c.container_id = CASE WHEN {O.url_kind('u.url')} = 'playlist' THEN coalesce({O.playlist_id('u.url')}, u.url)
                                WHEN {O.url_kind('u.url')} = 'channel' THEN {O.last_segment('u.url')} END
     WHERE c.item_id IS NOT NULL AND c.pos <= {limit}
       AND ({O.url_kind('u.url')} = 'playlist' OR c.item_id <> {O.last_segment('u.url')})"""

@@ -43,5 +43,5 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_url_list(lines: DataFrame, path: str, column: str = "line") -> None:
-    """Write one text file holding the given lines (used to stage lists)."""
-    lines.select(F.col(column).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """Write the given lines as text files, in the order of their partitions (used to stage lists)."""
+    lines.select(F.col(column).alias("value")).write.mode("overwrite").text(path)

@@ -9,6 +9,8 @@ needed; progress lives in the checkpoint location (shared storage), and
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,6 +31,11 @@ def transcript_stream(spark: SparkSession, directory: str, max_files_per_trigger
     return raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
 
 
+def stream_id(spark: SparkSession, checkpoint_location: str) -> str:
+    """The id that the stream's checkpoint keeps: the same after a restart, another in a new checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint_location}/metadata", wholetext=True).first()[0])["id"]
+
+
 def start_reindex(spark: SparkSession, directory: str, kb: KnowledgeBase, checkpoint_location: str,
                   collection: str = fv.DEFAULT_COLLECTION, embedder=None,
                   available_now: bool = True, query_name: str = "reindex",
@@ -40,7 +47,7 @@ def start_reindex(spark: SparkSession, directory: str, kb: KnowledgeBase, checkp
         t = batch.withColumn("total_duration", F.col("duration"))
         chunks = chunking.chunk_transcripts(t)
         vectors = embedding.embed_chunks(chunks, embedder)
-        kb.write_batch(vectors, collection, f"{query_name}-{epoch_id}")
+        kb.write_batch(vectors, collection, f"{query_name}-{stream_id(spark, checkpoint_location)}-{epoch_id}")
 
     writer = (parsed.writeStream.foreachBatch(write_batch)
               .option("checkpointLocation", checkpoint_location).queryName(query_name))
