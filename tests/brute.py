@@ -1,111 +1,122 @@
-"""Plain-Python statements of operator semantics, used as brute-force oracles.
+"""Plain-Python statements of the text rules, written from the rules for small fixtures.
 
-They run on small fixtures only, to check the Spark expressions.
+Cleaning is one scan over the characters; splitting works on offsets of the text only.
 """
 
 from __future__ import annotations
 
-import re
-
 from tessera.functions import fixed_values as fv
 
-
-def split_keep(text: str, sep: str) -> list[str]:
-    if sep == "":
-        return [ch for ch in text]
-    parts = re.split("(" + re.escape(sep) + ")", text)
-    out = [parts[0]] + [parts[i] + parts[i + 1] for i in range(1, len(parts) - 1, 2)]
-    if len(parts) % 2 == 0:
-        out.append(parts[-1])
-    return [p for p in out if p != ""]
-
-
-def merge(splits: list[str], size: int, overlap: int) -> list[str]:
-    docs, cur, total = [], [], 0
-    for d in splits:
-        n = len(d)
-        if total + n > size and cur:
-            doc = "".join(cur).strip()
-            if doc:
-                docs.append(doc)
-            while total > overlap or (total + n > size and total > 0):
-                total -= len(cur[0])
-                cur = cur[1:]
-        cur.append(d)
-        total += n
-    doc = "".join(cur).strip()
-    if doc:
-        docs.append(doc)
-    return docs
+FULL_WIDTH = dict(zip(fv.ASCII_MARKS, fv.FULL_WIDTH_MARKS))
 
 
-def recursive_split(text: str, separators: list[str], size: int, overlap: int) -> list[str]:
-    final, sep, rest = [], separators[-1], []
-    for i, s in enumerate(separators):
-        if s == "":
-            sep = s
-            break
-        if s in text:
-            sep, rest = s, separators[i + 1:]
-            break
-    good = []
-    for piece in split_keep(text, sep):
-        if len(piece) < size:
-            good.append(piece)
-        else:
-            if good:
-                final.extend(merge(good, size, overlap))
-                good = []
-            if not rest:
-                final.append(piece)
-            else:
-                final.extend(recursive_split(piece, rest, size, overlap))
-    if good:
-        final.extend(merge(good, size, overlap))
-    return final
-
-
-FILLERS = set(fv.FILLER_WORDS)
-
-
-def doc_clean(text):
-    if not text:
-        return ""
-    text = re.sub(r"\s+", " ", text.strip())
-    text = " ".join(w for w in text.split() if w not in FILLERS)
-    for a, b in [(", ", "，"), (". ", "。"), ("? ", "？"), ("! ", "！"), (": ", "："), ("; ", "；"),
-                 (",", "，"), (".", "。"), ("?", "？"), ("!", "！"), (":", "："), (";", "；")]:
-        text = text.replace(a, b)
-    text = re.sub(r"([。！？，；：])\1+", r"\1", text)
-    return text.strip()
-
-
-def segment_clean(text):
-    if not text:
-        return ""
-    t = re.sub(r"\s+", " ", text.strip())
-    return re.sub(r"[。，]{2,}", lambda m: m.group(0)[0], t)
-
-
-def chunk_transcript(full_text, first_start, last_end, size=1000, overlap=200,
-                     separators=None):
-    """(chunk_index, text, start, end) of one transcript with segments."""
-    separators = separators or list(fv.SEPARATORS)
-    min_size = max(100, size // 10)
-    cleaned = doc_clean(full_text)
-    if len(cleaned) < min_size:
-        return [(0, cleaned, first_start, last_end)]
-    out = []
-    for i, c in enumerate(recursive_split(cleaned, separators, size, overlap)):
-        if len(c.strip()) < min_size:
+def doc_clean(text: str | None) -> str:
+    """Words without fillers, one blank between them; marks full-width, a blank after an ASCII one
+    swallowed; a run of one mark is one mark."""
+    line = " ".join(w for w in (text or "").split() if w not in fv.FILLER_WORDS)
+    out: list[str] = []
+    swallow = False
+    for ch in line:
+        if swallow and ch == " ":
+            swallow = False
+            continue
+        swallow = ch in FULL_WIDTH
+        mark = FULL_WIDTH.get(ch, ch)
+        if not (mark in fv.DEDUP_MARKS and out and out[-1] == mark):
+            out.append(mark)
+    return "".join(out).strip(" ")
+
+
+def segment_clean(text: str | None) -> str:
+    """One blank between words; of a run of segment marks, the first stays."""
+    out: list[str] = []
+    for ch in " ".join((text or "").split()):
+        if not (ch in fv.SEGMENT_DEDUP_MARKS and out and out[-1] in fv.SEGMENT_DEDUP_MARKS):
+            out.append(ch)
+    return "".join(out)
+
+
+def boundaries(text: str, start: int, end: int, sep: str) -> list[int]:
+    """Offsets at which the range is cut: before each separator, which leads the piece after it."""
+    if not sep:
+        return list(range(start + 1, end))
+    found, at = [], text.find(sep, start, end)
+    while at >= 0:
+        found.append(at)
+        at = text.find(sep, at + len(sep), end)
+    return [x for x in found if x > start]
+
+
+def pieces(text: str, separators: list[str], size: int):
+    """(start, end, group) of the final pieces in order; a new group begins at each split and after
+    each piece that was split further."""
+    out, group = [], 0
+    todo = [(0, len(text), 0, True)]
+    while todo:
+        start, end, level, must_split = todo.pop()
+        if start == end:
             continue
-        pos = cleaned.find(c.strip()[:50])
-        span = last_end - first_start
-        if pos == -1 or span == 0:
-            out.append((i, c, first_start, last_end))
+        if not must_split:
+            out.append((start, end, level))  # level carries the group here
             continue
-        cps = len(cleaned) / span
-        start = first_start + pos / cps
-        end = start + len(c) / cps
-        out.append((i, c, max(first_start, start), min(last_end, end)))
+        used = next((i for i in range(level, len(separators)) if separators[i] in text[start:end]), None)
+        sep = separators[-1] if used is None else separators[used]
+        later = len(separators) if used is None or not sep else used + 1
+        edges = [start, *boundaries(text, start, end, sep), end]
+        group += 1
+        children = []
+        for a, b in zip(edges, edges[1:]):
+            if b - a < size:
+                children.append((a, b, group, False))
+            else:
+                group += 1
+                if later >= len(separators):
+                    children.append((a, b, group, False))
+                else:
+                    children.append((a, b, later, True))
+                group += 1
+        todo.extend(reversed(children))
     return out
+
+
+def recursive_split(text: str, separators: list[str], size: int, overlap: int) -> list[str]:
+    """Chunks: windows over the pieces of a group, from the first piece that still fits."""
+    final = pieces(text, separators, size)
+    chunks = []
+
+    def emit(first, last):
+        body = text[final[first][0]:final[last][1]].strip()
+        if body:
+            chunks.append(body)
+
+    first = 0
+    for j, (_, end, group) in enumerate(final):
+        if j and group != final[j - 1][2]:
+            emit(first, j - 1)
+            first = j
+        elif j > first and end - final[first][0] > size:
+            emit(first, j - 1)
+            while first < j and (final[j - 1][1] - final[first][0] > overlap or end - final[first][0] > size):
+                first += 1
+    if final:
+        emit(first, len(final) - 1)
+    return chunks
+
+
+def chunk_transcript(full_text, first_start, last_end, size=1000, overlap=200, separators=None):
+    """(index, text, start, end): a chunk's place is where its first 50 characters first occur."""
+    text = doc_clean(full_text)
+    shortest = max(100, size // 10)
+    if len(text) < shortest:
+        return [(0, text, first_start, last_end)]
+    span = last_end - first_start
+    rows = []
+    for index, body in enumerate(recursive_split(text, separators or list(fv.SEPARATORS), size, overlap)):
+        if len(body) >= shortest:
+            begin, finish = first_start, last_end
+            if span:
+                place = text.index(body[:fv.TIME_MATCH_PREFIX])
+                begin = max(begin, first_start + span * place / len(text))
+                finish = min(finish, first_start + span * (place + len(body)) / len(text))
+            rows.append((index, body, begin, finish))
+    return rows
