@@ -61,34 +61,35 @@ def _json_text(c: Column) -> Column:
 def _levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level, at) of the calls: at is the turn before which a call can't stand.
 
-    ``calls``: one row a call with ``at`` (its own turn) and ``refs`` (ids whose results it uses). Level
-    null: part of a cycle, or behind one.
+    ``calls``: one row a call with ``at`` (its own turn), ``answer`` (the turn of its first result) and
+    ``refs`` (ids whose results it uses). Level null: part of a cycle, or behind one.
     """
-    plain = calls.where(F.size("refs") == 0).select("conv_id", "call_id", F.lit(0).alias("level"), "at")
+    plain = calls.where(F.size("refs") == 0).select("conv_id", "call_id", F.lit(0).alias("level"), "at", "answer")
     waiting = calls.where(F.size("refs") > 0)
     if waiting.isEmpty():
         return plain
-    waiting = materialise(waiting.select("conv_id", "call_id", "at", "refs"), "chat-waiting")
+    waiting = materialise(waiting.select("conv_id", "call_id", "at", "answer", "refs"), "chat-waiting")
     needs = waiting.select("conv_id", "call_id", F.explode("refs").alias("ref"))
     # references to calls that don't exist hold nothing up
     known = calls.select("conv_id", F.col("call_id").alias("ref"))
     needs = materialise(needs.join(known, ["conv_id", "ref"], "left_semi"), "chat-needs")
     done = plain
     while True:
-        have = done.select("conv_id", F.col("call_id").alias("ref"), "level", F.col("at").alias("_ref_at"))
+        have = done.select("conv_id", F.col("call_id").alias("ref"), "level",
+                           F.greatest("at", "answer").alias("_ref_at"))
         state = (needs.join(have, ["conv_id", "ref"], "left").groupBy("conv_id", "call_id")
                  .agg(F.count_if(F.col("level").isNull()).alias("_missing"), F.max("level").alias("_deepest"),
                       F.max("_ref_at").alias("_latest")))
         ready = (waiting.join(state, ["conv_id", "call_id"], "left").where("coalesce(_missing, 0) = 0")
                  .join(done, ["conv_id", "call_id"], "left_anti")
                  .select("conv_id", "call_id", F.coalesce(F.col("_deepest") + 2, F.lit(0)).alias("level"),
-                         F.greatest("at", "_latest").alias("at")))
+                         F.greatest("at", "_latest").alias("at"), "answer"))
         ready = materialise(ready, "chat-round")
         if ready.isEmpty():
             break
         done = done.unionByName(ready)
     stuck = waiting.join(done, ["conv_id", "call_id"], "left_anti").select(
-        "conv_id", "call_id", F.lit(None).cast("int").alias("level"), "at")
+        "conv_id", "call_id", F.lit(None).cast("int").alias("level"), "at", "answer")
     return done.unionByName(stuck)
 
 
@@ -103,17 +104,17 @@ def format_chat(events: DataFrame, schemas: Schema) -> DataFrame:
     calls = (rows.where("kind = 'call' and conv_id is not null and call_id is not null")
              .groupBy("conv_id", "call_id")
              .agg(F.min(at).alias("at"), F.min_by("arguments", at).alias("_args")))
-    refs = F.array_distinct(F.regexp_extract_all(F.col("_args"), F.lit(r'"\$([^"\\]+)"'), F.lit(1)))
-    calls = calls.select("conv_id", "call_id", "at", F.coalesce(refs, F.array().cast("array<string>")).alias("refs"))
-    ordered = _levels(calls).withColumnRenamed("at", "_at").withColumnRenamed("level", "_level")
     answered = (rows.where("kind = 'result' and call_id is not null").groupBy("conv_id", "call_id")
-                .agg(F.lit(True).alias("_answered")))
-    linked = (calls.select("conv_id", "call_id", F.col("at").alias("_first"))
-              .join(ordered, ["conv_id", "call_id"]).join(answered, ["conv_id", "call_id"], "left"))
+                .agg(F.min(at).alias("answer")))
+    refs = F.array_distinct(F.regexp_extract_all(F.col("_args"), F.lit(r'"\$([^"\\]+)"'), F.lit(1)))
+    calls = (calls.select("conv_id", "call_id", "at", F.coalesce(refs, F.array().cast("array<string>")).alias("refs"))
+             .join(answered, ["conv_id", "call_id"], "left"))
+    ordered = _levels(calls).withColumnsRenamed({"at": "_at", "level": "_level", "answer": "_answer"})
+    linked = calls.select("conv_id", "call_id", F.col("at").alias("_first")).join(ordered, ["conv_id", "call_id"])
 
     tied = rows.where("kind != 'message'").join(linked, ["conv_id", "call_id"], "left")
     none = [F.lit(None).cast(t).alias(n) for n, t in
-            (("_first", "long"), ("_level", "int"), ("_at", "long"), ("_answered", "boolean"))]
+            (("_first", "long"), ("_level", "int"), ("_at", "long"), ("_answer", "long"))]
     free = rows.where("kind = 'message'").select("*", *none)
     rows = tied.unionByName(free)
 
@@ -126,7 +127,7 @@ def format_chat(events: DataFrame, schemas: Schema) -> DataFrame:
                .when(is_call & (at > F.col("_first")), "duplicate")
                .when((is_call | is_result) & has_call & F.col("_level").isNull(), "cycle")
                .when(is_call, F.coalesce(_checked(F.col("arguments"), F.col("name"), schemas),
-                                         F.when(F.col("_answered").isNull(), "open"))))
+                                         F.when(F.col("_answer").isNull(), "open"))))
     content, call_id = _json_text(F.col("content")), _json_text(F.col("call_id"))
     arguments = F.coalesce(F.to_json(F.try_parse_json("arguments")), _json_text(F.col("arguments")))
     json = (F.when(is_call, F.concat(F.lit('{"role":"assistant","tool_calls":[{"arguments":'), arguments,
