@@ -21,8 +21,6 @@ rounded first so that engines with different float summation order agree.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +28,7 @@ from tessera.functions import fixed_values as fv
 from tessera.functions.names import result_lines
 from tessera.functions.vectors import distance as vdistance
 from tessera.functions.vectors import distance_to_score
+from tessera.session import ensure_checkpoint_dir, scratch_path
 
 # Upper bound on the broadcast query matrix (queries x dim x 8 bytes).
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -121,6 +120,9 @@ def _partial_topk_fn(qids, qmat_bc, k, metric, id_col, vec_col, round_digits, pa
                 raise ValueError(f"dimension mismatch: vectors {x.shape[1]}, queries {q.shape[1]}")
             ids = pdf[id_col].to_numpy()
             xn = (x * x).sum(axis=1)
+            slack = 1e-12 * (xn.max() + qn.max()) if metric == "l2" else 0.0
+            if round_digits is not None and slack:
+                slack += 10.0 ** -round_digits
             step = max(1, (8 << 20) // max(len(x), 1))           # ~64 MB of distances
             for lo in range(0, n_q, step):
                 hi = min(n_q, lo + step)
@@ -136,12 +138,16 @@ def _partial_topk_fn(qids, qmat_bc, k, metric, id_col, vec_col, round_digits, pa
                 key = np.round(d, round_digits) if round_digits is not None else d
                 key = np.where(np.isfinite(key), key, np.inf)
                 if len(x) > k:
-                    kth = np.partition(key, k - 1, axis=0)[k - 1]
+                    # the product form cancels for near copies: keep all within its error
+                    kth = np.partition(key, k - 1, axis=0)[k - 1] + slack
                     rows, cols = np.nonzero((key <= kth[None, :]) & np.isfinite(key))
                 else:
                     rows, cols = np.nonzero(np.isfinite(key))
                 if len(rows) == 0:
                     continue
+                if metric == "l2":
+                    exact = ((x[rows] - q[lo:hi][cols]) ** 2).sum(axis=1)
+                    key[rows, cols] = np.round(exact, round_digits) if round_digits is not None else exact
                 acc["q"].append(qarr[lo:hi][cols])
                 acc["key"].append(key[rows, cols])
                 acc["id"].append(ids[rows])
@@ -177,10 +183,11 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = fv.DEFAULT_TOP_K,
               payload: list[str] | tuple = ()) -> DataFrame:
     """T2, many queries: ``(query_id, id, distance, rank, *payload)``, k nearest per query.
 
-    The queries are read with a bounded ``limit``: at most as many rows as fit
-    the broadcast bound at the queries' dimension.  When the bound is
-    reached, the query set is split into hash blocks that each fit, and the
-    vectors are checkpointed once so that the blocks do not recompute them.
+    The queries are stored once and then read in hash blocks that fit the
+    broadcast bound, one block at a time: the driver and the executors hold
+    one block, and each block's winners are written to the shared scratch
+    folder before the next begins.  With more than one block the vectors are
+    checkpointed once so that the blocks do not recompute them.
     ``payload`` columns of the vectors travel with the few selected rows, so
     the caller does not need to join the result back to the vectors (which
     would compute them a second time).
@@ -191,35 +198,33 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = fv.DEFAULT_TOP_K,
     extra = "".join(f", {c} {dict(vectors.dtypes)[c]}" for c in payload)
     out_schema = f"query_id {qid_type}, {id_col} {id_type}, distance double{extra}"
     live = queries.select(qid_col, qvec_col).where(F.col(qvec_col).isNotNull())
-    # the dimension of one query bounds the bytes of the collect that follows
-    first = live.select(F.size(qvec_col).alias("d")).first()
-    if first is None:
-        return spark.createDataFrame([], out_schema + ", rank int")
-    dim = max(int(first["d"]), 1)
-    cap = max(1, max_broadcast_bytes // (8 * dim))
-    rows = live.limit(cap + 1).collect()
-    dim = max((len(r[1]) for r in rows), default=1)
-    if len(rows) <= cap and len(rows) * dim * 8 <= max_broadcast_bytes:
-        blocks = [rows]
-    else:
-        stats = live.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("d")).first()
-        per_block = max(1, max_broadcast_bytes // (8 * max(int(stats["d"] or 1), 1)))
-        n_blocks = max(1, math.ceil(int(stats["n"]) / per_block))
-        from tessera.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(spark)
-        # every block scans the vectors again: materialise them once
-        # (reliable checkpoint in the shared spark.checkpoint.dir)
+    path = scratch_path(spark, "knn-queries")
+    live.write.parquet(path)
+    live = spark.read.schema(live.schema).parquet(path)
+    size = live.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec_col)).alias("d")).first()
+    cap = max(1, max_broadcast_bytes // (8 * max(int(size["d"] or 1), 1)))
+    if size["n"] > cap:
         vectors = vectors.select(id_col, vec_col, *payload).checkpoint(eager=True)
-        blocks = [live.where(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(n_blocks)) == F.lit(b)).collect()
-                  for b in range(n_blocks)]
-    partial = None
-    for block in blocks:
-        if not block:
+    blocks, partial = [(1, 0)], None
+    while blocks:
+        parts, own = blocks.pop()
+        block = live.where(F.pmod(F.xxhash64(F.col(qid_col)), F.lit(parts)) == F.lit(own))
+        rows = block.limit(cap + 1).collect() if size["n"] else []
+        if len(rows) > cap:  # too many for one block: its two halves
+            if parts >= 1 << 30:
+                raise ValueError("more queries of one id than a block can hold")
+            blocks += [(2 * parts, own), (2 * parts, own + parts)]
+            continue
+        if not rows:
             continue
-        qids, bc = _as_block(spark, block)
+        qids, bc = _as_block(spark, rows)
         fn = _partial_topk_fn(qids, bc, k, metric, id_col, vec_col, round_digits, tuple(payload))
         part = vectors.select(id_col, vec_col, *payload).mapInPandas(fn, out_schema)
+        if size["n"] > cap:
+            path = scratch_path(spark, "knn-winners")
+            part.write.parquet(path)
+            part = spark.read.schema(out_schema).parquet(path)
+            bc.unpersist()
         partial = part if partial is None else partial.unionByName(part)
     if partial is None:
         return spark.createDataFrame([], out_schema + ", rank int")
@@ -266,8 +271,6 @@ def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int = fv.DEFAULT_TOP_K,
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     # ranked (queries x k rows) feeds two branches; materialise it once in the
     # shared checkpoint folder instead of running the bucket join twice
-    from tessera.session import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(vectors.sparkSession)
     ranked = ranked.checkpoint(eager=True)
     counts = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))

@@ -709,12 +709,34 @@ def q_kb_drop(spark, sf):
     return kb.list().select("name", "document_count")
 
 
-@register("kb_stats", """SELECT source AS name, count(*) AS document_count FROM documents GROUP BY source""")
+@register("kb_stats", f"""SELECT '{fv.DEFAULT_COLLECTION}' AS name, count(*) AS document_count FROM documents""")
 def q_kb_stats(spark, sf):
     kb = _kb(spark)
+    kb.append(_doc_items(spark, sf))
     kb.append_by_column(_doc_items(spark, sf), "collection")
-    counts = kb.all_rows().groupBy("collection").agg(F.count(F.lit(1)).alias("document_count"))
-    return counts.select(F.col("collection").alias("name"), "document_count")
+    return kb.stats().select("name", "document_count")
+
+
+_DEMO_QUERY = f"(SELECT 0 AS qid, '{fv.DEMO_QUERY}' AS q)"
+
+
+@register("kb_search_stored", f"""
+    WITH de AS {O.sparse_hash_embedding("documents", "doc_id", "text")},
+    qe AS {O.sparse_hash_embedding(_DEMO_QUERY, "qid", "q")},
+    d AS (SELECT documents.doc_id, documents.text,
+                 coalesce((SELECT sum(weight * weight) FROM qe), 0.0)
+                 + coalesce((SELECT sum(weight * weight) FROM de WHERE de.id = documents.doc_id), 0.0)
+                 - 2 * coalesce((SELECT sum(qe.weight * de.weight) FROM qe JOIN de USING (bucket)
+                                 WHERE de.id = documents.doc_id), 0.0) AS distance FROM documents)
+    SELECT CAST(row_number() OVER (ORDER BY distance, doc_id) AS INTEGER) AS rank,
+           round(greatest(0.0, 1.0 - distance), 4) AS score, text FROM d
+    ORDER BY distance, doc_id LIMIT {fv.DEFAULT_TOP_K}""")
+def q_kb_search_stored(spark, sf):
+    """L3 over a stored collection: build it, embed the demo's query, search, report."""
+    kb = _kb(spark)
+    kb.append(embedding.embed_chunks(_doc_items(spark, sf)))
+    hits = flows.demo_search(kb)
+    return hits.select(F.col("rank").cast("int").alias("rank"), F.round("score", 4).alias("score"), "text")
 
 
 @register("metadata_strip", """SELECT doc_id, k AS key, v AS value FROM (
