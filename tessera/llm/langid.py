@@ -198,8 +198,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     names = sample.column("_lang").to_pylist()
     languages = sorted(set(names))
     labels = [languages.index(x) for x in names]
-    counts = [(np.array(a, np.int64), np.array(n, np.float64))
-              for a, n in zip(sample.column("at").to_pylist(), sample.column("n").to_pylist())]
+    at, n = (sample.column(c).combine_chunks() for c in ("at", "n"))
+    ends, at, n = at.offsets.to_numpy()[1:-1], at.values.to_numpy(), n.values.to_numpy()
+    counts = list(zip(np.split(at, ends), np.split(n, ends))) if labels else []
     scaled = [(at, (x := n * idf[at]) / np.sqrt(x @ x)) for at, n in counts]
     fit = [i for i in range(len(labels)) if i % CALIBRATE]
     kept = [i for i in range(len(labels)) if not i % CALIBRATE]
