@@ -35,3 +35,16 @@ def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ASCII texts take the byte-wise path of ``lower``."""
     return (F.when(F.octet_length(text) == F.length(text), F.lower(text))
             .otherwise(F.translate(text, A_Z, A_Z.lower())))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, total: int) -> DataFrame:
+    """``rows`` left join ``groups`` (one row a key, with the number of rows that have it).
+
+    A group of over a thousandth of the ``total`` rows would land in one task; there are fewer than
+    a thousand such groups, so these are broadcast, and only the others are joined by shuffling.
+    ``groups`` should be a stored table: it is read for each part.
+    """
+    hot = F.broadcast(groups.where(F.col(size_col) * 1000 > total))
+    cold = groups.where(F.col(size_col) * 1000 <= total)
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, "left")
+    return rows.join(hot, keys).unionByName(rest)

@@ -9,8 +9,9 @@ Everything is DataFrame expressions. Three steps:
    hashes (``2**filter_bits`` bits, at most 8 MB at the default, whatever the corpus) is broadcast,
    and only the texts that hit it are grouped by hash *and* bytes, again combined map-side.
    A crowded bitmap lets more texts through, never fewer.
-3. The narrow rows join their byte-compared group. A group is named by both hashes; if two
-   different texts agreed in both, the job stops with an error instead of merging them.
+3. The narrow rows join their byte-compared group; the few groups of over a thousandth of all rows
+   are broadcast, the others joined by shuffling. A group is named by both hashes; if two different
+   texts agreed in both, the job stops with an error instead of merging them.
 
 Nulls: a null text counts as empty; a null id is lower than any other and is kept only if all ids
 of its group are null. Rows repeated with the same id are the same document: each is returned,
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, materialise, prepare
+from tessera.llm.common import ascii_lower, join_groups, materialise, prepare
 
 #: log2 of the bits in the filter of repeated hashes (26: at most 8 MB broadcast).
 FILTER_BITS = 26
@@ -60,7 +61,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .withColumn("_sha", F.unhex(F.sha2("_norm", 256))))
     rows = materialise(texts.select("_id", "_h", "_sha"), "exact-hashes")
 
-    counts = rows.groupBy("_h", "_sha").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     # a hash is repeated if any two rows share it, equal or not
     repeated = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")
     bitmap = _bit_rows(repeated, filter_bits)
@@ -81,10 +81,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 .withColumn("_n", F.when(F.col("_texts") == 1, F.col("_n")).otherwise(
                     F.raise_error(F.lit("different texts share md5 and sha256")).cast("long")))
                 .where("_n > 1").drop("_texts"))
-    groups = counts.where("_n = 1").unionByName(compared)
-    return (rows.join(groups, ["_h", "_sha"], "left")
+    groups = materialise(compared, "exact-groups")
+    alone = F.col("_n").isNull()
+    keep = F.when(alone, F.col("_id")).otherwise(F.col("_keep"))
+    return (join_groups(rows, groups, ["_h", "_sha"], "_n", rows.count())
             .select(F.col("_id").alias("doc_id"),
-                    F.col("_keep").alias("keep_id"),
-                    F.col("_n").alias("group_size"),
-                    F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"),
+                    keep.alias("keep_id"),
+                    F.coalesce("_n", F.lit(1).cast("long")).alias("group_size"),
+                    F.col("_id").eqNullSafe(keep).alias("kept"),
                     F.lower(F.hex("_sha")).alias("text_sha256")))
