@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 ODD_TEXTS = [
     None, "", " \n\t ", "Hello World", "hello world", "HELLO WORLD", "İstanbul Straße ÀÉ", "a" * 20_000,
     "x " * 30_000, "one", "one two three", "日本語 テキスト 😀", "\x00\x1c\x85 odd", "Hello World",
@@ -21,3 +23,8 @@ def odd_documents(spark, clash=()):
 
 def empty_documents(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.fixture(scope="session")
+def documents(spark, sf_small):
+    return spark.read.parquet(f"{sf_small}/documents.parquet")

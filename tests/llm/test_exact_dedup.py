@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
-from cases import empty_documents, odd_documents
+from cases import documents, empty_documents, odd_documents  # noqa: F401
 from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import exact_dedup

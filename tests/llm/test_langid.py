@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import zlib
 
-from cases import ODD_TEXTS, empty_documents, odd_documents
+from cases import ODD_TEXTS, documents, empty_documents, odd_documents  # noqa: F401
 from pyspark.sql import functions as F
 
 from tessera.llm import langid

@@ -6,7 +6,7 @@ import pytest
 import test_exact_dedup
 import test_pii
 import test_simhash
-from cases import empty_documents, odd_documents
+from cases import documents, empty_documents, odd_documents  # noqa: F401
 from pyspark.sql import functions as F
 from test_text_models import check_packing
 

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import xxhash
-from cases import ODD_TEXTS, empty_documents, odd_documents
+from cases import ODD_TEXTS, documents, empty_documents, odd_documents  # noqa: F401
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash

@@ -13,7 +13,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-from cases import ODD_TEXTS, empty_documents, odd_documents
+from cases import ODD_TEXTS, documents, empty_documents, odd_documents  # noqa: F401
 from tokenizers import Tokenizer
 
 from tessera.llm import byte_bpe, packing, token_counts
