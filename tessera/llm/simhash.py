@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, prepare
+from tessera.llm.common import join_groups, materialise, prepare
 from tessera.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -160,8 +160,9 @@ def prefix_bits_for(n: int, target: int = PREFIX_TARGET) -> int:
 def near_links(fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints ``_fp`` at most ``max_bits`` apart.
 
-    ``n``: their number, by which the width of the shuffle is chosen. The links are true links and
-    connect everything that is connected; not every pair of a dense group is returned.
+    ``n``: their number, by which the width of the shuffle is chosen. Each task links a fingerprint to
+    the smallest one that its verified pairs lead to, so a returned link may stand for a chain of them;
+    what is connected is connected, nothing else is.
     """
     bits = prefix_bits_for(n)
     low = 64 - bits
@@ -179,13 +180,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, _fp long"
     rows = materialise(texts.mapInArrow(_fingerprints, schema), "simhash")
-    nodes = materialise(rows.groupBy("_fp").agg(F.min("doc_id").alias("_low")), "simhash-nodes")
+    nodes = materialise(rows.groupBy("_fp").agg(F.min("doc_id").alias("_low"),
+                                                      F.count(F.lit(1)).alias("_n")), "simhash-nodes")
     links = near_links(nodes.select("_fp"), nodes.count(), max_bits)
     roots = connected_components(links, "simhash-links").select(
         F.col("node").alias("_fp"), F.col("root").alias("_root"))
     rooted = nodes.join(roots, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
     lows = rooted.groupBy("_root").agg(F.min("_low").alias("component_id"))
-    named = rooted.join(lows, "_root").select("_fp", "component_id")
-    return (rows.join(named, "_fp", "left")
+    named = materialise(rooted.join(lows, "_root").select("_fp", "_n", "component_id"), "simhash-named")
+    return (join_groups(rows, named, ["_fp"], "_n", rows.count())
             .select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"),
                     "component_id"))
