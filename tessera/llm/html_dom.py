@@ -1,14 +1,25 @@
-"""A forgiving HTML reader: block nodes with their text, in page order."""
+"""A forgiving HTML reader: block nodes with their text, in page order.
+
+Raw-text elements (scripts, styles and the like) are skipped to their end tag, or the end of the page, as in
+browsers. Controls, drawings and templates (``SKIPPED``) are skipped only if their own end tag follows; without
+one, only the start tag is left out. All other elements are read: the contents of math, object, noscript,
+canvas, audio and video are text of the block around them.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 # Fixed values of HTML: elements by kind.
-RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript", "template",
-       "svg", "math", "select", "button", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes"}
+#: Elements that show no running text, skipped if they are closed.
+SKIPPED = {"button", "select", "svg", "template"}
+#: Elements whose contents stand apart from the words around them.
+APART = SKIPPED | {"br", "object", "noscript", "canvas", "audio", "video"}
+_ARTICLE = {"body", "article", "main"}
 VOID = {"area", "base", "col", "embed", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"html", "body", "article", "main", "section", "div", "nav", "header", "footer", "aside", "form",
           "fieldset", "figure", "figcaption", "blockquote", "pre", "p", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -40,8 +51,57 @@ class Page:
     links: list = field(default_factory=list)
 
 
+def _raw_end(source: str, tag: str, at: int) -> int:
+    end = re.compile(rf"</{re.escape(tag)}\b[^>]*+>?", re.I).search(source, at)
+    return end.end() if end else len(source)
+
+
+def _closed(source: str) -> dict[int, int]:
+    """Ends of the skipped elements that have their own end tag, by the end of their start tag.
+
+    An element is open until its end tag, unless a block around it ends first; but for templates, also unless
+    an article begins in it. A button or select ends where another begins.
+    """
+    out: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    count: Counter[str] = Counter()
+    least: Counter[str] = Counter()  # elements that start before this are taken as unclosed
+    at, size = 0, len(source)
+    while 0 <= (lt := source.find("<", at)) < size:
+        m = _TAG.match(source, lt)
+        if not m:
+            at = lt + 1
+            continue
+        at = m.end()
+        if m[2] is None:
+            continue
+        tag, ends = m[2].lower(), bool(m[1])
+        alone = m[3].endswith("/")
+        if tag in RAW and not ends and not alone:
+            at = _raw_end(source, tag, at)
+        elif tag in SKIPPED or tag in BLOCKS:
+            if not ends:
+                if tag in _ARTICLE:
+                    least["button"] = least["select"] = least["svg"] = at
+                if tag in BLOCKS or not alone:
+                    if tag in ("button", "select"):
+                        least[tag] = at
+                    opened.append((tag, at))
+                    count[tag] += 1
+            elif count[tag]:
+                while True:
+                    last, start = opened.pop()
+                    count[last] -= 1
+                    if last == tag:
+                        break
+                if tag in SKIPPED and start >= least[tag]:
+                    out[start] = at
+    return out
+
+
 def parse(source: str) -> Page:
     page = Page()
+    closed = None
     tags, stack = page.tag, []
     run: list[str] = []
     state = {"linked": 0, "links": 0, "in_link": False}
@@ -99,15 +159,18 @@ def parse(source: str) -> Page:
         if tag == "a":
             state["in_link"] = not ends
             state["links"] += not ends
-        elif tag == "br":
-            run.append(" ")
         elif tag == "hr":
             flush()
         elif tag == "head":
             flush()
         elif tag in RAW and not ends and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*+>?", re.I).search(source, at)
-            at = end.end() if end else size
+            at = _raw_end(source, tag, at)
+        elif tag in APART:
+            run.append(" ")
+            if tag in SKIPPED and not ends:
+                if closed is None:
+                    closed = _closed(source)
+                at = closed.get(at, at)
         elif tag in BLOCKS:
             if ends:
                 for i in range(len(stack) - 1, 0, -1):

@@ -100,3 +100,35 @@ def test_boosting_learns_a_rule():
     y = ((x[:, 0] > 0.3) ^ (x[:, 2] > -0.2)).astype(float)
     fitted = boosting.fit(x, y)
     assert ((fitted.log_odds(x) > 0) == y).mean() > 0.98
+
+
+def texts(source):
+    return [t for t in parse(source).text if t]
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "math", "object", "canvas", "audio", "video", "noscript", "template"])
+def test_unclosed_elements_drop_nothing(model, tag):
+    body = [f"<p>{words(i, 60)}.</p>" for i in range(4)]
+    want = [re.sub("<[^>]*>", "", b) for b in body]
+    closed = f"<{tag}>x</{tag}>"
+    for source in [f"<body><{tag}><article>{''.join(body)}</article></body>",
+                   f"<body><div><{tag} a=1></div><article>{''.join(body)}</article>{closed}</body>",
+                   f"<body><article>{body[0]}<{tag}>{''.join(body[1:])}</article>{closed}</body>",
+                   f"<body><article>{body[0]}<{tag}>{''.join(body[1:3])}{closed}{body[3]}</article></body>"]:
+        assert set(want) <= set(texts(source)), source
+        assert set(want) <= set(html_extract.main_texts([source], model)[0].split("\n")), source
+
+
+def test_elements_with_an_end_tag():
+    for tag in ("button", "select", "svg", "template"):
+        assert texts(f"<p>a <{tag}>b<div>c</div><script>'</{tag}>'</script></{tag}> d</p>") == ["a d"]
+    for tag in ("object", "canvas", "audio", "video", "noscript"):
+        assert texts(f"<p>a<{tag}>b</{tag}>c</p>") == ["a b c"]
+    assert texts("<p>a <math><mi>x</mi></math>, b</p>") == ["a x, b"]
+    assert texts("<p>a<svg><svg>b</svg>c</svg>d<svg/>e") == ["a d e"]
+    assert texts("<template><article>a</article></template>b") == ["b"]
+
+
+def test_unclosed_elements_take_linear_time():
+    for piece in ("<button>", "<svg>", "<template><div>", "<select><article>", "<svg></button>"):
+        assert texts(piece * 50_000 + "end") == ["end"]
