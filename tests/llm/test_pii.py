@@ -7,7 +7,7 @@ import re
 from cases import ODD_TEXTS, empty_documents, odd_documents
 from pyspark.sql import functions as F
 
-from tessera.llm import pii
+from tessera.llm import pii, stages
 
 PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
             ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -107,3 +107,25 @@ def test_overlapping_spans_are_redacted_once(spark):
 
 def test_empty(spark):
     assert pii.detect(empty_documents(spark)).count() == 0
+
+
+def test_long_secrets_are_whole(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("ABCDEFabcdefghijkmnpqrstuvwxyz23456789-_") for _ in range(1000))
+    texts = [f"the key is password={long} and more", f'"token": x token: "{long}", end', f"api_key = {long}", f"secret={long[:201]}"]
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(-1 - i, t) for i, t in enumerate(texts)]
+    docs = given.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = {r.doc_id: r.spans for r in pii.detect(docs).where("doc_id < 0").collect()}
+    for i, t in rows:
+        found = [tuple(map(int, s.split(":")[1:])) for s in spans[i].split(",") if s.startswith("secret:")]
+        at = t.index(long[:201])
+        assert any(a <= at and b >= at + len(long[:201] if i == -4 else long) for a, b in found), (i, spans[i])
+    out = stages.redact(spark, docs, "").where("doc_id < 0").collect()
+    assert len(out) == len(rows) and all("[SECRET]" in r.text and long[-50:] not in r.text for r in out)
+
+
+def test_long_tokens_are_proposed(spark):
+    key = hashlib.sha512(b"x").hexdigest()
+    spans = spark.createDataFrame([(f"({key}) {key * 9}",)], "t string").select(pii.candidates(F.col("t"))).first()[0]
+    assert {x.s for x in spans if x.kind == "secret"} == {key, key * 9}
