@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.alignment import align
 from tessera.llm.bm25 import search
 from tessera.llm.byte_bpe import bpe_encode
 from tessera.llm.chat import REPLY_TOOL, conversation_events, format_chat
@@ -65,6 +66,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(build_manifest(table(spark, sf_dir, "documents"), claim=strip_line_ends()))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                 public_tokenizers.path("piece_bpe_32k.model")).documents
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_bm25": op2_bm25,
@@ -77,6 +83,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_merkle": op11_merkle,
+    "op12_alignment": op12_alignment,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
