@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.byte_bpe import byte_characters
 from tessera.llm.common import materialise, prepare
-from tessera.llm.words import WordTable, spread, units
+from tessera.llm.words import WordIds, WordTable, units
 
 #: Bytes of text whose pairs are counted together, and tokens aligned at once.
 BLOCK_BYTES = 16 << 20
@@ -176,12 +176,11 @@ class _Block:
             self._recheck(np.unique(doc[doubtful[which]]), texts, doc, which, entries, has)
         keep = has[doc]
         doc, which = doc[keep], which[keep]
-        a_parts, b_parts = [e[0] for e in entries], [e[1] for e in entries]
-        sizes = np.array([len(x) + len(y) for x, y in zip(a_parts, b_parts)], np.int64)[which] // 4
-        slices = np.cumsum(sizes) // SLICE_TOKENS
+        sides = [WordIds([e[side] for e in entries]) for side in (0, 1)]
+        slices = np.cumsum((sides[0].sizes + sides[1].sizes)[which]) // SLICE_TOKENS
         cuts = np.append(np.flatnonzero(np.diff(slices, prepend=-1)), len(slices))
         for s, e in zip(cuts[:-1], cuts[1:]):
-            self._slice(doc[s:e], a_parts, b_parts, which[s:e], numbers, hashes, tokens)
+            self._slice(doc[s:e], sides, which[s:e], numbers, hashes, tokens)
         self.digests += ["" if x is None else x.hexdigest() for x in hashes]
         self.tokens += tokens
         self.ids.append(ids)
@@ -197,11 +196,11 @@ class _Block:
             raw = (" " + texts[d].as_py()).encode()
             has[d] = has[d] and self.two.joined(*(np.frombuffer(x, np.uint32).tolist() for x in (a, b))) == (raw, raw)
 
-    def _slice(self, doc, a_parts, b_parts, which, numbers, hashes, tokens) -> None:
+    def _slice(self, doc, sides, which, numbers, hashes, tokens) -> None:
         docs, first = np.unique(doc, return_index=True)
         lists, counts = [], []
-        for parts in (a_parts, b_parts):
-            ids, n = spread(parts, which)
+        for side in sides:
+            ids, n = side.spread(which)
             offsets = np.append(0, np.cumsum(n))[np.append(first, len(doc))]
             lists.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)))
             counts.append(np.diff(offsets))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.alignment import align
+from tessera.llm.ann import nearest_neighbours
 from tessera.llm.bm25 import search
 from tessera.llm.byte_bpe import bpe_encode
 from tessera.llm.chat import REPLY_TOOL, conversation_events, format_chat
@@ -71,6 +72,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                  public_tokenizers.path("piece_bpe_32k.model")).documents
 
 
+def op13_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_bm25": op2_bm25,
@@ -84,6 +89,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_merkle": op11_merkle,
     "op12_alignment": op12_alignment,
+    "op13_ann": op13_ann,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -41,15 +41,20 @@ class WordTable:
         return out
 
 
-def spread(parts: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of ``parts[i]`` for each i of ``which``, end to end, and their counts."""
-    flat = np.frombuffer(b"".join(parts), np.uint32)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    starts = np.cumsum(sizes) - sizes
-    counts = sizes[which]
-    ends = np.cumsum(counts)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts[which] - ends + counts, counts) + np.arange(total)], counts
+class WordIds:
+    """The ids of the distinct words of a batch, end to end."""
+
+    def __init__(self, parts: list[bytes]):
+        self.flat = np.frombuffer(b"".join(parts), np.uint32)
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def spread(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of word i for each i of ``which``, end to end, and their counts."""
+        counts = self.sizes[which]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[which] - ends + counts, counts) + np.arange(total)], counts
 
 
 def units(texts: pa.Array) -> pa.ListArray:
