@@ -1,31 +1,40 @@
 """Knowledge-base collections: S7, C1, C2, A5, A6, A7.
 
-Layout under a root path (on shared storage):
-
-* ``rows/collection=<name>/batch=<id>/``: chunk rows (with or without
-  vectors), parquet, partitioned by collection so that stats, search and
-  drop prune to one collection, and by write batch so that a replayed
-  streaming micro-batch overwrites exactly its own output.
-* ``registry/``: append-only log ``(name, description, op, seq)``; the state
-  of a name is its latest event ('create' or 'drop').
-
-Every append writes new files only (no rewrite of existing data), so a
-failed task is retried by Spark's commit protocol without duplicates.
+A knowledge base is one snapshot log (``sources.snapshots``) under a root path on shared storage. A
+version names the row batches and the registry events it consists of:
+
+* ``data/batch=<folder>/collection=<name>/``: the chunk rows of one write, partitioned by collection, so
+  that stats and search prune to one collection;
+* ``data/<folder>/`` of registry events ``(name, description, op, seq)``, where ``seq`` is the version
+  that brought the event; the state of a name is its latest event ('create' or 'drop');
+* ``data/<folder>/`` of a batch's key filter, if it was appended with ``dedupe_on``.
+
+Rows and the creation of their collections are committed together, and of two writers that build on the
+same version one wins and the other decides again on the new one (``SnapshotLog.update``): a name is
+created once, and a reader sees a write whole or not at all. A drop is an event: rows of a collection that were
+committed before its last drop are not read, and ``compact`` and ``vacuum`` remove them.
 """
 
 from __future__ import annotations
 
-import time
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed_values as fv
-from tessera.sources.url_list import path_exists
+from tessera.sources.snapshots import SnapshotLog
 
 REGISTRY_SCHEMA = "name string, description string, op string, seq bigint"
 
+#: Parts that the keys of a batch's filter are dealt into, bits a key, and bits set for each.
+FILTER_PARTS = 256
+FILTER_BITS = 12
+FILTER_HASHES = 6
+FILTER_SCHEMA = "part bigint, bits binary"
+
 ROW_COLUMNS = [
     ("id", "string"), ("text", "string"), ("text_key", "string"),
     ("embedding", "array<float>"), ("model_name", "string"), ("dimension", "int"),
@@ -40,30 +49,42 @@ class KnowledgeBase:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.log = SnapshotLog(spark, self.root)
 
-    @property
-    def rows_path(self) -> str:
-        return f"{self.root}/rows"
-
-    @property
-    def registry_path(self) -> str:
-        return f"{self.root}/registry"
+    def _stage(self, df: DataFrame, prefix: str = "") -> str:
+        folder = prefix + uuid.uuid4().hex
+        df.write.parquet(self.log.folder(folder))
+        return folder
 
     # ---- registry -----------------------------------------------------------------
-    def _events(self) -> DataFrame:
-        if not path_exists(self.spark, self.registry_path):
+    def _events(self, document: dict) -> DataFrame:
+        paths = [self.log.folder(e["folder"]) for e in document.get("registry", {}).values()]
+        if not paths:
             return self.spark.createDataFrame([], REGISTRY_SCHEMA)
-        return self.spark.read.schema(REGISTRY_SCHEMA).parquet(self.registry_path)
+        return self.spark.read.schema(REGISTRY_SCHEMA).parquet(*paths)
 
-    def registry(self) -> DataFrame:
-        """Live collections: ``(name, description)``."""
-        ev = self._events()
-        latest = ev.groupBy("name").agg(F.max_by(F.struct("op", "description"), "seq").alias("e"))
+    def _live(self, document: dict) -> DataFrame:
+        latest = self._events(document).groupBy("name").agg(F.max_by(F.struct("op", "description"), "seq").alias("e"))
         return latest.where(F.col("e.op") == F.lit("create")).select(
             "name", F.col("e.description").alias("description"))
 
-    def _log(self, events: DataFrame) -> None:
-        events.write.mode("append").parquet(self.registry_path)
+    def registry(self) -> DataFrame:
+        """Live collections: ``(name, description)``."""
+        return self._live(self.log.latest()[1])
+
+    def _with_events(self, base: int, document: dict, events: DataFrame) -> dict | None:
+        """The document with these events as part of the next version; None if there are none."""
+        folder = self._stage(events.select("name", "description", "op", F.lit(base + 1).cast("long").alias("seq")))
+        if self.spark.read.schema(REGISTRY_SCHEMA).parquet(self.log.folder(folder)).isEmpty():
+            return None
+        return {**document, "registry": {**document.get("registry", {}), str(base + 1): {"folder": folder}}}
+
+    def _created(self, document: dict, names: DataFrame) -> DataFrame:
+        """Create events for the names ``(name, description)`` that are absent; of several descriptions the smallest."""
+        desc = F.coalesce(F.col("description"), F.concat(F.lit("Collection "), F.col("name")))
+        return (names.select("name", desc.alias("description"))
+                .groupBy("name").agg(F.min("description").alias("description"))
+                .join(self._live(document).select("name"), "name", "left_anti").withColumn("op", F.lit("create")))
 
     def create(self, name: str, description: str | None = None) -> DataFrame:
         """Create-or-get; an existing collection keeps its description.
@@ -71,136 +92,185 @@ class KnowledgeBase:
         Returns ``(name, description, document_count)`` with the given
         description, as the reference returns it.
         """
-        seq = time.time_ns()
-        new = self.spark.createDataFrame(
-            [(name, description or f"Collection {name}", "create", seq)], REGISTRY_SCHEMA)
-        absent = new.join(self.registry().select("name"), "name", "left_anti")
-        self._log(absent)
+        self.create_many(self.spark.createDataFrame([(name, description)], "name string, description string"))
         count = self.rows(name).count()
         return self.spark.createDataFrame([(name, description, count)],
                                           "name string, description string, document_count bigint")
 
-    def create_many(self, names: DataFrame) -> None:
+    def create_many(self, names: DataFrame) -> int:
         """C1 for a column of names ``(name, description)``: absent ones are created.
 
-        Duplicate names in the input keep one description (the smallest).
-        """
-        seq = time.time_ns()
-        desc = F.coalesce(F.col("description"), F.concat(F.lit("Collection "), F.col("name")))
-        new = (names.select("name", desc.alias("description"))
-               .groupBy("name").agg(F.min("description").alias("description"))
-               .join(self.registry().select("name"), "name", "left_anti")
-               .select("name", "description", F.lit("create").alias("op"), F.lit(seq).alias("seq")))
-        self._log(new)
-
-    def drop_many(self, names: DataFrame) -> None:
-        """C2 for a column of names: registry entries and partitions go."""
-        seq = time.time_ns()
-        gone = names.select("name").distinct()
-        self._log(gone.select("name", F.lit(None).cast("string").alias("description"),
-                              F.lit("drop").alias("op"), F.lit(seq).alias("seq")))
-        self.rows_overwrite_without(gone)
-
-    def rows_overwrite_without(self, gone: DataFrame) -> None:
-        """Delete the partitions of the given collection names (storage metadata only)."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in self._partition_folders_in(gone):
-            part = jvm.org.apache.hadoop.fs.Path(f"{self.rows_path}/{folder}")
-            fs = part.getFileSystem(conf)
-            if fs.exists(part):
-                fs.delete(part, True)
-
-    def _partition_folders_in(self, gone: DataFrame) -> list[str]:
-        """Existing partition folders of the collections in ``gone``.
-
-        Reads the directory listing (one entry per collection), not the rows.
-        Folder names are escaped, so collections are compared by the name a
-        folder stands for.
+        Returns the version that holds them. A name that another writer created meanwhile is left as it is.
         """
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.rows_path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        present = [st.getPath().getName() for st in fs.listStatus(root)
-                   if st.isDirectory() and st.getPath().getName().startswith("collection=")]
-        if not present:
-            return []
-        listing = self.spark.createDataFrame([(_unescape(n.split("=", 1)[1]), n) for n in present],
-                                             "name string, folder string")
-        return [r["folder"] for r in listing.join(gone, "name", "left_semi").collect()]
-
-    def drop(self, name: str) -> None:
-        """Remove the registry entry and the collection's partition."""
-        self.drop_many(self.spark.createDataFrame([(name,)], "name string"))
+        return self.log.update(lambda base, d: self._with_events(base, d, self._created(d, names)))
+
+    def drop_many(self, names: DataFrame) -> int:
+        """C2 for a column of names: their registry entries go, and their rows are no longer read."""
+        gone = names.select("name").distinct().select(
+            "name", F.lit(None).cast("string").alias("description"), F.lit("drop").alias("op"))
+
+        def change(base, d):
+            new = self._with_events(base, d, gone)
+            return new and {**new, "drops": base + 1}
+
+        return self.log.update(change)
+
+    def drop(self, name: str) -> int:
+        """Remove the registry entry and the collection's rows."""
+        return self.drop_many(self.spark.createDataFrame([(name,)], "name string"))
 
     # ---- rows ---------------------------------------------------------------------
-    def all_rows(self) -> DataFrame:
+    def _batch_rows(self, folders: list[str]) -> DataFrame:
         schema = ", ".join(f"{c} {t}" for c, t in ROW_COLUMNS) + ", collection string, batch string"
-        if not path_exists(self.spark, self.rows_path):
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.rows_path)
+        return (self.spark.read.option("basePath", f"{self.root}/data").schema(schema)
+                .parquet(*[self.log.folder(f) for f in folders]))
+
+    def _last_drops(self, document: dict) -> DataFrame:
+        return self._events(document).where("op = 'drop'").groupBy("name").agg(F.max("seq").alias("_dropped"))
+
+    def all_rows(self, version: int | None = None) -> DataFrame:
+        """The rows of every collection, of the latest or an earlier version."""
+        return self._rows_of(self.log.latest()[1] if version is None else self.log.document(version))
+
+    def _rows_of(self, document: dict) -> DataFrame:
+        batches = list(document.get("batches", {}).values())
+        last = document.get("drops", 0)
+        rows = self._batch_rows([b["folder"] for b in batches if b["at"] > last])
+        older = [b for b in batches if b["at"] < last]
+        if not older:
+            return rows
+        # a row counts if it was committed after its collection's last drop
+        placed = self.spark.createDataFrame([(b["folder"].split("=", 1)[1], b["at"]) for b in older], "batch string, _at bigint")
+        drops = self._last_drops(document).withColumnRenamed("name", "collection")
+        kept = (self._batch_rows([b["folder"] for b in older]).join(placed, "batch").join(drops, "collection", "left")
+                .where(F.col("_dropped").isNull() | (F.col("_at") > F.col("_dropped"))))
+        return rows.unionByName(kept.select(rows.columns))
 
     def rows(self, name: str) -> DataFrame:
         """Rows of one collection (partition-pruned)."""
-        return self.all_rows().where(F.col("collection") == F.lit(name))
-
-    def append(self, items: DataFrame, name: str = fv.DEFAULT_COLLECTION) -> None:
+        document = self.log.latest()[1]
+        last = 0
+        if document.get("drops"):
+            last = self._last_drops(document).where(F.col("name") == F.lit(name)).agg(F.max("_dropped")).first()[0] or 0
+        folders = [b["folder"] for b in document.get("batches", {}).values() if b["at"] > last]
+        return self._batch_rows(folders).where(F.col("collection") == F.lit(name))
+
+    def append(self, items: DataFrame, name: str = fv.DEFAULT_COLLECTION,
+               dedupe_on: list[str] | None = None) -> None:
         """Add chunk rows (embedding optional); creates the collection if absent.
 
-        Each call gives fresh ids, so adding the same items twice keeps two
-        copies.  Empty input is a no-op: nothing is written and no collection
-        is created.  The items are computed once: rows are written first, and
-        the collection is registered if the write produced its partition.
+        Each call gives fresh ids, so adding the same items twice keeps two copies, unless ``dedupe_on``
+        names columns that identify a row: items that equal a stored row of the collection in them (null
+        equals null), or an earlier item, are left out. Empty input is a no-op: nothing is written and no collection
+        is created.
         """
-        run = uuid.uuid4().hex
-        rows = to_rows(items, run, F.lit(name).alias("collection"), F.lit(run).alias("batch"))
-        rows.write.mode("append").partitionBy("collection", "batch").parquet(self.rows_path)
-        if self._written_collections(run):
-            self._register([name])
+        self._append(items, F.lit(name), uuid.uuid4().hex, dedupe_on=dedupe_on)
 
-    def append_by_column(self, items: DataFrame, collection_col: str) -> None:
+    def append_by_column(self, items: DataFrame, collection_col: str, dedupe_on: list[str] | None = None) -> None:
         """S7 where each row names its collection; absent collections are created.
 
-        The collections written are read from the partition directories of
-        this write, not from the items (which would compute them twice).
+        Rows are rebalanced by collection before the write: small collections share a task, a large one is
+        split over several, so the number of files follows the bytes and not tasks x collections.
         """
-        run = uuid.uuid4().hex
-        rows = to_rows(items, run, F.col(collection_col).alias("collection"), F.lit(run).alias("batch"))
-        rows.write.mode("append").partitionBy("collection", "batch").parquet(self.rows_path)
-        self._register(self._written_collections(run))
+        self._append(items, F.col(collection_col), uuid.uuid4().hex, rebalance=True, dedupe_on=dedupe_on)
 
     def write_batch(self, items: DataFrame, name: str, batch_id: str) -> None:
         """Idempotent append: rows of ``batch_id`` replace any earlier write of it.
 
-        Ids derive from the batch id, and only the ``(collection, batch)``
-        partition is overwritten, so re-running a batch (a retried
-        streaming micro-batch) leaves exactly one copy.
+        Ids derive from the batch id, and the version that holds the new write no longer names the earlier one, so
+        re-running a batch (a retried streaming micro-batch) leaves exactly one copy.
+        """
+        self._append(items, F.lit(name), batch_id, keyed=True)
+
+    def _append(self, items: DataFrame, collection, batch: str, *, keyed: bool = False, rebalance: bool = False,
+                dedupe_on: list[str] | None = None) -> None:
+        rows = to_rows(items, batch, collection.alias("collection"))
+        if rebalance:
+            rows = rows.hint("rebalance", F.col("collection"))
+        seen, document = self.log.latest()
+        if dedupe_on:
+            # stored first: its keys are read several times, and equal items are told apart by their ids
+            rows = self._batch_rows([self._write_rows(rows)]).drop("batch")
+            rows = self._unseen(rows, document, dedupe_on)
+        folder = self._write_rows(rows)
+        written = self._batch_rows([folder])
+        if written.isEmpty() and not (keyed and batch in document.get("batches", {})):
+            return
+        entry = {"folder": folder, "keyed": keyed}
+        if dedupe_on:
+            entry["filter"] = self._stage(key_filter(written, dedupe_on))
+            entry["dedupe_on"] = dedupe_on
+        names = written.select(F.col("collection").alias("name"), F.lit(None).cast("string").alias("description")).distinct()
+
+        def change(base, d):
+            if dedupe_on and d.get("batches", {}) != document.get("batches", {}):
+                raise ConcurrentAppend  # other rows came in: the choice of new rows is out of date
+            new = self._with_events(base, d, self._created(d, names)) or d
+            return {**new, "batches": {**new.get("batches", {}), batch: {**entry, "at": base + 1}}}
+
+        try:
+            self.log.update(change)
+        except ConcurrentAppend:
+            self._append(items, collection, batch, keyed=keyed, rebalance=rebalance, dedupe_on=dedupe_on)
+
+    def _write_rows(self, rows: DataFrame) -> str:
+        folder = f"batch={uuid.uuid4().hex}"
+        rows.write.partitionBy("collection").parquet(self.log.folder(folder))
+        return folder
+
+    def _unseen(self, rows: DataFrame, document: dict, keys: list[str]) -> DataFrame:
+        """Rows whose keys no stored row of their collection has; of equal ones the first id.
+
+        Batches that carry a filter of the same keys are read only for the rows that their filter may hold.
+        """
+        on = ["collection", *keys]
+        first = rows.groupBy(*on).agg(F.min("id").alias("id"))
+        rows = rows.join(first.select("id"), "id", "left_semi")
+        batches = document.get("batches", {}).values()
+        filtered = [b for b in batches if b.get("dedupe_on") == keys]
+        stored = self._visible(document, [b for b in batches if b.get("dedupe_on") != keys])
+        known = rows.select("id", *on)
+        held = _match(known, stored, on)
+        if filtered:
+            filters = self.spark.read.schema(FILTER_SCHEMA).parquet(*[self.log.folder(b["filter"]) for b in filtered])
+            probable = probable_keys(known, filters, on)
+            hits = known.join(probable, "id", "left_semi")
+            held = held.unionByName(_match(hits, self._visible(document, filtered), on))
+        return rows.join(held.distinct(), "id", "left_anti")
+
+    def _visible(self, document: dict, batches) -> DataFrame:
+        """The rows of these batches that count."""
+        own = {str(i): b for i, b in enumerate(batches)}
+        return self._rows_of({**document, "batches": own})
+
+    def compact(self, settled: bool = False) -> int:
+        """Rewrite the rows that count as one rebalanced batch, put in place by one commit.
+
+        Batches of ``write_batch`` may be replayed and stay as they are, unless ``settled`` says that none
+        will be. Writes and drops that are committed meanwhile keep their effect.
         """
-        rows = to_rows(items, batch_id, F.lit(name).alias("collection"), F.lit(batch_id).alias("batch"))
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("collection", "batch").parquet(self.rows_path))
-        if self._written_collections(batch_id):
-            self._register([name])
-
-    def _written_collections(self, batch: str) -> list[str]:
-        """Collections that have a partition for ``batch`` (directory listing only)."""
-        jvm = self.spark.sparkContext._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.rows_path}/collection=*/batch={batch}")
-        fs = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found = fs.globStatus(pattern) or []
-        names = []
-        for st in found:
-            part = st.getPath().getParent().getName()
-            names.append(_unescape(part.split("=", 1)[1]))
-        return sorted(set(names))
-
-    def _register(self, names: list[str]) -> None:
-        """Create the given collections if absent (no row count)."""
-        if names:
-            self.create_many(self.spark.createDataFrame([(n, None) for n in names],
-                                                        "name string, description string"))
+        base, document = self.log.latest()
+        old = {k: b for k, b in document.get("batches", {}).items() if settled or not b["keyed"]}
+        if not old:
+            return base
+        rows = self._rows_of({**document, "batches": old}).drop("batch").hint("rebalance", F.col("collection"))
+        folder = self._write_rows(rows)
+        entry = {"folder": folder, "keyed": False, "at": base}
+
+        def change(now, d):
+            held = d.get("batches", {})
+            if any(held.get(k) != b for k, b in old.items()):  # compacted or replayed meanwhile
+                return None
+            rest = {k: b for k, b in held.items() if k not in old}
+            return {**d, "batches": {folder: entry, **rest}}
+
+        return self.log.update(change)
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Remove earlier versions and what only they name; readers of those versions must have ended."""
+        self.log.vacuum(keep)
 
     def stats(self, name: str = fv.DEFAULT_COLLECTION) -> DataFrame:
         """A5: ``(name, document_count, db_path)``."""
@@ -216,11 +286,60 @@ class KnowledgeBase:
                         F.coalesce("document_count", F.lit(0)).cast("bigint").alias("document_count"))
 
 
-def _unescape(part: str) -> str:
-    """Undo the %XX escaping of partition directory names."""
-    import re
+class ConcurrentAppend(Exception):
+    """Another writer added rows while an append that leaves out stored keys was at work."""
+
+
+def _match(items: DataFrame, stored: DataFrame, on: list[str]) -> DataFrame:
+    """Ids of the items that equal a stored row in these columns (null equals null)."""
+    theirs = stored.select(*[F.col(c).alias(f"_{c}") for c in on])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]
+    return items.join(theirs, same, "left_semi").select("id")
+
+
+def _key_hash(on: list[str]):
+    # nulls are skipped by the hash, so their places are hashed as well
+    return F.xxhash64(*[F.col(c) for c in on], *[F.col(c).isNull() for c in on])
+
+
+def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """For each hash the bits it sets: a row a hash function (two halves combined)."""
+    h = hashes.view(np.uint64)
+    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+    return np.array([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(FILTER_HASHES)])
+
+
+def _deal(rows: DataFrame, on: list[str]) -> DataFrame:
+    return rows.withColumn("_hash", _key_hash(on)).withColumn("part", F.pmod(F.shiftright("_hash", 7), F.lit(FILTER_PARTS)))
+
+
+def key_filter(rows: DataFrame, dedupe_on: list[str]) -> DataFrame:
+    """A Bloom filter of the rows' keys in parts dealt by hash, ``FILTER_BITS`` bits a key: ``(part, bits)``."""
+    def build(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        hashes = t["_hash"].to_numpy()
+        bits = np.zeros(max(64, len(hashes) * FILTER_BITS + 7 & ~7), bool)
+        bits[_places(hashes, len(bits)).ravel()] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    keys = _deal(rows, ["collection", *dedupe_on]).select("part", "_hash").distinct()
+    return keys.groupBy("part").applyInArrow(build, FILTER_SCHEMA)
+
+
+def probable_keys(items: DataFrame, filters: DataFrame, on: list[str]) -> DataFrame:
+    """Ids of the items that some filter may hold."""
+    id_type = dict(items.dtypes)["id"]
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        hashes = left["_hash"].to_numpy()
+        hit = np.zeros(len(hashes), bool)
+        for raw in right["bits"].to_pylist():
+            bits = np.unpackbits(np.frombuffer(raw, np.uint8)).astype(bool)
+            hit |= bits[_places(hashes, len(bits))].all(axis=0)
+        return left.select(["id"]).filter(pa.array(hit))
 
-    return re.sub(r"%([0-9A-Fa-f]{2})", lambda m: chr(int(m.group(1), 16)), part)
+    dealt = _deal(items, on).select("id", "part", "_hash")
+    other = filters.withColumnRenamed("part", "_part")
+    return dealt.groupBy("part").cogroup(other.groupBy("_part")).applyInArrow(probe, f"id {id_type}")
 
 
 def to_rows(items: DataFrame, run_id: str, *extra_cols) -> DataFrame:
