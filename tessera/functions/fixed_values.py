@@ -57,6 +57,14 @@ DEMO_QUERY = "视频内容"
 REPORT_PREVIEW = 300       # characters of chunk text in a search report
 DEMO_PREVIEW = 200         # characters of chunk text in the demo report
 
+# --- FIXED VALUES: labels of a search report ---------------------------------------
+REPORT_RESULT = "--- Result "
+REPORT_SCORE = " (Score: "
+REPORT_END = ") ---"
+REPORT_TEXT = "Text: "
+REPORT_TIME = "Time: "
+REPORT_SOURCE = "Source: "
+
 # --- FIXED VALUES: metadata keys flattened into stored rows and stripped on read
 FLATTENED_KEYS = ["start_time", "end_time", "source_file", "chunk_index",
                   "model_name", "dimension"]

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import fixed_values as fv
+
 TWO52 = float(2 ** 52)
 TWO53 = float(2 ** 53)
 
@@ -84,10 +86,10 @@ def result_lines(rank: Column | str, score: Column | str, text: Column | str,
     The time line appears only when the start time is truthy (not null, not 0).
     """
     st = _col(start_time)
-    head = F.concat(F.lit("--- Result "), _col(rank).cast("string"), F.lit(" (Score: "),
-                    fixed(score, 3), F.lit(") ---"))
-    body = F.concat(F.lit("Text: "), F.substring(_col(text), 1, preview), F.lit("..."))
+    head = F.concat(F.lit(fv.REPORT_RESULT), _col(rank).cast("string"), F.lit(fv.REPORT_SCORE),
+                    fixed(score, 3), F.lit(fv.REPORT_END))
+    body = F.concat(F.lit(fv.REPORT_TEXT), F.substring(_col(text), 1, preview), F.lit("..."))
     time_line = F.when(F.coalesce(st, F.lit(0.0)) != F.lit(0.0), F.concat(
-        F.lit("Time: "), fixed(st, 1), F.lit("s - "), fixed(end_time, 1), F.lit("s")))
-    src = F.concat(F.lit("Source: "), F.coalesce(_col(source_file).cast("string"), F.lit("None")))
+        F.lit(fv.REPORT_TIME), fixed(st, 1), F.lit("s - "), fixed(end_time, 1), F.lit("s")))
+    src = F.concat(F.lit(fv.REPORT_SOURCE), F.coalesce(_col(source_file).cast("string"), F.lit("None")))
     return F.concat_ws("\n", head, body, time_line, src)

@@ -138,7 +138,7 @@ class KnowledgeBase:
         batches = list(document.get("batches", {}).values())
         last = document.get("drops", 0)
         rows = self._batch_rows([b["folder"] for b in batches if b["at"] > last])
-        older = [b for b in batches if b["at"] < last]
+        older = [b for b in batches if b["at"] <= last]
         if not older:
             return rows
         # a row counts if it was committed after its collection's last drop

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import text_key
 from tessera.functions.vectors import DEFAULT_HASH_DIM, hash_embedding
+from tessera.sources.snapshots import SnapshotTable
 
 CACHE_SCHEMA = "model_name string, text_key string, embedding array<double>"
 
@@ -69,34 +70,6 @@ class ArrowEmbedder:
         return df.mapInPandas(run, schema)
 
 
-class NumpyHashingModel:
-    """The hashing embedder in numpy, usable as an ``ArrowEmbedder`` model.
-
-    It gives the same vectors as ``HashingEmbedder`` (used to test the
-    pluggable path against the native one).
-    """
-
-    def __init__(self, dim: int = DEFAULT_HASH_DIM):
-        import regex
-
-        self.dim = dim
-        self.split = regex.compile(r"[^\p{L}\p{N}]+")
-
-    def encode(self, texts):
-        import hashlib
-
-        import numpy as np
-
-        out = np.zeros((len(texts), self.dim))
-        for r, t in enumerate(texts):
-            for w in self.split.split(t.lower()):
-                if w:
-                    h = int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16)
-                    out[r, h % self.dim] += 1.0
-        norms = np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-        return out / norms
-
-
 def embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
           embedder=None) -> DataFrame:
     """Add ``out_col`` with the embedding of ``text_col``."""
@@ -156,3 +129,37 @@ def cache_merge(cache: DataFrame, new_entries: DataFrame) -> DataFrame:
 def cache_size(cache: DataFrame, model_name: str | None = None) -> DataFrame:
     c = cache if model_name is None else cache.where(F.col("model_name") == F.lit(model_name))
     return c.agg(F.count(F.lit(1)).alias("cache_size"))
+
+
+class StoredCache:
+    """The cache as a versioned table (``sources.snapshots``): merge, size, clear, compact.
+
+    A lookup reads one whole version, whatever is merged or cleared meanwhile. Of two writers that merge the
+    same keys one wins; the other leaves out what the first has added.
+    """
+
+    def __init__(self, spark, root: str):
+        self.table = SnapshotTable(spark, root, CACHE_SCHEMA)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.table.read(version)
+
+    def lookup(self, df: DataFrame, embedder=None, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+        return cache_lookup(df, self.read(), embedder, text_col)
+
+    def merge(self, entries: DataFrame) -> int:
+        """Add the entries whose key is not stored yet, one a key; the version that holds them."""
+        keys = ["model_name", "text_key"]
+        staged = self.table.stage(entries)  # computed once, also if another writer comes first
+        stored = self.table.spark.read.schema(CACHE_SCHEMA).parquet(self.table.log.folder(staged))
+        return self.table.merge(lambda current: stored.join(current.select(*keys), keys, "left_anti").dropDuplicates(keys)
+                                .select("model_name", "text_key", "embedding"))
+
+    def size(self, model_name: str | None = None) -> DataFrame:
+        return cache_size(self.read(), model_name)
+
+    def clear(self) -> int:
+        return self.table.clear()
+
+    def compact(self, files: int) -> int:
+        return self.table.compact(files)

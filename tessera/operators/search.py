@@ -1,6 +1,6 @@
 """Nearest-neighbour search: T2 (exact), T3 (approximate), F18, F21, F22, T5.
 
-No cross join is used anywhere:
+No plan holds a cross join (a batch of queries meets every vector inside a matrix product):
 
 * one query: its vector is a scalar (a literal, or a scalar subquery such as
   an aggregate over the data, evaluated once), the distance is a column,
@@ -40,8 +40,8 @@ def _rank_key(d: Column, round_digits: int | None) -> Column:
 
 def knn_topk(vectors: DataFrame, query, k: int = fv.DEFAULT_TOP_K, metric: str = "l2",
              id_col: str = "id", vec_col: str = "embedding",
-             round_digits: int | None = None) -> DataFrame:
-    """T2, one query: the k rows nearest to ``query``.
+             round_digits: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """T2, one query: the k rows nearest to ``query``; equal distances are ordered by ``ties``, then the id.
 
     ``query`` is a scalar array Column (a literal or a scalar subquery), or a
     list of floats; a short list under the L2 metric is expanded into a fixed
@@ -69,9 +69,9 @@ def knn_topk(vectors: DataFrame, query, k: int = fv.DEFAULT_TOP_K, metric: str =
                   .drop("_query"))
     if round_digits is not None:
         scored = scored.withColumn("distance", F.round("distance", round_digits))
-    top = (scored.orderBy(F.col("distance").asc_nulls_last(), F.col(id_col)).limit(k)
+    top = (scored.orderBy(F.col("distance").asc_nulls_last(), *ties, F.col(id_col)).limit(k)
            .where(F.col("distance").isNotNull()))
-    rank = F.row_number().over(Window.orderBy(F.col("distance"), F.col(id_col)))
+    rank = F.row_number().over(Window.orderBy(F.col("distance"), *ties, F.col(id_col)))
     return top.withColumn("rank", rank).withColumn("score", distance_to_score("distance"))
 
 

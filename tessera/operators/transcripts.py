@@ -9,10 +9,11 @@ corpus.  Everything else is per-row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.text import convert_by_language, language_prefix, segment_clean
+from tessera.sources.transcript_md import write_documents
 
 SEGMENT_STRUCT = "struct<seg_idx:int,text:string,start_time:double,end_time:double,confidence:double>"
 
@@ -94,3 +95,18 @@ def media_status(manifest: DataFrame, listing: DataFrame) -> DataFrame:
 def batch_outcomes(statuses: DataFrame) -> DataFrame:
     """A4: counts per outcome (partial aggregation, one row per status)."""
     return statuses.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_batch(media: DataFrame, listing: DataFrame, docs: DataFrame, directory: str) -> DataFrame:
+    """A4: counts per outcome of a run: invalid media (missing or empty), documents written, documents failed.
+
+    ``docs`` (``file_path``, ``file_name``, ``content``) are written for the valid media of the manifest only; the
+    counters of both the media check and the sink are observed while the documents are written.
+    """
+    checked, written = Observation("media"), Observation("documents")
+    status = media_status(media, listing).select("file_path", "status").observe(
+        checked, F.count_if(F.col("status") != "valid").alias("invalid"))
+    valid = docs.join(status.where(F.col("status") == "valid").select("file_path"), "file_path", "left_semi")
+    write_documents(valid, directory, written)
+    counts = {**checked.get, **written.get}
+    return docs.sparkSession.createDataFrame([(s, counts[s]) for s in ("invalid", "success", "failed")], "status string, n bigint")

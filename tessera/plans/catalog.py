@@ -21,7 +21,7 @@ from tessera.functions import fixed_values as fv
 from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.functions import vectors as V
-from tessera.operators import chunking, embedding, expansion, search, transcripts
+from tessera.operators import chunking, embedding, expansion, ivf, search, transcripts
 from tessera.operators.collections import KnowledgeBase, chunk_counts
 from tessera.plans import oracle_sql as O
 from tessera.plans import flows
@@ -224,6 +224,89 @@ def q_knn_lsh(spark, sf):
     return out.select("query_id", "id", "distance", F.col("rank").cast("int").alias("rank"))
 
 
+#: Lists of the inverted file, lists probed a query, and rows whose vectors are read.
+IVF_LISTS, IVF_PROBE, IVF_RERANK = 64, 40, 50
+
+
+def _ivf_sql(tail: str) -> str:
+    """K-means, residual codes, the probe and the exact ranking, all restated per dimension."""
+    steps = []
+    for n in range(ivf.ITERATIONS + 1):
+        steps.append(f"""
+    a{n} AS MATERIALIZED (SELECT id, l FROM (
+        SELECT id, l, row_number() OVER (PARTITION BY id ORDER BY d, l) AS r FROM (
+            SELECT s.id, c.l, sum((s.x - c.x) * (s.x - c.x)) AS d FROM s JOIN c{n} c USING (i) GROUP BY ALL)) WHERE r = 1)""")
+        if n < ivf.ITERATIONS:
+            steps.append(f"""
+    c{n + 1} AS MATERIALIZED (SELECT c.l, c.i, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN (
+        SELECT l, i, avg(x) AS x FROM s JOIN a{n} USING (id) GROUP BY ALL) m ON m.l = c.l AND m.i = c.i)""")
+    c, a = f"c{ivf.ITERATIONS}", f"a{ivf.ITERATIONS}"
+    return f"""
+    WITH {_centroid_queries_sql('label')},
+    v AS MATERIALIZED (SELECT vec_id AS id, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) AS rn FROM embeddings),
+    e AS MATERIALIZED (SELECT vec_id AS id, x, i FROM u),
+    s AS MATERIALIZED (SELECT e.* FROM e JOIN v USING (id) WHERE rn <= {ivf.SAMPLE_ROWS}),
+    c0 AS MATERIALIZED (SELECT rn - 1 AS l, i, x FROM e JOIN v USING (id) WHERE rn <= {IVF_LISTS}),{",".join(steps)},
+    scale AS (SELECT max(abs(s.x - c.x)) / {ivf.TOP_CODE} AS scale FROM s JOIN {a} USING (id) JOIN {c} c USING (l, i)),
+    al AS MATERIALIZED (SELECT id, l FROM (
+        SELECT id, l, row_number() OVER (PARTITION BY id ORDER BY d, l) AS r FROM (
+            SELECT e.id, c.l, sum((e.x - c.x) * (e.x - c.x)) AS d FROM e JOIN {c} c USING (i) GROUP BY ALL)) WHERE r = 1),
+    coded AS MATERIALIZED (SELECT id, l, i, c.x + scale * greatest(-{ivf.TOP_CODE}, least({ivf.TOP_CODE}, round((e.x - c.x) / scale))) AS y
+        FROM e JOIN al USING (id) JOIN {c} c USING (l, i), scale),
+    probed AS MATERIALIZED (SELECT query_id, l FROM (
+        SELECT query_id, l, row_number() OVER (PARTITION BY query_id ORDER BY d, l) AS r FROM (
+            SELECT query_id, l, sum((q - c.x) * (q - c.x)) AS d FROM qv JOIN {c} c USING (i) GROUP BY ALL)) WHERE r <= {IVF_PROBE}),
+    cand AS MATERIALIZED (SELECT query_id, id FROM (
+        SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS r FROM (
+            SELECT query_id, id, round(sum((q - y) * (q - y)), {DIGITS}) AS d
+            FROM probed JOIN coded USING (l) JOIN qv USING (query_id, i) GROUP BY ALL)) WHERE r <= {IVF_RERANK}),
+    near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
+        SELECT query_id, id, round(sum((q - x) * (q - x)), {DIGITS}) AS distance
+        FROM cand JOIN e USING (id) JOIN qv USING (query_id, i) GROUP BY ALL)),
+    work AS (SELECT query_id, count(*) AS codes_scanned FROM probed JOIN al USING (l) GROUP BY query_id),
+    ranked AS (SELECT query_id, id, distance, CAST(rank AS INTEGER) AS rank, codes_scanned,
+        (SELECT count(*) FROM cand WHERE cand.query_id = near.query_id) AS vectors_touched
+        FROM near JOIN work USING (query_id) WHERE rank <= {fv.DEFAULT_TOP_K}){tail}"""
+
+
+def _ivf_search(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e = tables.load(spark, sf, "embeddings")
+    queries = centroid(e, group="label").select(F.col("label").alias("query_id"), "qv")
+    vec = e.select(F.col("vec_id").alias("id"), "embedding")
+    quantiser = ivf.train(vec, IVF_LISTS)
+    index = ivf.build(vec, quantiser, scratch_path(spark, "ivf"))
+    return vec, queries, ivf.probe(index, quantiser, queries, fv.DEFAULT_TOP_K, n_probe=IVF_PROBE, rerank=IVF_RERANK,
+                                   digits=DIGITS)
+
+
+@register("knn_ivf", _ivf_sql(" SELECT * FROM ranked"))
+def q_knn_ivf(spark, sf):
+    """T3 by an inverted file, with the codes scanned and vectors read for each query."""
+    _, _, found = _ivf_search(spark, sf)
+    return found.select("query_id", "id", "distance", F.col("rank").cast("int").alias("rank"), "codes_scanned", "vectors_touched")
+
+
+@register("knn_ivf_recall", _ivf_sql(f""",
+    exact AS (SELECT query_id, id FROM (
+        SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS r FROM (
+            SELECT query_id, id, round(sum((q - x) * (q - x)), {DIGITS}) AS d FROM e JOIN qv USING (i) GROUP BY ALL))
+        WHERE r <= {fv.DEFAULT_TOP_K})
+    SELECT round(count(k.id) / count(*), {DIGITS}) AS recall,
+           round(max(vectors_touched) / (SELECT count(*) FROM embeddings), {DIGITS}) AS touched_share,
+           round(max(codes_scanned) / (SELECT count(*) FROM embeddings), {DIGITS}) AS scanned_share
+    FROM exact LEFT JOIN ranked k USING (query_id, id)"""))
+def q_knn_ivf_recall(spark, sf):
+    """T3 held against T2: recall, and the largest share of vectors read and of codes scanned."""
+    vec, queries, found = _ivf_search(spark, sf)
+    exact = search.knn_batch(vec, queries, fv.DEFAULT_TOP_K, "l2", round_digits=DIGITS)
+    work = exact.select("query_id", "id").join(found, ["query_id", "id"], "left").agg(
+        F.max("vectors_touched").alias("t"), F.max("codes_scanned").alias("s"))
+    total = vec.agg(F.count(F.lit(1)).alias("n"))
+    return ivf.recall(found, exact).join(F.broadcast(work)).join(F.broadcast(total)).select(
+        r6(F.col("recall")).alias("recall"), r6(F.col("t") / F.col("n")).alias("touched_share"),
+        r6(F.col("s") / F.col("n")).alias("scanned_share"))
+
+
 # =========================================================================================
 # Step 3: chunking G1, F19, F20, P7, P9, A2, A7
 # =========================================================================================
@@ -399,6 +482,44 @@ def q_cache_merge(spark, sf):
     return embedding.cache_merge(cache, fresh).select("model_name", "text_key")
 
 
+def _stored_cache(spark, sf) -> embedding.StoredCache:
+    """A stored cache after two merges: the English documents, then all."""
+    cache = embedding.StoredCache(spark, scratch_path(spark, "cache"))
+    d = tables.documents(spark, sf)
+    for part in (d.where(F.col("lang") == "en"), d):
+        _, fresh = cache.lookup(part)
+        cache.merge(fresh)
+    return cache
+
+
+@register("cache_stored", f"""SELECT 'hashing-md5-64' AS model_name, md5(d.text) AS text_key,
+        round(coalesce(sqrt(sum(e.weight * e.weight)), 0.0), {DIGITS}) AS norm
+    FROM (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text) d
+    LEFT JOIN {O.sparse_hash_embedding('documents', 'doc_id', 'text')} e ON e.id = d.doc_id GROUP BY d.doc_id, d.text""")
+def q_cache_stored(spark, sf):
+    return _stored_cache(spark, sf).read().select("model_name", "text_key", r6(V.norm("embedding")).alias("norm"))
+
+
+@register("cache_clear", """SELECT * FROM (VALUES ('before', (SELECT count(DISTINCT text) FROM documents)), ('cleared', 0),
+    ('read before', (SELECT count(DISTINCT text) FROM documents)),
+    ('again', (SELECT count(DISTINCT text) FROM documents WHERE lang = 'en'))) t(state, cache_size)""")
+def q_cache_clear(spark, sf):
+    """Sizes of the stored cache before and after a clear and after it is filled again; and of a version read all along."""
+    cache = _stored_cache(spark, sf)
+    held = cache.read()
+    sizes = [cache.size().select(F.lit("before").alias("state"), "cache_size")]
+    cache.clear()
+    sizes.append(cache.size().select(F.lit("cleared").alias("state"), "cache_size"))
+    sizes.append(embedding.cache_size(held).select(F.lit("read before").alias("state"), "cache_size"))
+    _, fresh = cache.lookup(tables.documents(spark, sf).where(F.col("lang") == "en"))
+    cache.merge(fresh)
+    sizes.append(cache.size().select(F.lit("again").alias("state"), "cache_size"))
+    out = sizes[0]
+    for size in sizes[1:]:
+        out = out.unionByName(size)
+    return out
+
+
 def _text_search_sql() -> str:
     docs = O.sparse_hash_embedding("documents", "doc_id", "text")
     qs = O.sparse_hash_embedding("benchmark", "item_id", "text")
@@ -430,21 +551,20 @@ def q_knn_text_search(spark, sf):
 # =========================================================================================
 
 def _stage_url_list(spark, sf) -> str:
-    """Write a URL list built from ``pages``: every URL with varied indentation,
-    plus a comment line and a blank line per page."""
+    """Write a URL list built from ``pages``: for each page, in order, a blank line, a comment and its
+    URL, indented variously."""
     p = tables.load(spark, sf, "pages")
     pad = F.repeat(F.lit(" "), (F.col("page_id") % 3).cast("int"))
-    lines = (p.select(F.concat(pad, F.col("url"), pad).alias("line"))
-             .unionByName(p.select(F.concat(pad, F.lit("# "), F.col("url")).alias("line")))
-             .unionByName(p.select(F.concat(pad, F.lit("\t")).alias("line"))))
+    lines = p.select("page_id", F.posexplode(F.array(
+        F.concat(pad, F.lit("\t")), F.concat(pad, F.lit("# "), F.col("url")), F.concat(pad, F.col("url"), pad))).alias("n", "line"))
     path = scratch_path(spark, "urls")
-    url_list.write_url_list(lines, path)
+    url_list.write_url_list(lines.orderBy("page_id", "n"), path)
     return path
 
 
-@register("url_list_scan", "SELECT url FROM pages")
+@register("url_list_scan", "SELECT 3 * (row_number() OVER (ORDER BY page_id) - 1) + 2 AS url_ord, url FROM pages")
 def q_url_list_scan(spark, sf):
-    return url_list.read_url_list(spark, _stage_url_list(spark, sf)).select("url")
+    return url_list.read_url_list(spark, _stage_url_list(spark, sf)).select("url_ord", "url")
 
 
 @register("url_allowed_domain", f"SELECT url_ord, url FROM {O.URLS} WHERE {O.allowed_domain('url')}")
@@ -524,14 +644,19 @@ def q_url_union(spark, sf):
     return expansion.url_union(tables.urls(spark, sf), raw)
 
 
-@register("url_work_list", f"""SELECT sub_ord, url, kind,
+@register("url_work_list", f"""
+    WITH lists AS (SELECT 0 AS list_ord, row_number() OVER (ORDER BY url_ord) - 1 AS line, url_ord FROM {O.URLS}
+                   UNION ALL SELECT 1 AS list_ord, url_ord AS line, url_ord FROM {O.URLS} WHERE url_ord % 5 = 0)
+    SELECT list_ord, line AS url_ord, sub_ord, url, kind,
         CASE WHEN {O.supported_host('url')} THEN 'valid' ELSE 'invalid' END AS status
-    FROM ({_route_sql(fv.DEFAULT_CHANNEL_LIMIT)})""")
+    FROM ({_route_sql(fv.DEFAULT_CHANNEL_LIMIT)}) r JOIN lists USING (url_ord)""")
 def q_url_work_list(spark, sf):
+    """L4: a list file, then command-line URLs, each with the order columns of the work."""
     path = scratch_path(spark, "urllist")
-    url_list.write_url_list(tables.urls(spark, sf).select(F.col("url").alias("line")), path)
-    out = flows.url_work_list(spark, [path], None, tables.catalogue(spark, sf), fv.DEFAULT_CHANNEL_LIMIT)
-    return out.select("sub_ord", "url", "kind", "status")
+    u = tables.urls(spark, sf)
+    url_list.write_url_list(u.orderBy("url_ord").select(F.col("url").alias("line")), path)
+    return flows.url_work_list(spark, [path], u.where(F.col("url_ord") % 5 == 0), tables.catalogue(spark, sf),
+                               fv.DEFAULT_CHANNEL_LIMIT)
 
 
 # =========================================================================================
@@ -559,6 +684,21 @@ def q_batch_outcomes(spark, sf):
     return transcripts.batch_outcomes(st)
 
 
+@register("run_outcomes", f"""
+    WITH m AS (SELECT *, l.file_path IS NOT NULL AND coalesce(size_bytes, 1) <> 0 AS valid
+               FROM {O.MEDIA} m LEFT JOIN {O.LISTING} l USING (file_path))
+    SELECT 'invalid' AS status, count(*) AS n FROM m WHERE NOT valid
+    UNION ALL SELECT 'success', count(*) FROM m WHERE valid AND CAST(file_path AS BIGINT) % 50 <> 1
+    UNION ALL SELECT 'failed', count(*) FROM m WHERE valid AND CAST(file_path AS BIGINT) % 50 = 1""")
+def q_run_outcomes(spark, sf):
+    """A4 over a run: a document for every valid medium, of which some have names that can't be written."""
+    m = tables.media_manifest(spark, sf)
+    bad = F.col("file_path").cast("bigint") % 50 == 1
+    docs = m.select("file_path", F.concat(F.when(bad, F.lit("no folder/")).otherwise(F.lit("")), F.col("file_path"),
+                                          F.lit(".md")).alias("file_name"), F.col("source_url").alias("content"))
+    return transcripts.run_batch(m, tables.file_listing(spark, sf), docs, scratch_path(spark, "run"))
+
+
 @register("media_valid", f"""SELECT file_path, size_bytes FROM {O.MEDIA}
     WHERE file_path IN (SELECT file_path FROM {O.LISTING}) AND coalesce(size_bytes, 1) <> 0""")
 def q_media_valid(spark, sf):
@@ -676,6 +816,34 @@ def q_kb_append(spark, sf):
     return kb.all_rows().groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("kb_dedupe", """SELECT source AS collection, count(DISTINCT text) AS n FROM documents GROUP BY source""")
+def q_kb_dedupe(spark, sf):
+    """S7 with ``dedupe_on``: half of the documents, then all of them twice; equal texts of a collection are stored once."""
+    kb = _kb(spark)
+    items = _doc_items(spark, sf)
+    kb.append_by_column(items.where(F.col("transcript_id") % 2 == 0), "collection", dedupe_on=["text_key"])
+    kb.append_by_column(items, "collection", dedupe_on=["text_key"])
+    kb.append_by_column(items, "collection", dedupe_on=["text_key"])
+    return kb.all_rows().groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("kb_compact", """SELECT source AS collection, text_key, count(*) AS n FROM (
+      SELECT source, md5(text) AS text_key FROM documents
+      UNION ALL SELECT source, md5(text) FROM documents WHERE doc_id % 2 = 1
+      UNION ALL SELECT 'lang_' || lang, md5(text) FROM documents WHERE lang <> 'en') GROUP BY ALL""")
+def q_kb_compact(spark, sf):
+    """Three appends and a drop, rewritten as one clustered batch; the rows are the same."""
+    kb = _kb(spark)
+    items = _doc_items(spark, sf)
+    kb.append_by_column(items, "collection")
+    kb.append_by_column(items.where(F.col("transcript_id") % 2 == 1), "collection")
+    kb.append_by_column(items.withColumn("collection", F.concat(F.lit("lang_"), F.col("language"))), "collection")
+    kb.drop("lang_en")
+    kb.compact()
+    kb.vacuum()
+    return kb.all_rows().groupBy("collection", "text_key").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("kb_create", """SELECT DISTINCT source AS name, 'first ' || source AS description FROM documents""")
 def q_kb_create(spark, sf):
     kb = _kb(spark)
@@ -717,26 +885,29 @@ def q_kb_stats(spark, sf):
     return kb.stats().select("name", "document_count")
 
 
-_DEMO_QUERY = f"(SELECT 0 AS qid, '{fv.DEMO_QUERY}' AS q)"
+#: Words of the documents, in three of their languages.
+STORED_QUERY = "the name of the people and la lumiere de le temps und der tag"
+_STORED_QUERY = f"(SELECT 0 AS qid, '{STORED_QUERY}' AS q)"
 
 
 @register("kb_search_stored", f"""
     WITH de AS {O.sparse_hash_embedding("documents", "doc_id", "text")},
-    qe AS {O.sparse_hash_embedding(_DEMO_QUERY, "qid", "q")},
-    d AS (SELECT documents.doc_id, documents.text,
-                 coalesce((SELECT sum(weight * weight) FROM qe), 0.0)
-                 + coalesce((SELECT sum(weight * weight) FROM de WHERE de.id = documents.doc_id), 0.0)
-                 - 2 * coalesce((SELECT sum(qe.weight * de.weight) FROM qe JOIN de USING (bucket)
-                                 WHERE de.id = documents.doc_id), 0.0) AS distance FROM documents)
-    SELECT CAST(row_number() OVER (ORDER BY distance, doc_id) AS INTEGER) AS rank,
-           round(greatest(0.0, 1.0 - distance), 4) AS score, text FROM d
-    ORDER BY distance, doc_id LIMIT {fv.DEFAULT_TOP_K}""")
+    qe AS {O.sparse_hash_embedding(_STORED_QUERY, "qid", "q")},
+    d AS (SELECT documents.doc_id, documents.text, source || '/' || CAST(doc_id AS VARCHAR) AS source_file,
+                 round(coalesce((SELECT sum(weight * weight) FROM qe), 0.0)
+                 + coalesce((SELECT sum(weight::FLOAT::DOUBLE * weight::FLOAT::DOUBLE) FROM de WHERE de.id = documents.doc_id), 0.0)
+                 - 2 * coalesce((SELECT sum(qe.weight * de.weight::FLOAT::DOUBLE) FROM qe JOIN de USING (bucket)
+                                 WHERE de.id = documents.doc_id), 0.0), {DIGITS}) AS distance FROM documents)
+    SELECT CAST(row_number() OVER (ORDER BY distance, source_file) AS INTEGER) AS rank,
+           round(greatest(0.0, 1.0 - distance), 4) AS score, distance, source_file, text FROM d
+    ORDER BY distance, source_file LIMIT {fv.DEFAULT_TOP_K}""")
 def q_kb_search_stored(spark, sf):
-    """L3 over a stored collection: build it, embed the demo's query, search, report."""
+    """L3 over a stored collection: build it, embed the query, search, report."""
     kb = _kb(spark)
     kb.append(embedding.embed_chunks(_doc_items(spark, sf)))
-    hits = flows.demo_search(kb)
-    return hits.select(F.col("rank").cast("int").alias("rank"), F.round("score", 4).alias("score"), "text")
+    hits = flows.demo_search(kb, STORED_QUERY)
+    return hits.select(F.col("rank").cast("int").alias("rank"), F.round("score", 4).alias("score"), "distance",
+                       "source_file", "text")
 
 
 @register("metadata_strip", """SELECT doc_id, k AS key, v AS value FROM (
@@ -770,10 +941,10 @@ def _report_sql() -> str:
     return f"""
     WITH r AS ({_text_search_sql()})
     SELECT r.query_id, r.rank, round(greatest(0.0, 1.0 - r.distance), {DIGITS}) AS score,
-      '--- Result ' || CAST(r.rank AS VARCHAR) || ' (Score: ' || printf('%.3f', greatest(0.0, 1.0 - r.distance)) || ') ---' || chr(10) ||
-      'Text: ' || substr(d.text, 1, 300) || '...' || chr(10) ||
-      CASE WHEN d.n_chars % 4 <> 0 THEN 'Time: ' || printf('%.1f', d.n_chars / 7.0::DOUBLE) || 's - ' || printf('%.1f', d.n_chars / 5.0::DOUBLE) || 's' || chr(10) ELSE '' END ||
-      'Source: ' || d.source AS report
+      '{fv.REPORT_RESULT}' || CAST(r.rank AS VARCHAR) || '{fv.REPORT_SCORE}' || printf('%.3f', greatest(0.0, 1.0 - r.distance)) || '{fv.REPORT_END}' || chr(10) ||
+      '{fv.REPORT_TEXT}' || substr(d.text, 1, 300) || '...' || chr(10) ||
+      CASE WHEN d.n_chars % 4 <> 0 THEN '{fv.REPORT_TIME}' || printf('%.1f', d.n_chars / 7.0::DOUBLE) || 's - ' || printf('%.1f', d.n_chars / 5.0::DOUBLE) || 's' || chr(10) ELSE '' END ||
+      '{fv.REPORT_SOURCE}' || d.source AS report
     FROM r JOIN documents d ON d.doc_id = r.id"""
 
 
@@ -810,10 +981,10 @@ def _chunk_search_sql() -> str:
     r AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, sid) AS INTEGER) AS rank
                          FROM d) WHERE rank <= {fv.DEFAULT_TOP_K})
     SELECT r.query_id, r.rank, r.sid AS id, r.distance, round(greatest(0.0, 1.0 - r.distance), {DIGITS}) AS score,
-      '--- Result ' || CAST(r.rank AS VARCHAR) || ' (Score: ' || printf('%.3f', greatest(0.0, 1.0 - r.distance)) || ') ---' || chr(10) ||
-      'Text: ' || substr(ck.text, 1, 300) || '...' || chr(10) ||
-      CASE WHEN ck.start_time <> 0 THEN 'Time: ' || printf('%.1f', ck.start_time) || 's - ' || printf('%.1f', ck.end_time) || 's' || chr(10) ELSE '' END ||
-      'Source: ' || ck.source_file AS report
+      '{fv.REPORT_RESULT}' || CAST(r.rank AS VARCHAR) || '{fv.REPORT_SCORE}' || printf('%.3f', greatest(0.0, 1.0 - r.distance)) || '{fv.REPORT_END}' || chr(10) ||
+      '{fv.REPORT_TEXT}' || substr(ck.text, 1, 300) || '...' || chr(10) ||
+      CASE WHEN ck.start_time <> 0 THEN '{fv.REPORT_TIME}' || printf('%.1f', ck.start_time) || 's - ' || printf('%.1f', ck.end_time) || 's' || chr(10) ELSE '' END ||
+      '{fv.REPORT_SOURCE}' || ck.source_file AS report
     FROM r JOIN ck ON ck.cid = r.cid"""
 
 

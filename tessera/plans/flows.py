@@ -50,9 +50,13 @@ def reindex_transcripts(spark: SparkSession, directory: str, kb: KnowledgeBase,
 
 def search_knowledge_base(kb: KnowledgeBase, query_text: str, k: int = fv.DEFAULT_TOP_K,
                           collection: str = fv.DEFAULT_COLLECTION, embedder=None,
-                          metric: str = "l2", preview: int = fv.REPORT_PREVIEW) -> DataFrame:
+                          metric: str = "l2", preview: int = fv.REPORT_PREVIEW,
+                          round_digits: int | None = 6) -> DataFrame:
     """L3: embed the query with the collection's embedder, top-k, report lines.
 
+    Distances are rounded and equal ones ordered by source file and chunk, so that the result does not
+    depend on the rows' ids, which every write draws anew.
+
     The query vector (one row, its size bounded by the dimension) is
     embedded by Spark and brought to the driver, so the distance can be
     written as a fixed per-dimension expression over the collection.
@@ -60,7 +64,8 @@ def search_knowledge_base(kb: KnowledgeBase, query_text: str, k: int = fv.DEFAUL
     spark = kb.spark
     row = embedding.embed_text(spark, query_text, embedder).select("embedding").first()
     q = [float(x) for x in row["embedding"]]
-    hits = search.knn_topk(kb.rows(collection), q, k, metric, id_col="id")
+    hits = search.knn_topk(kb.rows(collection), q, k, metric, id_col="id", round_digits=round_digits,
+                           ties=("source_file", "chunk_index"))
     return search.report(hits, preview).select(
         "rank", "score", "distance", "text", "start_time", "end_time", "source_file",
         search.strip_metadata(F.coalesce("extra", F.create_map().cast("map<string,string>"))).alias("metadata"),
@@ -79,23 +84,12 @@ def url_work_list(spark: SparkSession, list_paths: list[str], cli_urls: DataFram
     """L4: URL files then CLI URLs -> route/expand -> strict host check.
 
     Output ``(list_ord, url_ord, sub_ord, url, kind, status)`` with status
-    'valid' or 'invalid' (the strict check of the extractor).
+    'valid' or 'invalid' (the strict check of the extractor). The work is in the order of the first
+    three columns: the list, the line in it, the place in an expanded container.
     """
-    lists = []
-    for i, path in enumerate(list_paths):
-        f = url_list.read_url_list(spark, path)
-        lists.append(f.select(F.lit(i).alias("list_ord"),
-                              F.struct("source_file", "block_start", "line_id").alias("url_ord"), "url"))
-    if cli_urls is not None:
-        lists.append(cli_urls.select(F.lit(len(list_paths)).alias("list_ord"),
-                                     F.struct(F.lit("").alias("source_file"),
-                                              F.lit(0).cast("bigint").alias("block_start"),
-                                              F.col("url_ord").cast("bigint").alias("line_id")).alias("url_ord"),
-                                     "url"))
-    allu = lists[0]
-    for other in lists[1:]:
-        allu = allu.unionByName(other)
-    keyed = allu.withColumn("url_ord", F.struct("list_ord", "url_ord"))
+    lists = [url_list.read_url_list(spark, path) for path in list_paths] + ([cli_urls] if cli_urls is not None else [])
+    keyed = expansion.url_union(*lists).withColumn("url_ord", F.struct("list_ord", F.col("url_ord").cast("bigint").alias("line")))
     routed = expansion.route(keyed.select("url_ord", "url"), catalogue, limit)
     status = F.when(U.supported_host(F.col("url")), F.lit("valid")).otherwise(F.lit("invalid"))
-    return routed.withColumn("status", status)
+    return routed.select(F.col("url_ord.list_ord").alias("list_ord"), F.col("url_ord.line").alias("url_ord"),
+                         "sub_ord", "url", "kind", status.alias("status"))

@@ -5,19 +5,21 @@ One URL per line; lines are stripped; blank lines and lines starting with
 missing path reads as an empty list.
 
 Files are read line by line (``spark.read.text``), so a huge list splits
-over many tasks.  The order key is ``(file, split start, row id)``: Spark
-packs splits by size, not by name, so the row id alone does not follow the
-file order, but within one split it does.
+over many tasks. ``url_ord`` is the number of the line in the list (files by
+name, lines from 0): a first pass counts the lines of each split, their sums
+over the splits before (one row a split) give each split's first number, and
+the row ids of a task, which rise through a split, give the rest. Both passes
+read the same splits, as they plan the same scan of the same files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip_ws
 
-URL_LIST_SCHEMA = "source_file string, block_start bigint, line_id bigint, url string"
+URL_LIST_SCHEMA = "source_file string, url_ord bigint, url string"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -29,17 +31,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
-    """URLs of the list file(s) at ``path`` with an order key."""
+    """URLs of the list file(s) at ``path`` with their line numbers."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], URL_LIST_SCHEMA)
-    raw = spark.read.text(path)
-    line = strip_ws(F.col("value"))
-    return (raw.select(
+    lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_id"),
-        line.alias("url"))
-        .where((F.col("url") != F.lit("")) & ~F.col("url").startswith("#")))
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+        strip_ws(F.col("value")).alias("url"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    splits = (lines.groupBy(F.col("source_file").alias("_file"), F.col("_block").alias("_start"))
+              .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    numbered = lines.join(splits, (F.col("source_file") == F.col("_file")) & (F.col("_block") == F.col("_start")))
+    return (numbered.select("source_file", (F.col("_row") - F.col("_first") + F.col("_before")).alias("url_ord"), "url")
+            .where((F.col("url") != F.lit("")) & ~F.col("url").startswith("#")))
 
 
 def write_url_list(lines: DataFrame, path: str, column: str = "line") -> None:

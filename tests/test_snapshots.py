@@ -86,6 +86,9 @@ def test_drop_hides_earlier_rows_only(spark):
     assert sorted(r.text for r in kb.all_rows().collect()) == ["c", "d"]
     kb.drop("y")
     assert [r.text for r in kb.all_rows().collect()] == ["d"] and kb.rows("y").count() == 0
+    kb.compact()  # right after a drop
+    kb.vacuum()
+    assert [r.text for r in kb.all_rows().collect()] == ["d"] and [r.text for r in kb.rows("x").collect()] == ["d"]
     folders = os.listdir(f"{kb.root}/data".removeprefix("file:"))
     assert sum(f.startswith("batch=") for f in folders) == 1
 

@@ -7,30 +7,58 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators import embedding, search
+from tessera.operators import embedding, ivf, search
+from tessera.session import scratch_path
 from tessera.sources import tables
 
 
 def test_cosine_cases(spark):
     df = spark.createDataFrame([
-        ([1.0, 0.0], [0.0, 1.0], 0.0), ([0.1, 0.2, 0.3, 0.4], [0.1, 0.2, 0.3, 0.4], 1.0),
-        ([0.0, 0.0], [1.0, 1.0], 0.0), ([1.0], [1.0, 2.0], 0.0), (None, [1.0], 0.0),
-        ([1.0, 0.0], [-1.0, 0.0], 0.0)], "a array<double>, b array<double>, e double")
+        ([3.0, 0.0, 4.0], [0.0, 7.0, 0.0], 0.0), ([2.5, -1.5, 0.25], [5.0, -3.0, 0.5], 1.0),
+        ([3.0, 4.0], [4.0, 3.0], 0.96), ([0.0, 0.0], [6.0, 2.0], 0.0), ([9.0], [2.0, 5.0], 0.0), (None, [8.0], 0.0),
+        ([0.0, 6.0], [0.0, -2.5], 0.0)], "a array<double>, b array<double>, e double")
     for r in df.select("e", V.cosine_similarity("a", "b").alias("c")).collect():
         assert r.c == pytest.approx(r.e)
 
 
 def test_score_from_distance(spark):
-    df = spark.createDataFrame([(0.2,), (1.5,), (None,)], "d double")
+    df = spark.createDataFrame([(0.375,), (7.25,), (1.0,), (None,)], "d double")
     got = [r.s for r in df.select(V.distance_to_score("d").alias("s")).collect()]
-    assert got == [pytest.approx(0.8), 0.0, 0.0]
+    assert got == [0.625, 0.0, 0.0, 0.0]
 
 
 def test_native_and_arrow_hashing_embedders_agree(spark, sf_small):
+    class NumpyHashingModel:
+        """The hashing embedder in numpy, usable as an ``ArrowEmbedder`` model.
+
+        It gives the same vectors as ``HashingEmbedder`` (used to test the
+        pluggable path against the native one).
+        """
+
+        def __init__(self, dim: int = 64):
+            import regex
+
+            self.dim = dim
+            self.split = regex.compile(r"[^\p{L}\p{N}]+")
+
+        def encode(self, texts):
+            import hashlib
+
+            import numpy as np
+
+            out = np.zeros((len(texts), self.dim))
+            for r, t in enumerate(texts):
+                for w in self.split.split(t.lower()):
+                    if w:
+                        h = int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16)
+                        out[r, h % self.dim] += 1.0
+            norms = np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+            return out / norms
+
     d = tables.documents(spark, sf_small).select("doc_id", "text")
     native = embedding.embed(d, "text", "e", embedding.HashingEmbedder(64))
     arrow = embedding.embed(d, "text", "e", embedding.ArrowEmbedder(
-        lambda: embedding.NumpyHashingModel(64), "hashing-md5-64"))
+        lambda: NumpyHashingModel(64), "hashing-md5-64"))
     a = {r.doc_id: r.e for r in native.collect()}
     b = {r.doc_id: r.e for r in arrow.collect()}
     assert a.keys() == b.keys()
@@ -124,3 +152,57 @@ def test_topk_literal_query_matches_lambda_path(spark, sf_small):
     assert [(r.id, r.distance) for r in by_list] == [(r.id, r.distance) for r in by_col]
     plan = search.knn_topk(vec, q, 7)._jdf.queryExecution().executedPlan().toString()
     assert "aggregate(" not in plan and "zip_with" not in plan
+
+
+def test_stored_cache(spark, sf_small):
+    d = tables.documents(spark, sf_small).select("doc_id", "text")
+    cache = embedding.StoredCache(spark, scratch_path(spark, "cache"))
+    _, fresh = cache.lookup(d.where("doc_id % 2 = 0"))
+    cache.merge(fresh)
+    held = cache.size().first().cache_size
+    assert held == d.where("doc_id % 2 = 0").select("text").distinct().count()
+    whole = cache.read()
+    for _ in range(2):  # the second merge brings nothing new
+        _, fresh = cache.lookup(d)
+        cache.merge(fresh.unionByName(fresh))
+        assert cache.size("hashing-md5-64").first().cache_size == d.select("text").distinct().count()
+    cache.compact(2)
+    assert cache.size().first().cache_size == d.select("text").distinct().count()
+    assert cache.size("another model").first().cache_size == 0
+    cache.clear()
+    assert cache.size().first().cache_size == 0 and whole.count() == held
+
+
+def test_inverted_file(spark):
+    vec = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id as id", "embedding")
+    queries = vec.where("id % 40 = 0").selectExpr("id as query_id", "embedding as qv")
+    exact = search.knn_batch(vec, queries, 5, round_digits=6)
+    quantiser = ivf.train(vec, 64)
+    assert quantiser.table(spark).count() == 64
+    index = ivf.build(vec, quantiser, scratch_path(spark, "ivf"))
+    assert sorted(r.id for r in index.select("id").collect()) == list(range(2000))
+    found = ivf.probe(index, quantiser, queries, 5, n_probe=40, rerank=50)
+    assert ivf.recall(found, exact).first().recall >= 0.9
+    rows = found.collect()
+    assert len(rows) == 5 * 50 and all(r.vectors_touched == 50 and r.codes_scanned < 1600 for r in rows)
+    # every list and every row: the exact answer, in one block or several
+    for query_bytes in (ivf.QUERY_BYTES, 10_000):
+        all_of = ivf.probe(index, quantiser, queries, 5, n_probe=64, rerank=2000, query_bytes=query_bytes)
+        want = sorted((r.query_id, r.rank, r.id, r.distance) for r in exact.collect())
+        assert sorted((r.query_id, r.rank, r.id, r.distance) for r in all_of.collect()) == want
+
+
+def test_inverted_file_with_a_hot_list_and_few_rows(spark):
+    rows = [(i, [1.0, 1.0] if i % 3 else [float(i), -1.0]) for i in range(600)] + [(600, None)]
+    vec = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4)
+    quantiser = ivf.train(vec, 8)
+    index = ivf.build(vec, quantiser, scratch_path(spark, "ivf"))
+    queries = spark.createDataFrame([(7, [1.0, 1.0]), (8, None), (9, [300.0, -1.0])], "query_id long, qv array<double>")
+    got = {}
+    for r in ivf.probe(index, quantiser, queries, 4, n_probe=8, rerank=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.distance))
+    assert got[7] == [(1, 0.0), (2, 0.0), (4, 0.0), (5, 0.0)] and got[9][0] == (300, 0.0) and 8 not in got
+    few = vec.where("id in (1, 3)")
+    small = ivf.train(few, 8)
+    out = ivf.probe(ivf.build(few, small, scratch_path(spark, "ivf")), small, queries.limit(1), 5, n_probe=8, rerank=5)
+    assert sorted(r.id for r in out.collect()) == [1, 3]
