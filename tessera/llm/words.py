@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words a Python worker keeps, their characters in total, and the longest one that is kept.
-WORDS_KEPT = 500_000
-CHARS_KEPT = 16_000_000
+#: Words of a generation (a Python worker keeps two), their characters in total, and the longest word kept.
+WORDS_KEPT = 250_000
+CHARS_KEPT = 8_000_000
 LONGEST_KEPT = 64
 
 #: A blank followed by white space: there a text can't be cut at blanks.
@@ -20,24 +20,34 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class WordTable:
-    """``learn`` gives a tuple of byte strings (ids as 32-bit integers) and marks for each new word."""
-
-    def __init__(self, learn: Callable[[list[str]], list[tuple]]):
-        self.learn, self.known, self.chars = learn, {}, 0
-
-    def entries(self, words: list[str]) -> list[tuple]:
-        new = [w for w in words if w not in self.known]
-        if not new:
-            return [self.known[w] for w in words]
-        own = dict(zip(new, self.learn(new)))
-        out = [own[w] if w in own else self.known[w] for w in words]
-        for w, entry in own.items():
-            if len(w) <= LONGEST_KEPT:
-                if len(self.known) >= WORDS_KEPT or self.chars >= CHARS_KEPT:
-                    self.known.clear()
-                    self.chars = 0
-                self.known[w] = entry
-                self.chars += len(w)
+    """Entries of words by ``learn``, which gives one for each new word, such as its ids as bytes.
+
+    The table has two generations. Words in use move to the younger one; when that is full, the elder
+    is dropped. So the common words stay, however many rare ones pass.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], list], most: int = WORDS_KEPT):
+        self.learn, self.most = learn, most
+        self.known, self.elder, self.chars = {}, {}, 0
+
+    def entries(self, words: list[str]) -> list:
+        """One for each of ``words``, which are distinct."""
+        out = list(map(self.known.get, words))
+        lost = [i for i, x in enumerate(out) if x is None]
+        if not lost:
+            return out
+        missed = [words[i] for i in lost]
+        found = list(map(self.elder.get, missed))
+        learned = iter(self.learn([w for w, x in zip(missed, found) if x is None]))
+        found = [next(learned) if x is None else x for x in found]
+        for i, entry in zip(lost, found):
+            out[i] = entry
+        for at in range(0, len(missed), 1000):
+            if len(self.known) >= self.most or self.chars >= CHARS_KEPT:
+                self.known, self.elder, self.chars = {}, self.known, 0
+            short = {w: x for w, x in zip(missed[at:at + 1000], found[at:at + 1000]) if len(w) <= LONGEST_KEPT}
+            self.known.update(short)
+            self.chars += sum(map(len, short))
         return out
 
 

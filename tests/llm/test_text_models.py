@@ -11,12 +11,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from cases import ODD_TEXTS, documents, empty_documents, odd_documents  # noqa: F401
 from tokenizers import Tokenizer
 
-from tessera.llm import byte_bpe, packing, token_counts
+from tessera.llm import byte_bpe, packing, token_counts, words
 
 PIECES = ["a", "the", " ", "  ", "\n", "\t", "\r\n", "é", "ß", "'s", "'t", "12", ".", "!!", "日本", "😀", "\x1c", "\x85",
           "́", "İ", "Σ", "ᄀ", "ᅡ", " ", "ing", "THE", "<|endoftext|>", "\x00"]
@@ -104,18 +105,40 @@ def test_shared_prefixes_are_scored_once():
 
 def test_word_ids_are_the_tokenizers():
     whole = Tokenizer.from_file(WORDS)
-    whole.encode_special_tokens = True
-    known = packing.WordIds(WORDS)
-    for text in texts(4000, 3) + [t or "" for t in ODD_TEXTS]:
-        words = packing.words_of(text)
-        known.learn(set(words))
-        ids = np.frombuffer(b"".join(known[w] for w in words), np.uint32).tolist()
-        assert ids == whole.encode(text, add_special_tokens=False).ids
+    strange = texts(4000, 3) + [t or "" for t in ODD_TEXTS] + [
+        "a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|><|endoftext|>", "<|EndOfText|> <|endoftext |>", "<|endoftext|"]
+    ids, ends = packing.token_ids(pa.array(strange), packing.word_table(WORDS))
+    for text, own in zip(strange, np.split(ids, ends[:-1])):
+        assert own.tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert 49407 in ids
+
+
+def test_word_table_is_bounded(monkeypatch):
+    monkeypatch.setattr(words, "CHARS_KEPT", 40_000)
+    table = words.WordTable(lambda new: [w.upper() for w in new], 5000)
+    for n in range(60):
+        some = [f"w{700 * n + i}" for i in range(2500)] + ["long" * 40 + str(n)]
+        assert table.entries(some) == [w.upper() for w in some]
+        for kept in (table.known, table.elder):
+            assert len(kept) <= 6000 and sum(map(len, kept)) <= 50_000
+            assert all(len(w) <= words.LONGEST_KEPT for w in kept)
+
+
+def test_word_encoder_is_the_library():
+    rng = random.Random(7)
+    chars = [chr(c) for c in range(0x21, 0x250)] + ["\u0130", "Σ", "ς", "\u0301", "日", "<|endoftext|>", "'s", "'LL"]
+    strange = list({"".join(rng.choices(chars, k=rng.randint(1, 9))) for _ in range(20_000)} | {"don't", "İ", "ŉ", "a'Re12"})
+    whole = Tokenizer.from_file(WORDS)
+    want = [np.array(e.ids, np.uint32).tobytes() for e in whole.encode_batch(strange, add_special_tokens=False)]
+    assert packing.WordEncoder(WORDS)(strange) == want
+    # a file without lower-casing and word-end marks takes the library's path
+    other = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert packing.WordEncoder(P.path("byte_bpe_50k.json"))(["Ab", "c"]) == [
+        np.array(other.encode(w, add_special_tokens=False).ids, np.uint32).tobytes() for w in ("Ab", "c")]
 
 
 def check_packing(rows, docs, capacity):
     whole = Tokenizer.from_file(WORDS)
-    whole.encode_special_tokens = True
     want, total = [], 0
     for i, t in docs:
         ids = [*whole.encode(t or "", add_special_tokens=False).ids, 1]
