@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed_values as fv
@@ -26,7 +26,7 @@ from tessera.operators.collections import KnowledgeBase, chunk_counts
 from tessera.plans import oracle_sql as O
 from tessera.plans import flows
 from tessera.session import scratch_path
-from tessera.sources import media, tables, transcript_md, url_list
+from tessera.sources import media, segments, tables, transcript_md, url_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -646,17 +646,16 @@ def q_url_union(spark, sf):
 
 @register("url_work_list", f"""
     WITH lists AS (SELECT 0 AS list_ord, row_number() OVER (ORDER BY url_ord) - 1 AS line, url_ord FROM {O.URLS}
-                   UNION ALL SELECT 1 AS list_ord, url_ord AS line, url_ord FROM {O.URLS} WHERE url_ord % 5 = 0)
+                   UNION ALL SELECT 1 AS list_ord, url_ord AS line, url_ord FROM {O.URLS})
     SELECT list_ord, line AS url_ord, sub_ord, url, kind,
         CASE WHEN {O.supported_host('url')} THEN 'valid' ELSE 'invalid' END AS status
     FROM ({_route_sql(fv.DEFAULT_CHANNEL_LIMIT)}) r JOIN lists USING (url_ord)""")
 def q_url_work_list(spark, sf):
-    """L4: a list file, then command-line URLs, each with the order columns of the work."""
+    """L4: a list file, then the same URLs from the command line, each with the order columns of the work."""
     path = scratch_path(spark, "urllist")
     u = tables.urls(spark, sf)
     url_list.write_url_list(u.orderBy("url_ord").select(F.col("url").alias("line")), path)
-    return flows.url_work_list(spark, [path], u.where(F.col("url_ord") % 5 == 0), tables.catalogue(spark, sf),
-                               fv.DEFAULT_CHANNEL_LIMIT)
+    return flows.url_work_list(spark, [path], u, tables.catalogue(spark, sf), fv.DEFAULT_CHANNEL_LIMIT)
 
 
 # =========================================================================================
@@ -706,6 +705,30 @@ def q_media_valid(spark, sf):
     return v.select("file_path", "size_bytes")
 
 
+@register("segment_source", f"""SELECT transcript_id, seg_idx, text, start_time, end_time, confidence FROM {O.SEGMENTS}""")
+def q_segment_source(spark, sf):
+    """The segments written as JSON lines (null scores absent) and read back."""
+    path = scratch_path(spark, "segments")
+    tables.segments(spark, sf).write.json(path)
+    return segments.read_segments(spark, path)
+
+
+@register("transcripts_sorted", f"""SELECT CAST(row_number() OVER (ORDER BY 'transcript_' || CAST(transcript_id AS VARCHAR) || '.md') - 1 AS BIGINT) AS place,
+    transcript_id FROM {_ASSEMBLED}""")
+def q_transcripts_sorted(spark, sf):
+    """T4: documents loaded in the order of their paths; the place is the row's number in that order."""
+    t = transcript_md.load_transcripts(spark, _written_docs(spark, sf), ordered=True)
+    tid = F.regexp_extract("transcript_id", r"transcript_(\d+)\.md$", 1).cast("bigint")
+    path = scratch_path(spark, "sorted")
+    t.select(tid.alias("transcript_id"), F.monotonically_increasing_id().alias("_row"),
+             F.spark_partition_id().alias("_part")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    parts = (rows.groupBy("_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+             .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    return rows.join(parts, "_part").select((F.col("_row") - F.col("_first") + F.col("_before")).alias("place"), "transcript_id")
+
+
 def rendered_transcripts(spark, sf) -> DataFrame:
     t = transcripts.assemble(transcripts.clean_segments(tables.segments(spark, sf)))
     t = t.withColumn("language", F.lit("zh")).withColumn(
@@ -790,6 +813,24 @@ def q_media_manifest(spark, sf):
                           "size_bytes", "format")
 
 
+@register("media_info", f"""SELECT 'transcript_' || CAST(r.transcript_id AS VARCHAR) || '.md' AS file_name,
+    CAST(strlen(content) AS BIGINT) AS size_bytes, 'md' AS format,
+    CASE WHEN r.transcript_id % 3 <> 0 THEN last_end END AS duration,
+    CASE WHEN r.transcript_id % 3 <> 0 THEN '{fv.ITEM_URL_PREFIX}' || CAST(r.transcript_id AS VARCHAR) END AS source_url
+    FROM ({_RENDER_SQL}) r JOIN {_ASSEMBLED} a ON a.transcript_id = r.transcript_id""")
+def q_media_info(spark, sf):
+    """Files listed from storage, with duration and address from info files, which a third of them lack."""
+    t = transcripts.assemble(transcripts.clean_segments(tables.segments(spark, sf)))
+    key = F.col("transcript_id").cast("string")
+    infos = scratch_path(spark, "infos")
+    t.where(F.col("transcript_id") % 3 != 0).select(
+        F.concat(F.lit("transcript_"), key).alias("id"), F.col("last_end").alias("duration"),
+        F.concat(F.lit(fv.ITEM_URL_PREFIX), key).alias("webpage_url")).write.json(infos)
+    listing = segments.with_info(media.list_media(spark, _written_docs(spark, sf), "*.md"), segments.read_media_info(spark, infos))
+    return listing.select(F.regexp_extract("file_path", r"([^/]+)$", 1).alias("file_name"), "size_bytes", "format",
+                          "duration", "source_url")
+
+
 # =========================================================================================
 # Step 7: collections S7, C1, C2, A5, A6, F21, L1-L3
 # =========================================================================================

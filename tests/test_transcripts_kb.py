@@ -11,7 +11,7 @@ from tessera.operators import search, transcripts
 from tessera.operators.collections import KnowledgeBase
 from tessera.plans import flows
 from tessera.session import scratch_path
-from tessera.sources import tables, transcript_md
+from tessera.sources import segments, tables, transcript_md
 
 
 def test_fixed_matches_python_format(spark):
@@ -155,3 +155,45 @@ def test_demo_search_preview(spark, sf_small):
     for r in res:
         line = r.report.split("\n")[1]
         assert line == "Text: " + r.text[:200] + "..."
+
+
+def test_run_outcomes_are_counted_at_the_sink(spark):
+    manifest = spark.createDataFrame([("a", 10), ("b", 0), ("c", None), ("d", 5), ("e", 7)], "file_path string, size_bytes long")
+    listing = spark.createDataFrame([("a",), ("b",), ("c",), ("e",)], "file_path string")
+    docs = spark.createDataFrame([(x, f"{'missing folder/' if x == 'e' else ''}{x}.md", x * 3) for x in "abcde"],
+                                 "file_path string, file_name string, content string")
+    path = scratch_path(spark, "run")
+    counts = {r.status: r.n for r in transcripts.run_batch(manifest, listing, docs, path).collect()}
+    assert counts == {"invalid": 2, "success": 2, "failed": 1}
+    assert sorted(r.content for r in transcript_md.read_documents(spark, path).collect()) == ["aaa", "ccc"]
+
+
+def test_documents_are_loaded_in_the_order_of_their_paths(spark):
+    path = scratch_path(spark, "sorted")
+    names = [f"t_{i:03d}.md" for i in random.Random(4).sample(range(300), 60)]
+    transcript_md.write_documents(spark.createDataFrame(
+        [(n, f"# 转录结果\n语言: zh\n\n## 完整文本\n{n}\n\n## 时间戳段落\n  1. [0.0s - 1.0s] {n}\n")
+         for n in names], "file_name string, content string").repartition(5), path)
+    got = [r.transcript_id.rsplit("/", 1)[-1] for r in transcript_md.load_transcripts(spark, path, ordered=True).collect()]
+    assert got == sorted(names)
+
+
+def test_segment_lines(spark):
+    path = scratch_path(spark, "segments")
+    lines = ['{"transcript_id": 1, "seg_idx": 0, "text": "a", "start_time": 0, "end_time": 1.5, "confidence": null}',
+             '{"transcript_id": 1, "seg_idx": 1, "text": "b", "end_time": 3.0, "confidence": -0.25, "other": [1]}',
+             '{"transcript_id": 2}', "no json", ""]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    got = segments.read_segments(spark, path).orderBy("transcript_id", "seg_idx").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "a", 0.0, 1.5, None), (1, 1, "b", None, 3.0, -0.25),
+                                       (2, None, None, None, None, None)]
+    assert [r.line for r in segments.bad_lines(spark, path).collect()] == ["no json"]
+    assert segments.read_segments(spark, "/nonexistent/x").count() == 0
+
+
+def test_media_info(spark):
+    listing = spark.createDataFrame([("/m/v1.mp3", 1), ("/m/v2.a.wav", 2), ("/m/v3", 3)], "file_path string, size_bytes long")
+    info = spark.createDataFrame([("v1", 3.5, "u1"), ("v1", None, None), ("v2.a", None, "u2")],
+                                 "id string, duration double, webpage_url string")
+    got = {r.file_path: (r.duration, r.source_url) for r in segments.with_info(listing, info).collect()}
+    assert got == {"/m/v1.mp3": (3.5, "u1"), "/m/v2.a.wav": (None, "u2"), "/m/v3": (None, None)}
