@@ -22,27 +22,23 @@ from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.packing import pack_documents
 from tessera.llm.simhash import simhash_components
 
-#: The language stage rejects undetermined texts and predictions less sure than this.
-MIN_LANGUAGE_SCORE = 0.5
 
-
-def _identified(model: langid.LanguageModel, at: int, least: float):
+def _identified(model: langid.LanguageModel, at: int):
     def run(batches):
         for batch in batches:
-            got = [model.predict(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([lang != langid.UNDETERMINED and score >= least for lang, score in got],
-                                        pa.bool_()))
+            got = [model.predict(t)[0] for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([lang != langid.UNDETERMINED for lang in got], pa.bool_()))
 
     return run
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language: the model is trained on the labelled ones (operator 7)."""
+    """Documents of a known language, however sure: the model is trained on the labelled ones (operator 7)."""
     prepare(spark)
     model = langid.train(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))  # nothing to learn from: no language to reject
-    return docs.mapInArrow(_identified(model, docs.columns.index("text"), MIN_LANGUAGE_SCORE), docs.schema)
+    return docs.mapInArrow(_identified(model, docs.columns.index("text")), docs.schema)
 
 
 def _packed(docs: DataFrame, **own) -> DataFrame:

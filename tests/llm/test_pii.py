@@ -129,3 +129,19 @@ def test_long_tokens_are_proposed(spark):
     key = hashlib.sha512(b"x").hexdigest()
     spans = spark.createDataFrame([(f"({key}) {key * 9}",)], "t string").select(pii.candidates(F.col("t"))).first()[0]
     assert {x.s for x in spans if x.kind == "secret"} == {key, key * 9}
+
+
+def test_a_secret_needs_no_other_row(spark):
+    """Strict secret formats are found whatever else the table holds, also where nothing can be learned."""
+    secret = spark.createDataFrame([(1, "password = hunter2hunter2"), (2, "nothing here")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.detect(secret).collect()}
+    assert got[1].startswith("secret:") and got[2] == ""
+    redacted = {r.doc_id: r.text for r in stages.redact(spark, secret.selectExpr(
+        "doc_id", "text", "'en' as lang", "'s' as source", "cast(length(text) as bigint) as n_chars"), "").collect()}
+    assert "hunter2" not in redacted[1] and redacted[2] == "nothing here"
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    rows = [(1, f"card 4111 1111 1111 1111 and token AKIA{i:016d}"[:60]) for i in range(500)] + [(2, "plain words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(pii.detect(docs).collect()) == 501

@@ -38,6 +38,15 @@ def test_language_keeps_clean_documents(spark, documents):
     assert plain(stages.language(spark, documents, "")) == plain(documents.where(F.col("text").rlike(r"\p{L}")))
 
 
+def test_language_keeps_mixed_and_short_documents(spark, documents):
+    """A document between two languages, or of one word, is of a known language, if not surely of one."""
+    texts = [r.text for r in documents.where("text is not null and lang is not null").orderBy("doc_id").limit(80).collect()]
+    mixed = [(10 ** 6 + i, " ".join(w for p in zip(a.split()[:20], b.split()[:20]) for w in p), None, "s", 1)
+             for i, (a, b) in enumerate(zip(texts, texts[1:]))] + [(2 * 10 ** 6, "ok", None, "s", 2)]
+    rows = documents.unionByName(spark.createDataFrame(mixed, documents.schema))
+    assert plain(stages.language(spark, rows, "")) == plain(rows.where(F.col("text").rlike(r"\p{L}")))
+
+
 def test_exact_keeps_one_of_each(spark, documents):
     rows = documents.select("doc_id", "text").collect()
     keep = {r[0] for r in test_exact_dedup.brute(rows) if r[3]}
