@@ -11,7 +11,7 @@ blank and its text. In each task, on slices of a few hundred thousand tokens:
   the next end of either side;
 * ``Table.group_by`` counts the links of a document by id pair, and the documents of a block by pair.
 
-A block is some 16 MB of text. Spark sums the blocks' partial counts by pair and takes the highest
+A block is some 8 MB of text. Spark sums the blocks' partial counts by pair and takes the highest
 count of each A id; each block gets back the counts of the pairs it holds, and only those, by a join on
 the pair. A pair has one row a block there, so no key is hotter than the number of blocks. The documents keep
 their pairs as places in the block's list, and are completed beside the block's counts.
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,8 +44,10 @@ from tessera.llm.common import materialise, prepare
 from tessera.llm.words import WordIds, WordTable, units
 
 #: Bytes of text whose pairs are counted together, and tokens aligned at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SLICE_TOKENS = 400_000
+#: Words encoded in one call.
+CALL = 4096
 #: A document's number in a block is at most 2^24, an end in a slice far below 2^39.
 END_BITS = 39
 
@@ -82,11 +85,13 @@ class TwoTokenizers:
     def learn(self, words: list[str]) -> list[tuple[bytes, bytes, bool]]:
         """ids by A of a blank and the word, ids by B of the word, and whether both give its bytes back."""
         out = []
-        for w, a, b in zip(words, self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False),
-                           self.b.encode(words, num_threads=1)):
-            raw, a = (" " + w).encode(), a.ids
-            out.append((np.array(a, np.uint32).tobytes(), np.array(b, np.uint32).tobytes(),
-                        self.joined(a, b) == (raw, raw)))
+        for at in range(0, len(words), CALL):
+            part = words[at:at + CALL]
+            spaced = [" " + w for w in part]
+            for raw, a, b in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False),
+                                 self.b.encode(part, num_threads=1)):
+                raw, a = raw.encode(), a.ids
+                out.append((array("I", a).tobytes(), array("I", b).tobytes(), self.joined(a, b) == (raw, raw)))
         return out
 
     def joined(self, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
