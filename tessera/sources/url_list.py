@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import strip_ws
 
-URL_LIST_SCHEMA = "source_file string, url_ord bigint, url string"
+URL_LIST_SCHEMA = "source_file string, block_start bigint, line_id bigint, url_ord bigint, url string"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -36,15 +36,16 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], URL_LIST_SCHEMA)
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("line_id"),
         strip_ws(F.col("value")).alias("url"))
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
-    splits = (lines.groupBy(F.col("source_file").alias("_file"), F.col("_block").alias("_start"))
-              .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    splits = (lines.groupBy(F.col("source_file").alias("_file"), F.col("block_start").alias("_start"))
+              .agg(F.min("line_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
               .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
-    numbered = lines.join(splits, (F.col("source_file") == F.col("_file")) & (F.col("_block") == F.col("_start")))
-    return (numbered.select("source_file", (F.col("_row") - F.col("_first") + F.col("_before")).alias("url_ord"), "url")
+    numbered = lines.join(splits, (F.col("source_file") == F.col("_file")) & (F.col("block_start") == F.col("_start")))
+    return (numbered.select("source_file", "block_start", "line_id",
+                            (F.col("line_id") - F.col("_first") + F.col("_before")).alias("url_ord"), "url")
             .where((F.col("url") != F.lit("")) & ~F.col("url").startswith("#")))
 
 
