@@ -655,7 +655,9 @@ def q_url_work_list(spark, sf):
     path = scratch_path(spark, "urllist")
     u = tables.urls(spark, sf)
     url_list.write_url_list(u.orderBy("url_ord").select(F.col("url").alias("line")), path)
-    return flows.url_work_list(spark, [path], u, tables.catalogue(spark, sf), fv.DEFAULT_CHANNEL_LIMIT)
+    out = flows.url_work_list(spark, [path], u, tables.catalogue(spark, sf), fv.DEFAULT_CHANNEL_LIMIT)
+    return out.select(F.col("url_ord.list_ord").alias("list_ord"), F.col("url_ord.line").alias("url_ord"),
+                      "sub_ord", "url", "kind", "status")
 
 
 # =========================================================================================

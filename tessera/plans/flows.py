@@ -83,13 +83,13 @@ def url_work_list(spark: SparkSession, list_paths: list[str], cli_urls: DataFram
                   catalogue: DataFrame, limit: int = fv.DEFAULT_CHANNEL_LIMIT) -> DataFrame:
     """L4: URL files then CLI URLs -> route/expand -> strict host check.
 
-    Output ``(list_ord, url_ord, sub_ord, url, kind, status)`` with status
+    Output ``(url_ord, sub_ord, url, kind, status)`` with status
     'valid' or 'invalid' (the strict check of the extractor). The work is in the order of the first
-    three columns: the list, the line in it, the place in an expanded container.
+    two columns: ``url_ord`` holds the list and the line in it (``list_ord``, ``line``), ``sub_ord`` the
+    place in an expanded container.
     """
     lists = [url_list.read_url_list(spark, path) for path in list_paths] + ([cli_urls] if cli_urls is not None else [])
     keyed = expansion.url_union(*lists).withColumn("url_ord", F.struct("list_ord", F.col("url_ord").cast("bigint").alias("line")))
     routed = expansion.route(keyed.select("url_ord", "url"), catalogue, limit)
     status = F.when(U.supported_host(F.col("url")), F.lit("valid")).otherwise(F.lit("invalid"))
-    return routed.select(F.col("url_ord.list_ord").alias("list_ord"), F.col("url_ord.line").alias("url_ord"),
-                         "sub_ord", "url", "kind", status.alias("status"))
+    return routed.withColumn("status", status)
