@@ -299,12 +299,11 @@ def q_knn_ivf_recall(spark, sf):
     """T3 held against T2: recall, and the largest share of vectors read and of codes scanned."""
     vec, queries, found = _ivf_search(spark, sf)
     exact = search.knn_batch(vec, queries, fv.DEFAULT_TOP_K, "l2", round_digits=DIGITS)
-    work = exact.select("query_id", "id").join(found, ["query_id", "id"], "left").agg(
-        F.max("vectors_touched").alias("t"), F.max("codes_scanned").alias("s"))
-    total = vec.agg(F.count(F.lit(1)).alias("n"))
-    return ivf.recall(found, exact).join(F.broadcast(work)).join(F.broadcast(total)).select(
-        r6(F.col("recall")).alias("recall"), r6(F.col("t") / F.col("n")).alias("touched_share"),
-        r6(F.col("s") / F.col("n")).alias("scanned_share"))
+    total = vec.agg(F.count(F.lit(1))).scalar()
+    both = exact.select("query_id", "id").join(found, ["query_id", "id"], "left")
+    return both.agg(r6(F.count("rank") / F.count(F.lit(1))).alias("recall"),
+                    r6(F.max("vectors_touched") / total).alias("touched_share"),
+                    r6(F.max("codes_scanned") / total).alias("scanned_share"))
 
 
 # =========================================================================================

@@ -13,7 +13,8 @@ import pytest
 from tessera.plans.catalog import QUERIES
 
 # Queries whose plans may contain an Arrow/pandas step by design.
-PYTHON_ALLOWED = {"knn_batch", "knn_text_search", "search_report", "kb_search", "knn_lsh"}
+PYTHON_ALLOWED = {"knn_batch", "knn_text_search", "search_report", "kb_search", "knn_lsh",
+                  "knn_ivf_recall"}  # holds the inverted file against the batch search
 
 
 @pytest.fixture(scope="module")
