@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 # Fixed values of HTML: elements by kind.
@@ -32,6 +33,8 @@ TEXT_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td",
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
           "body": ({"head"}, set())}
+_LIMITS = {"div", "article", "section", "main", "body"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
                   r"""|!--(?:.*?-->|.*+)|[!?][^>]*+>?|/?[a-zA-Z][^>]*+(?:>|$))""", re.S)
@@ -103,6 +106,7 @@ def parse(source: str) -> Page:
     page = Page()
     closed = None
     tags, stack = page.tag, []
+    places = defaultdict(list)  # places in the stack by tag, so that no tag walks the whole stack
     run: list[str] = []
     state = {"linked": 0, "links": 0, "in_link": False}
 
@@ -136,9 +140,11 @@ def parse(source: str) -> Page:
 
     def close(i):
         flush()
-        del stack[i:]
+        while len(stack) > i:
+            places[tags[stack.pop()]].pop()
 
     stack.append(add("#page", ()))
+    places["#page"].append(0)
     at, size = 0, len(source)
     while at < size:
         lt = source.find("<", at)
@@ -173,24 +179,23 @@ def parse(source: str) -> Page:
                 at = closed.get(at, at)
         elif tag in BLOCKS:
             if ends:
-                for i in range(len(stack) - 1, 0, -1):
-                    if tags[stack[i]] == tag:
-                        close(i)
-                        state["in_link"] = False
-                        break
+                if places[tag]:
+                    close(places[tag][-1])
+                    state["in_link"] = False
                 continue
             shut, limit = CLOSES.get(tag, ({"p"}, {"table", "li", "td", "th"}))
-            shut = shut | {"p"}
-            for i in range(len(stack) - 1, 0, -1):
-                own = tags[stack[i]]
-                if own in shut or own[0] == "h" and own[1:].isdigit() and tag[0] == "h" and tag[1:].isdigit():
-                    close(i)
-                elif own in limit or own in ("div", "article", "section", "main", "body"):
-                    break
+            shut = shut | {"p"} | (_HEADINGS if tag in _HEADINGS else set())
+            # what the tag closes above the nearest element that holds it in
+            nearest = max((places[t][-1] for t in (limit | _LIMITS) - shut if places[t]), default=0)
+            above = [at_t[i] for t in shut if (i := bisect_right(at_t := places[t], nearest)) < len(at_t)]
+            if above:
+                close(min(above))
             flush()
             words = ()
             if m[3] and (found := _NAMES.findall(m[3])):
                 words = tuple(_WORD.findall(" ".join(found).lower()))
-            stack.append(add(tag, words))
+            node = add(tag, words)
+            places[tag].append(len(stack))
+            stack.append(node)
     flush()
     return page

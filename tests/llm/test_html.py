@@ -132,3 +132,26 @@ def test_elements_with_an_end_tag():
 def test_unclosed_elements_take_linear_time():
     for piece in ("<button>", "<svg>", "<template><div>", "<select><article>", "<svg></button>"):
         assert texts(piece * 50_000 + "end") == ["end"]
+
+
+def test_open_elements_take_linear_time():
+    n = 100_000
+    assert texts("<ul>" * n + "end") == ["end"]
+    assert texts("<div>" * n + "</p>" * n + "end") == ["end"]
+    assert texts("<nav>" * n + "<p>a" * n) == ["a"] * n
+    assert texts("<table><tr><td>" * n + "end") == ["end"]
+
+
+def test_what_a_tag_closes():
+    def shape(source):
+        page = parse(source)
+        return [(t, page.tag[up] if up >= 0 else None) for t, up in zip(page.tag, page.parent)][1:]
+
+    assert shape("<ul><li><p><li>") == [("ul", "#page"), ("li", "ul"), ("p", "li"), ("li", "ul")]
+    assert shape("<li><ul><li>") == [("li", "#page"), ("ul", "li"), ("li", "ul")]
+    assert shape("<h2><p><h3>") == [("h2", "#page"), ("p", "h2"), ("h3", "#page")]
+    assert shape("<p><nav><div><p><h1><nav>") == [("p", "#page"), ("nav", "#page"), ("div", "nav"), ("p", "div"), ("h1", "div"),
+                                                  ("nav", "h1")]
+    assert shape("<table><tr><td><p><table><tr><td></td><tr></table><td>") == [
+        ("table", "#page"), ("tr", "table"), ("td", "tr"), ("p", "td"), ("table", "td"), ("tr", "table"), ("td", "tr"),
+        ("tr", "table"), ("td", "tr")]
