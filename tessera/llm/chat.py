@@ -10,8 +10,9 @@ Everything is DataFrame expressions. Input: one row an event, with ``conv_id``,
   conversation that holds a third of all rows is spread like any other.
 * Order: a call whose arguments have a string value ``$<id>`` uses the result of that call. Positions
   are topological: no call before the results it uses, no result before its call, otherwise by
-  turn. Levels are found in rounds over the calls with references only (as many rounds as the
-  longest chain); calls in a cycle, or behind one, are marked.
+  turn. Levels are found in rounds over the calls with references only. Chains and trees of n calls take
+  some log2(n) rounds; where calls in a row each use several calls that wait too, a round may
+  finish one of the row. Calls in a cycle, or behind one, are marked.
 * Arguments are checked against a schema a tool: required names and JSON types.
 * JSON is canonical: object keys sorted, no blanks, text as UTF-8.
 
@@ -25,10 +26,13 @@ linked once and not marked). An empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, prepare
+from tessera.session import scratch_path
 
 #: A tool's schema: JSON type of each argument, and the required names.
 Schema = dict[str, tuple[dict[str, str], list[str]]]
@@ -59,38 +63,81 @@ def _json_text(c: Column) -> Column:
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level, at) of the calls: at is the turn before which a call can't stand.
+    """(conv_id, call_id, first, level, at, answer) of the calls: at is the turn before which a call can't stand.
 
-    ``calls``: one row a call with ``at`` (its own turn), ``answer`` (the turn of its first result) and
+    ``calls``: one row a call with ``first`` (its own turn), ``answer`` (the turn of its first result) and
     ``refs`` (ids whose results it uses). Level null: part of a cycle, or behind one.
+
+    A call is ``level = max(base, level of ref + add)`` over its pending references. Each round replaces a
+    reference to a finished call by its numbers, and a reference to a call that waits for one call only by
+    a reference to that one, so chains and trees shrink by half a round. Rounds are stored, each call once
+    finished in one of them.
     """
-    plain = calls.where(F.size("refs") == 0).select("conv_id", "call_id", F.lit(0).alias("level"), "at", "answer")
+    spark = calls.sparkSession
+    calls = materialise(calls, "chat-calls")
+    key = ["conv_id", "call_id"]
+    kept = [*key, "first", "answer"]
+    plain = calls.where(F.size("refs") == 0).select(
+        *kept, F.lit(0).cast("long").alias("level"), F.col("first").alias("at"))
     waiting = calls.where(F.size("refs") > 0)
     if waiting.isEmpty():
         return plain
-    waiting = materialise(waiting.select("conv_id", "call_id", "at", "answer", "refs"), "chat-waiting")
-    needs = waiting.select("conv_id", "call_id", F.explode("refs").alias("ref"))
     # references to calls that don't exist hold nothing up
-    known = calls.select("conv_id", F.col("call_id").alias("ref"))
-    needs = materialise(needs.join(known, ["conv_id", "ref"], "left_semi"), "chat-needs")
-    done = plain
-    while True:
-        have = done.select("conv_id", F.col("call_id").alias("ref"), "level",
-                           F.greatest("at", "answer").alias("_ref_at"))
-        state = (needs.join(have, ["conv_id", "ref"], "left").groupBy("conv_id", "call_id")
-                 .agg(F.count_if(F.col("level").isNull()).alias("_missing"), F.max("level").alias("_deepest"),
-                      F.max("_ref_at").alias("_latest")))
-        ready = (waiting.join(state, ["conv_id", "call_id"], "left").where("coalesce(_missing, 0) = 0")
-                 .join(done, ["conv_id", "call_id"], "left_anti")
-                 .select("conv_id", "call_id", F.coalesce(F.col("_deepest") + 2, F.lit(0)).alias("level"),
-                         F.greatest("at", "_latest").alias("at"), "answer"))
-        ready = materialise(ready, "chat-round")
-        if ready.isEmpty():
+    needs = waiting.select("conv_id", "call_id", F.explode("refs").alias("ref"))
+    needs = needs.join(calls.select("conv_id", F.col("call_id").alias("ref"), F.size("refs").alias("_refs"),
+                                    F.greatest("first", "answer").alias("_top")), ["conv_id", "ref"])
+    step = F.lit(2).cast("long")  # a call, its result, the next call
+    pending = F.col("_refs") > 0
+    state = (needs.groupBy(*key).agg(
+        F.max(F.when(~pending, step)).alias("_base"), F.max(F.when(~pending, F.col("_top"))).alias("_at"),
+        F.collect_list(F.when(pending, F.struct("ref", step.alias("add")))).alias("refs")))
+    state = waiting.select(*kept).join(state, key, "left").select(
+        *kept, F.coalesce("_base", F.lit(0)).alias("base"), F.greatest("first", "_at").alias("at"),
+        F.coalesce("refs", F.array().cast("array<struct<ref:string,add:bigint>>")).alias("refs"))
+
+    folder = scratch_path(spark, "chat-rounds")
+    fields = state.withColumns({"finished": F.lit(True), "round": F.lit(0)}).schema
+    for n in count():
+        state.withColumn("finished", F.size("refs") == 0).write.partitionBy("finished").parquet(f"{folder}/round={n}")
+        state = spark.read.schema(fields).parquet(folder).where(F.col("round") == n).drop("round")
+        left = {r["finished"] for r in state.select("finished").distinct().collect()}
+        if left != {True, False}:  # nothing waits, or what waits is a cycle or behind one
             break
-        done = done.unionByName(ready)
-    stuck = waiting.join(done, ["conv_id", "call_id"], "left_anti").select(
-        "conv_id", "call_id", F.lit(None).cast("int").alias("level"), "at", "answer")
-    return done.unionByName(stuck)
+        finished, waiting = state.where("finished").drop("finished"), state.where("not finished").drop("finished")
+        state = materialise(_replaced(waiting, finished), "chat-round")
+        state = _replaced(state, state.where("size(refs) <= 1"))
+    rounds = spark.read.schema(fields).parquet(folder)
+    finished = F.col("finished")
+    return plain.unionByName(rounds.where(finished | (F.col("round") == n)).select(
+        *kept, F.when(finished, F.col("base")).alias("level"),
+        F.when(finished, F.col("at")).otherwise(F.col("first")).alias("at")))
+
+
+def _replaced(calls: DataFrame, target: DataFrame) -> DataFrame:
+    """``calls`` with each reference to a row of ``target`` replaced by its numbers and its only reference, if any."""
+    key = ["conv_id", "call_id"]
+    only = F.get("refs", F.lit(0))
+    target = target.select(
+        "conv_id", F.col("call_id").alias("ref"), F.col("base").alias("_base"), F.greatest("at", "answer").alias("_top"),
+        only["ref"].alias("_ref"), only["add"].alias("_add"))
+    edges = calls.select(*key, F.explode("refs").alias("_edge")).select(
+        *key, F.col("_edge.ref").alias("ref"), F.col("_edge.add").alias("add"))
+    edges = edges.join(target, ["conv_id", "ref"], "left")
+
+    def bounded(c):  # sums along a cycle double each round; they are never used
+        return F.least(c, F.lit(1 << 40))
+
+    replaced = F.col("_base").isNotNull()
+    edges = (edges.select(*key, F.when(replaced, F.col("_ref")).otherwise(F.col("ref")).alias("ref"),
+                          bounded(F.col("add") + F.coalesce("_add", F.lit(0))).alias("add"),
+                          F.when(replaced, bounded(F.col("_base") + F.col("add"))).alias("_base"), "_top")
+             .groupBy(*key, "ref").agg(F.max("add").alias("add"), F.max("_base").alias("_base"), F.max("_top").alias("_top")))
+    found = edges.groupBy(*key).agg(
+        F.max("_base").alias("_base"), F.max("_top").alias("_top"),
+        F.collect_list(F.when(F.col("ref").isNotNull(), F.struct("ref", "add"))).alias("_refs"))
+    return calls.join(found, key, "left").select(
+        *key, "first", "answer", F.greatest("base", "_base").alias("base"), F.greatest("at", "_top").alias("at"),
+        F.coalesce("_refs", "refs").alias("refs"))
 
 
 def format_chat(events: DataFrame, schemas: Schema) -> DataFrame:
@@ -103,15 +150,14 @@ def format_chat(events: DataFrame, schemas: Schema) -> DataFrame:
     at = F.coalesce(F.col("turn"), lowest)
     calls = (rows.where("kind = 'call' and conv_id is not null and call_id is not null")
              .groupBy("conv_id", "call_id")
-             .agg(F.min(at).alias("at"), F.min_by("arguments", at).alias("_args")))
+             .agg(F.min(at).alias("first"), F.min_by("arguments", at).alias("_args")))
     answered = (rows.where("kind = 'result' and call_id is not null").groupBy("conv_id", "call_id")
                 .agg(F.min(at).alias("answer")))
     refs = F.array_distinct(F.regexp_extract_all(F.col("_args"), F.lit(r'"\$([^"\\]+)"'), F.lit(1)))
-    calls = (calls.select("conv_id", "call_id", "at", F.coalesce(refs, F.array().cast("array<string>")).alias("refs"))
+    calls = (calls.select("conv_id", "call_id", "first", F.coalesce(refs, F.array().cast("array<string>")).alias("refs"))
              .join(answered, ["conv_id", "call_id"], "left"))
-    ordered = _levels(calls).withColumnsRenamed({"at": "_at", "level": "_level", "answer": "_answer"})
-    linked = calls.select("conv_id", "call_id", F.col("at").alias("_first")).join(ordered, ["conv_id", "call_id"])
-
+    linked = _levels(calls).select("conv_id", "call_id", F.col("first").alias("_first"), F.col("at").alias("_at"),
+                                   F.col("level").cast("int").alias("_level"), F.col("answer").alias("_answer"))
     tied = rows.where("kind != 'message'").join(linked, ["conv_id", "call_id"], "left")
     none = [F.lit(None).cast(t).alias(n) for n, t in
             (("_first", "long"), ("_level", "int"), ("_at", "long"), ("_answer", "long"))]

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import json
+import random
+
+import pytest
 
 from tessera.llm import chat
 
@@ -93,3 +96,60 @@ def test_one_conversation_of_most_rows(spark):
     out = chat.format_chat(chat.conversation_events(df), chat.REPLY_TOOL).collect()
     assert len(out) == 2000 and not any(r.problem for r in out)
     assert all(r.linked_turn == r.turn - 1 for r in out if r.kind == "result")
+
+
+def levels_of(uses):
+    """Independent statement: level of each call by the calls it uses; None in a cycle or behind one."""
+    level = {}
+    while True:
+        ready = {c for c, used in uses.items() if c not in level and all(u in level for u in used if u in uses)}
+        if not ready:
+            return {c: level.get(c) for c in uses}
+        level.update({c: max((level[u] + 2 for u in uses[c] if u in uses), default=0) for c in ready})
+
+
+def checked_levels(spark, convs):
+    """Formats conversations of {call: used calls}, checks levels, order and marks; returns the number of rounds."""
+    rows = []
+    for conv, uses in convs.items():
+        for i, (c, used) in enumerate(uses.items()):
+            rows.append(call(2 * i, c, json.dumps({f"k{j}": f"${u}" for j, u in enumerate(used)}), "noop", conv))
+            rows.append(result(2 * i + 1, c, conv=conv))
+    out = formatted(spark, rows)
+    assert len(out) == len(rows)
+    for conv, uses in convs.items():
+        want = levels_of(uses)
+        own = [r for r in out if r.conv_id == conv]
+        assert {r.call_id: r.level for r in own if r.kind == "call"} == {c: v or 0 for c, v in want.items()}
+        assert {r.call_id for r in own if r.problem == "cycle"} == {c for c, v in want.items() if v is None}
+        at = {p: i for i, p in enumerate(in_order(own))}
+        assert all(at["result", u] < at["call", c] for c, used in uses.items() if want[c] is not None
+                   for u in used if u in uses)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_levels_of_random_uses(spark, seed):
+    rng = random.Random(seed)
+    convs = {}
+    for conv in range(40):
+        n = rng.randint(1, 14)
+        names = [f"c{i}" for i in range(n)]
+        rng.shuffle(names)
+        back = rng.random() < 0.3  # may have cycles
+        convs[conv] = {c: rng.sample([*(names if back else names[:i]), "gone"], rng.randint(0, min(3, i)))
+                       for i, c in enumerate(names)}
+        if rng.random() < 0.5:
+            convs[conv] = dict(sorted(convs[conv].items(), key=lambda _: rng.random()))
+    checked_levels(spark, convs)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    plain = chat._replaced
+    monkeypatch.setattr(chat, "_replaced", lambda *a: rounds.append(1) or plain(*a))
+    n = 1000
+    chain = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(n)}
+    ring = {f"r{i}": [f"r{(i + 1) % 7}"] for i in range(7)} | {"behind": ["r3"]}
+    tree = {f"t{i}": [f"t{j}" for j in (2 * i + 1, 2 * i + 2) if j < 600] for i in range(600)}
+    checked_levels(spark, {1: dict(reversed(chain.items())), 2: ring, 3: tree})
+    assert len(rounds) // 2 <= 12
