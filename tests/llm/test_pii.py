@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from cases import ODD_TEXTS, empty_documents, odd_documents
 from pyspark.sql import functions as F
@@ -145,3 +146,45 @@ def test_a_repeated_id_is_one_row_of_the_sample(spark):
     rows = [(1, f"card 4111 1111 1111 1111 and token AKIA{i:016d}"[:60]) for i in range(500)] + [(2, "plain words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert len(pii.detect(docs).collect()) == 501
+
+
+def test_many_matches_in_one_text(spark):
+    """Spans and redaction of a text with tens of thousands of matches, and every size around the blocks."""
+    def made(n):
+        parts, spans, at = [], [], 0
+        for i in range(n):
+            word = (f"a{i}@b.org", f"10.0.{i % 256}.7", f"password=x{i:09d}", f"+49 30 {i:07d}")[i % 4]
+            kind = ("email", "ip", "secret", "phone")[i % 4]
+            gap = " é𝄞 und " * (1 + i % 3)
+            parts += [gap, word]
+            spans.append((kind, at + len(gap), at + len(gap) + len(word)))
+            at += len(gap) + len(word)
+        return "".join(parts), spans
+
+    sizes = [0, 1, 2, 255, 256, 257, 513, 1025, 32_000]
+    texts = {n: made(n) for n in sizes}
+    docs = spark.createDataFrame([(n, t) for n, (t, _) in texts.items()], "doc_id long, text string")
+    rows = pii.with_spans(docs.withColumnRenamed("text", "t"), F.col("t"), pii.SpanModel())
+    began = time.time()
+    got = {r.doc_id: r for r in rows.select("doc_id", "_spans", pii.redacted(F.col("_text"), F.col("_spans")).alias("new")).collect()}
+    assert time.time() - began < 60
+    for n, (text, spans) in texts.items():
+        assert sorted((s.kind, s.start, s.end) for s in got[n]._spans) == sorted(spans)
+        out, last = [], 0
+        for kind, start, end in spans:
+            out += [text[last:start], f"[{kind.upper()}]"]
+            last = end
+        assert got[n].new == "".join(out) + text[last:]
+
+
+def test_overlaps_by_binary_search(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        edges = sorted(rng.sample(range(60), 2 * rng.randint(0, 12)))
+        spans = list(zip(edges[::2], edges[1::2]))
+        start = rng.randint(0, 59)
+        rows.append((spans, (start, start + rng.randint(1, 9))))
+    df = spark.createDataFrame(rows, "spans array<struct<start:long,end:long>>, x struct<start:long,end:long>")
+    got = [r[0] for r in df.select(pii._overlaps(F.col("x"), [F.col("spans")])).collect()]
+    assert got == [any(a < x[1] and x[0] < b for a, b in spans) for spans, x in rows]
