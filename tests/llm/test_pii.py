@@ -188,3 +188,47 @@ def test_overlaps_by_binary_search(spark):
     df = spark.createDataFrame(rows, "spans array<struct<start:long,end:long>>, x struct<start:long,end:long>")
     got = [r[0] for r in df.select(pii._overlaps(F.col("x"), [F.col("spans")])).collect()]
     assert got == [any(a < x[1] and x[0] < b for a, b in spans) for spans, x in rows]
+
+
+PLANTED = {"phone": ["(030) 1234 5678", "555-123-4567", "(212) 555 0147", "0171/2345678", "089 12345678"],
+           "email": ["john (at) mail (dot) com", "ann.lee [at] post.example.org", "kim(at)uni-x.edu"],
+           "card": ["4111.1111.1111.1111", "5500 - 0000 - 0000 - 0004"],
+           "secret": ["kD93hQx0PzLw7TnB2vRs", "Zx81mNq0LpW3vTy6RbKs9QhJc2Fd4UgE"]}
+DECOYS = ["on 2024-03-15 we", "from 1990-1995 in", "a total of 12.345.678 units", "pi is 3.14159265358979", "from 12.05.2021 on",
+          "isbn 978-3-16-148410-0", "commit 9fceb02d0ae598e95dc970b74767f19372d61af8", "the getElementByIdFromCacheEntry call",
+          "meet me (at) Berlin. Then", "row 12345678901 of", "a Donaudampfschifffahrtsgesellschaft", "page 10-12 of 1000 (2001)"]
+
+
+def planted(spark, per_form):
+    cues = ["call {} today", "it is {}, he said", "({}) and so on", "Contact: {}", "see {} for more"]
+    rows = [(kind, form, cues[i % len(cues)].format(form)) for kind, forms in PLANTED.items() for form in forms for i in range(per_form)]
+    rows += [("", d, d) for d in DECOYS for _ in range(per_form)]
+    return rows
+
+
+def check_planted(spark, rows, docs):
+    spans = {r.doc_id: r.spans for r in pii.detect(docs).where("doc_id < 0").collect()}
+    hit, wrong, n = {}, [], {}
+    for i, (kind, form, text) in enumerate(rows):
+        got = [(k, text[int(a):int(b)]) for k, a, b in (s.split(":") for s in spans[-1 - i].split(",") if s)]
+        if kind:
+            n[kind] = n.get(kind, 0) + 1
+            found = any(k == kind and form in s for k, s in got)
+            hit[kind] = hit.get(kind, 0) + found
+            if not found:
+                wrong.append(("missed", text, got))
+        elif got:
+            wrong.append(("extra", text, got))
+    recall = {k: hit[k] / n[k] for k in n}
+    extra = sum(w[0] == "extra" for w in wrong)
+    assert min(recall.values()) >= 0.8, (recall, wrong[:20])
+    assert extra <= 0.02 * sum(hit.values()), [w for w in wrong if w[0] == "extra"][:20]
+
+
+def test_other_forms_are_found(spark):
+    """Forms that no base pattern matches, and runs that only look like them: alone, and among documents."""
+    rows = planted(spark, 5)
+    own = spark.createDataFrame([(-1 - i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    check_planted(spark, rows, own)
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    check_planted(spark, rows, given.unionByName(own))
