@@ -7,26 +7,28 @@ Everything is DataFrame expressions; a row's spans are found without a shuffle.
   at its start only), so long runs cost linear time.
 * High-recall generators propose more spans, overlapping ones too: loose digit groups, spelled-out
   addresses, key-value secrets and long mixed tokens. Secrets and tokens are proposed whole, however long.
-* Boosted trees (fitted by Spark on a bounded sample) score a candidate from its format and from
+* Boosted trees (fitted by Spark on every document) score a candidate from its format and from
   the text around it. The labels do not follow the base patterns, which are always selected anyway.
-  Positive: base spans of the sample written in forms that the base patterns miss (``PHONE_FORMS``,
+  Positive: base spans of the table written in forms that the base patterns miss (``PHONE_FORMS``,
   ``CARD_FORMS``, ``MAIL_FORMS``, values of secrets without their key word), such forms of made-up numbers and names, and
   strict secret formats. Negative: made-up runs (``RUN_FORMS``: dates, ranges, decimals, long numbers;
-  digests, joined words, sentences around "at"), and the sample's own candidates whose shape no
+  digests, joined words, sentences around "at"), and the table's own candidates whose shape no
   positive form has. Candidates of such a shape are unlabelled and take no part. The made-up ones
   are there whatever the table holds. The trees are applied as nested SQL conditions, one expression per row.
-* Per kind, the threshold is the lowest score from which on the precision on the sample's
-  calibration part is at least ``PRECISION``; a kind that never reaches it adds nothing. Strict
+* Per kind, the threshold is the lowest score from which on the precision on the
+  calibration part (a quarter of the documents) is at least ``PRECISION``; a kind that never reaches it adds nothing. Strict
   secrets are chosen at any score, as the trees have not seen all lengths. Chosen
   candidates that overlap a base span or an earlier chosen one are left out.
 * A bare run of lower-case hex digits counts as a digest, not as a secret. Loose digit groups are
   proposed up to 32 characters and spelled-out addresses of at most 64 characters a part and six
   parts after the first.
 
-The sample is at most ``SAMPLE_DOCS`` documents (smallest id hashes); all else covers every row.
+Every row teaches, repeated ones each time. Examples of equal features and label are counted and
+enter the trees and thresholds once, with their number as weight.
 
-Nulls: a null text is empty. Null ids and repeated rows are returned as they are. A table
-without rows or ids is read by what the made-up examples teach. An empty table gives an empty
+Nulls: a null text is empty. Null ids and repeated rows are returned as they are; a row without an
+id is put to the trees or the calibration by its text. A table without rows is read by what the made-up
+examples teach. An empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -43,11 +45,12 @@ from pyspark.sql import functions as F
 from tessera.functions.vectors import explode_array, let
 from tessera.llm.common import materialise, prepare
 
-SAMPLE_DOCS = 20_000
 PRECISION = 0.995
 TREES, DEPTH, STEP = 10, 5, 0.5
 #: Made-up examples of each form.
 MADE_UP = 200
+#: Distinct examples of a partition of the trees' input.
+EXAMPLES_EACH = 100_000
 CONTEXT = 24
 #: Items of an array handled together, and characters of a text cut together: speed only, no effect on results.
 BLOCK, PART = 256, 4096
@@ -244,7 +247,7 @@ class SpanModel:
         return sum((w * _walk(t, value) for t, w in zip(self.trees, self.weights)), F.lit(0.0))
 
     def selects(self, x: Column) -> Column:
-        strict = x["s"].rlike(STRICT_SECRET)  # whatever the sample held
+        strict = x["s"].rlike(STRICT_SECRET)  # whatever the table held
         if not self.thresholds:
             return strict
         least = F.coalesce(*[F.when(x["kind"] == k, F.lit(t)) for k, t in self.thresholds.items()])
@@ -268,7 +271,7 @@ def _tree(node):
 def _thresholds(scored: DataFrame) -> dict[str, float]:
     """Per kind, the lowest score bin from which on the precision is high enough."""
     bins = (scored.groupBy("kind", F.floor(F.col("score") * 50).alias("bin"))
-            .agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect())
+            .agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("n")).collect())
     out = {}
     for kind in KINDS:
         good = n = 0
@@ -300,7 +303,7 @@ def _example(kind: Column, s: Column, before: Column, after: Column, good: bool
 
 
 def _rewriter(kind: str):
-    """From a base span of the sample, its examples in all forms that the base pattern misses."""
+    """From a base span of the table, its examples in all forms that the base pattern misses."""
     return lambda x: _rewritten(kind, x)
 
 
@@ -365,7 +368,7 @@ def _made_up(spark) -> DataFrame:
 
 
 def _own(x: Column, overlapping: Column) -> Column:
-    """The label of a candidate of the sample; null where it is not known."""
+    """The label of a candidate of the table; null where it is not known."""
     shapes = [f.replace("d", "0") for f in PHONE_FORMS + CARD_FORMS]
     strict, s = x["s"].rlike(STRICT_SECRET), x["s"]
     loose = x["kind"].isin("phone", "card") & ~F.regexp_replace(F.regexp_replace(s, r"^\((?=[^)]*$)", ""), "[0-9]", "0").isin(shapes)
@@ -374,38 +377,47 @@ def _own(x: Column, overlapping: Column) -> Column:
     return F.when(strict, True).when(overlapping, None).when(loose | plain, False)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-        sample_docs: int = SAMPLE_DOCS) -> SpanModel:
-    """Trees and thresholds from a sample of at most ``sample_docs`` documents."""
-    prepare(docs.sparkSession)
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    ids = (docs.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
-           .orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(sample_docs))
+def _counted(rows: DataFrame) -> DataFrame:
+    """Examples (``_order``, ``_m``) as kind, label, part and features, each distinct one once with its ``weight``."""
+    named = {f"f_{k}": v for k, v in features(F.col("x")).items()}
+    rows = rows.select("_order", "_m.x", "_m.good").select(
+        "x.kind", F.col("good").cast("double").alias("label"), F.pmod("_order", F.lit(4)).alias("_part"),
+        *[v.alias(k) for k, v in named.items()])
+    return rows.groupBy("kind", "label", "_part", *named).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def _examples(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What the documents teach, every row of them: their own candidates, and their base spans in other forms."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # one row an id, and nothing is proposed in other documents: the generators run on the aggregate
-    sample = (docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(F.broadcast(ids), "_id")
-              .groupBy("_id").agg(F.min("_text").alias("_text")))
     bases = [f"_base_{k}" for k in BASE_KINDS]
-    spans = sample.select(
-        F.xxhash64(F.col("_id").cast("string")).alias("_order"), candidates(F.col("_text")).alias("_all"),
+    spans = docs.select(F.col(id_col).cast("string").alias("_id"), text.alias("_text")).select(
+        F.xxhash64(F.coalesce("_id", "_text")).alias("_order"), candidates(F.col("_text")).alias("_all"),
         *[base_spans(F.col("_text"), k).alias(b) for k, b in zip(BASE_KINDS, bases)])
     own = F.transform("_all", lambda x: F.struct(x.alias("x"), _own(x, _overlaps(x, [F.col(b) for b in bases])).alias("good")))
     bare = F.transform(F.filter("_all", lambda x: x["s"].rlike(STRICT_SECRET)), lambda x: _example(
         F.lit("secret"), F.regexp_extract(x["s"], r"[=:][ \t]{0,3}\"?([A-Za-z0-9]{16,})\"?$", 1), F.lit(""), x["after"], True))
     other = [F.flatten(F.transform(b, _rewriter(k))) for k, b in zip(BASE_KINDS, bases) if k != "ip"]
     kept = F.filter(F.concat(own, *other, F.filter(bare, lambda e: ~e["x"]["s"].rlike("^[0-9a-f]*$"))), lambda m: m["good"].isNotNull())
-    rows = explode_array(spans.select("_order", kept.alias("_ms")), "_ms", "_at", "_m").select("_order", "_m")
-    rows = rows.unionByName(_made_up(docs.sparkSession)).select("_order", "_m.x", "_m.good")
-    named = features(F.col("x"))
-    rows = materialise(rows.select(
-        "_order", "x.kind", F.col("good").cast("double").alias("label"), F.pmod("_order", F.lit(4)).alias("_part"),
-        *[v.alias(f"f_{k}") for k, v in named.items()]).repartition(8), "pii-sample")
-    vectors = VectorAssembler(inputCols=[f"f_{k}" for k in named], outputCol="features")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, cacheNodeIds=False).fit(
-        vectors.transform(rows.where("_part > 0").orderBy("_order", "kind", "label", *[f"f_{k}" for k in named]).coalesce(4)))
+    return explode_array(spans.select("_order", kept.alias("_ms")), "_ms", "_at", "_m").select("_order", "_m")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SpanModel:
+    """Trees and thresholds from every document."""
+    prepare(docs.sparkSession)
+    # each stored by a job of its own: a projection over their union would be planned and compiled twice at once
+    taught = [materialise(_counted(rows), "pii-examples")
+              for rows in (_examples(docs, id_col, text_col), _made_up(docs.sparkSession))]
+    rows = taught[0].unionByName(taught[1])
+    named = [c for c in rows.columns if c.startswith("f_")]
+    vectors = VectorAssembler(inputCols=named, outputCol="features")
+    own = rows.where("_part > 0")
+    # partitions follow the data alone, so that the same table gives the same trees
+    own = own.repartition(max(4, -(-own.count() // EXAMPLES_EACH)), *named).sortWithinPartitions("kind", "label", "_part", *named, "weight")
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, cacheNodeIds=False, weightCol="weight").fit(
+        vectors.transform(own))
     model = SpanModel([_tree(t._java_obj.rootNode()) for t in trees.trees], list(trees.treeWeights))
-    score = model.of([F.col(f"f_{k}") for k in named].__getitem__)
-    model.thresholds = _thresholds(rows.where("_part = 0").select("kind", "label", score.alias("score")))
+    score = model.of([F.col(k) for k in named].__getitem__)
+    model.thresholds = _thresholds(rows.where("_part = 0").select("kind", "label", "weight", score.alias("score")))
     return model
 
 

@@ -232,3 +232,20 @@ def test_other_forms_are_found(spark):
     check_planted(spark, rows, own)
     given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     check_planted(spark, rows, given.unionByName(own))
+
+
+def test_every_document_teaches(spark, monkeypatch):
+    """Examples of all rows, of more than twenty thousand documents and of repeated and null ids."""
+    stored, store = [], pii.materialise
+
+    def kept(df, name):
+        stored.append(store(df, name))
+        return stored[-1]
+
+    monkeypatch.setattr(pii, "materialise", kept)
+    n = 20_500
+    docs = spark.range(n).selectExpr("case when id % 10 = 0 then null when id % 10 = 1 then 7 else id end as doc_id",
+                                     "concat('a password=x', lpad(id, 9, '0'), ' b') as text")
+    pii.fit(docs)
+    strict = stored[0].where("kind = 'secret' and label = 1 and f_equals = 1")
+    assert strict.agg(F.sum("weight")).first()[0] == n
