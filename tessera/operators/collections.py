@@ -56,6 +56,9 @@ class KnowledgeBase:
         df.write.parquet(self.log.folder(folder))
         return folder
 
+    def _staged(self, df: DataFrame) -> DataFrame:
+        return self.spark.read.schema(df.schema).parquet(self.log.folder(self._stage(df)))
+
     # ---- registry -----------------------------------------------------------------
     def _events(self, document: dict) -> DataFrame:
         paths = [self.log.folder(e["folder"]) for e in document.get("registry", {}).values()]
@@ -187,13 +190,17 @@ class KnowledgeBase:
     def _append(self, items: DataFrame, collection, batch: str, *, keyed: bool = False, rebalance: bool = False,
                 dedupe_on: list[str] | None = None) -> None:
         rows = to_rows(items, batch, collection.alias("collection"))
-        if rebalance:
-            rows = rows.hint("rebalance", F.col("collection"))
         seen, document = self.log.latest()
         if dedupe_on:
             # stored first: its keys are read several times, and equal items are told apart by their ids
-            rows = self._batch_rows([self._write_rows(rows)]).drop("batch")
-            rows = self._unseen(rows, document, dedupe_on)
+            rows = self._staged(rows.withColumn("collection", F.nullif("collection", F.lit(""))))
+            # only ids and keys are compared; whole rows are moved once, and only if some are to be added
+            new = self._staged(self._unseen(rows, document, dedupe_on))
+            if new.isEmpty():
+                return
+            rows = rows.join(new, "id", "left_semi")
+        elif rebalance:
+            rows = rows.hint("rebalance", F.col("collection"))
         folder = self._write_rows(rows)
         written = self._batch_rows([folder])
         if written.isEmpty() and not (keyed and batch in document.get("batches", {})):
@@ -221,24 +228,22 @@ class KnowledgeBase:
         return folder
 
     def _unseen(self, rows: DataFrame, document: dict, keys: list[str]) -> DataFrame:
-        """Rows whose keys no stored row of their collection has; of equal ones the first id.
+        """Ids of the rows whose keys no stored row of their collection has; of equal ones the first id.
 
         Batches that carry a filter of the same keys are read only for the rows that their filter may hold.
         """
         on = ["collection", *keys]
-        first = rows.groupBy(*on).agg(F.min("id").alias("id"))
-        rows = rows.join(first.select("id"), "id", "left_semi")
+        known = rows.groupBy(*on).agg(F.min("id").alias("id"))
         batches = document.get("batches", {}).values()
         filtered = [b for b in batches if b.get("dedupe_on") == keys]
         stored = self._visible(document, [b for b in batches if b.get("dedupe_on") != keys])
-        known = rows.select("id", *on)
         held = _match(known, stored, on)
         if filtered:
             filters = self.spark.read.schema(FILTER_SCHEMA).parquet(*[self.log.folder(b["filter"]) for b in filtered])
             probable = probable_keys(known, filters, on)
             hits = known.join(probable, "id", "left_semi")
             held = held.unionByName(_match(hits, self._visible(document, filtered), on))
-        return rows.join(held.distinct(), "id", "left_anti")
+        return known.join(held.distinct(), "id", "left_anti").select("id")
 
     def _visible(self, document: dict, batches) -> DataFrame:
         """The rows of these batches that count."""

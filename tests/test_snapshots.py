@@ -144,3 +144,14 @@ def test_key_filter_has_no_false_negative_and_few_positives(spark):
     assert filters.count() <= collections.FILTER_PARTS
     assert probable_keys(other, filters.limit(0), ["collection", "text"]).count() == 0
     assert probable_keys(rows.where(F.lit(False)), filters, ["collection", "text"]).count() == 0
+
+
+def test_append_of_known_rows_moves_and_writes_no_rows(spark):
+    kb = KnowledgeBase(spark, scratch_path(spark, "kb"))
+    rows = items(spark, ["a", "b", "b", ""]).withColumn("collection", F.when(F.col("text") != "", F.col("text")))
+    batches = []
+    for _ in range(2):
+        kb.append_by_column(rows, "collection", dedupe_on=["text_key"])
+        batches.append(sum(f.startswith("batch=") for f in os.listdir(f"{kb.root}/data".removeprefix("file:"))))
+    assert sorted((r.text, r.collection) for r in kb.all_rows().collect()) == [("", None), ("a", "a"), ("b", "b")]
+    assert batches == [1, 1]
