@@ -84,25 +84,29 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
     return F.lit(1.0) - F.try_divide(dot(a, b), denom)
 
 
-# Longest literal query expanded into per-dimension terms (keeps generated
-# code well under the JVM's method size limit).
+# Longest query that is written into the plan as a literal.
 MAX_EXPANDED_DIM = 256
 
 
 def squared_l2_to(v: Column | str, query: list[float]) -> Column:
-    """Squared L2 distance from ``v`` to a known query vector.
+    """Squared L2 distance from ``v`` to a known query vector; NULL when the vector has another dimension.
 
-    Written as a fixed sum over dimensions (``element_at`` terms), which
-    whole-stage code generation compiles, unlike lambda-based array
-    functions.  NULL when the vector has another dimension.
+    The query is one array literal, and the terms are computed once and then added in order. Taken from the
+    vector one by one in generated code, they make a method that the JVM does not compile, and cast the whole
+    vector for every term.
     """
-    x = _col(v).cast("array<double>")
-    terms = [(F.element_at(x, i + 1) - F.lit(float(qv))) * (F.element_at(x, i + 1) - F.lit(float(qv)))
-             for i, qv in enumerate(query)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return F.when(F.size(x) == F.lit(len(query)), total)
+    x, q = _col(v), F.array(*[F.lit(float(qv)) for qv in query])
+
+    def term(e: Column, i: Column) -> Column:
+        return (e.cast("double") - F.get(q, i)) * (e.cast("double") - F.get(q, i))
+
+    def added(terms: Column) -> Column:
+        total = F.get(terms, F.lit(0))
+        for i in range(1, len(query)):
+            total = total + F.get(terms, F.lit(i))
+        return total
+
+    return F.when(F.size(x) == F.lit(len(query)), let(F.transform(x, term), added))
 
 
 def distance(a: Column | str, b: Column | str, metric: str = "l2") -> Column:

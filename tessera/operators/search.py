@@ -44,8 +44,7 @@ def knn_topk(vectors: DataFrame, query, k: int = fv.DEFAULT_TOP_K, metric: str =
     """T2, one query: the k rows nearest to ``query``; equal distances are ordered by ``ties``, then the id.
 
     ``query`` is a scalar array Column (a literal or a scalar subquery), or a
-    list of floats; a short list under the L2 metric is expanded into a fixed
-    per-dimension sum that runs in generated code.
+    list of floats; a short list under the L2 metric is one literal of the plan.
     """
     from tessera.functions.vectors import MAX_EXPANDED_DIM, squared_l2_to
 

@@ -59,7 +59,7 @@ def search_knowledge_base(kb: KnowledgeBase, query_text: str, k: int = fv.DEFAUL
 
     The query vector (one row, its size bounded by the dimension) is
     embedded by Spark and brought to the driver, so the distance can be
-    written as a fixed per-dimension expression over the collection.
+    written over the collection with the query as a literal.
     """
     spark = kb.spark
     row = embedding.embed_text(spark, query_text, embedder).select("embedding").first()

@@ -206,3 +206,14 @@ def test_inverted_file_with_a_hot_list_and_few_rows(spark):
     small = ivf.train(few, 8)
     out = ivf.probe(ivf.build(few, small, scratch_path(spark, "ivf")), small, queries.limit(1), 5, n_probe=8, rerank=5)
     assert sorted(r.id for r in out.collect()) == [1, 3]
+
+
+def test_distance_to_a_known_query_casts_a_vector_once(spark):
+    q = [float(i) / 7 for i in range(64)]
+    df = spark.createDataFrame([([float(i) for i in range(64)],), ([1.0],), ([None] * 64,)], "v array<float>")
+    got = df.select(V.squared_l2_to("v", q).alias("d"))
+    want = 0.0
+    for i in range(64):
+        want += (float(i) - q[i]) * (float(i) - q[i])
+    assert [r.d for r in got.collect()] == [want, None, None]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("cast(") <= 4  # not twice a dimension
