@@ -149,28 +149,23 @@ def token_bucket(w: Column, dim: int) -> Column:
 def hash_embedding(text: Column | str, dim: int = DEFAULT_HASH_DIM) -> Column:
     """Feature-hashing embedding: token counts per bucket, L2-normalised.
 
-    Counting avoids a per-bucket scan with a lambda: the buckets are sorted,
-    and the count of each distinct bucket is the distance between its first
-    position and the next distinct bucket's first position.
+    The buckets are sorted and written one after the other; a run of equal ones is one match of a
+    pattern, and its length is the count, so counting takes one pass over the text of the buckets.
     """
     buckets = F.sort_array(F.transform(tokens(text), lambda w: token_bucket(w, dim)))
-    return let(buckets, lambda bs: let(_dense_counts(bs, dim), _normalize_bound))
-
-
-def _dense_counts(buckets: Column, dim: int) -> Column:
-    def from_distinct(uniq: Column) -> Column:
-        n_uniq = F.size(uniq)
-        counts = F.transform(
-            uniq,
-            lambda b, i: F.when(i + 1 < n_uniq,
-                                F.array_position(buckets, F.try_element_at(uniq, i + 2)))
-            .otherwise(F.size(buckets) + 1) - F.array_position(buckets, b))
-        return let(F.map_from_arrays(uniq, counts.cast("array<double>")),
-                   lambda by_bucket: F.transform(
-                       F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda d: F.coalesce(F.try_element_at(by_bucket, d), F.lit(0.0))))
-
-    return let(F.array_distinct(buckets), from_distinct)
+    written = F.concat(F.array_join(buckets, ","), F.lit(","))
+    runs = F.regexp_extract_all(written, F.lit(r"(\d+,)\1*+"), F.lit(0))
+    return let(let(runs, lambda rs: _dense_counts(rs, dim)), _normalize_bound)
+
+
+def _dense_counts(runs: Column, dim: int) -> Column:
+    """Counts of the buckets 0 to ``dim`` - 1 from runs such as ``7,7,7,``."""
+    uniq = F.transform(runs, lambda r: F.substring_index(r, ",", 1).cast("int"))
+    counts = F.transform(runs, lambda r: F.length(r) / F.locate(",", r))
+    return let(F.map_from_arrays(uniq, counts),
+               lambda by_bucket: F.transform(
+                   F.sequence(F.lit(0), F.lit(dim - 1)),
+                   lambda d: F.coalesce(F.try_element_at(by_bucket, d), F.lit(0.0))))
 
 
 def explode_array(df, array_col, pos_name: str, value_name: str, *keep):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -217,3 +220,15 @@ def test_distance_to_a_known_query_casts_a_vector_once(spark):
         want += (float(i) - q[i]) * (float(i) - q[i])
     assert [r.d for r in got.collect()] == [want, None, None]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("cast(") <= 4  # not twice a dimension
+
+
+def test_buckets_are_counted_in_one_pass(spark):
+    words = [f"w{i % 7}" for i in range(500)] + ["w11", "w100"]
+    df = spark.createDataFrame([(" ".join(words),), ("",), (" ,",)], "t string").coalesce(1)
+    got = df.select(V.hash_embedding("t").alias("e"))
+    counts = [0] * 64
+    for w in words:
+        counts[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64] += 1
+    length = math.sqrt(sum(c * c for c in counts))
+    assert [r.e for r in got.collect()] == [[c / length for c in counts], [0.0] * 64, [0.0] * 64]
+    assert "array_position" not in got._jdf.queryExecution().optimizedPlan().toString()
