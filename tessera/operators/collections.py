@@ -35,6 +35,9 @@ FILTER_BITS = 12
 FILTER_HASHES = 6
 FILTER_SCHEMA = "part bigint, bits binary"
 
+#: Files from this size on are rewritten by ``compact`` as they are read; the rows of smaller ones are brought together.
+LARGE_FILE = 16 << 20
+
 ROW_COLUMNS = [
     ("id", "string"), ("text", "string"), ("text_key", "string"),
     ("embedding", "array<float>"), ("model_name", "string"), ("dimension", "int"),
@@ -123,12 +126,17 @@ class KnowledgeBase:
         return self.drop_many(self.spark.createDataFrame([(name,)], "name string"))
 
     # ---- rows ---------------------------------------------------------------------
-    def _batch_rows(self, folders: list[str]) -> DataFrame:
+    def _batch_rows(self, folders: list[str], large: bool | None = None) -> DataFrame:
+        """The rows of these folders; with ``large`` those of the large files only, or of the others."""
         schema = ", ".join(f"{c} {t}" for c, t in ROW_COLUMNS) + ", collection string, batch string"
         if not folders:
             return self.spark.createDataFrame([], schema)
-        return (self.spark.read.option("basePath", f"{self.root}/data").schema(schema)
+        rows = (self.spark.read.option("basePath", f"{self.root}/data").schema(schema)
                 .parquet(*[self.log.folder(f) for f in folders]))
+        if large is None:
+            return rows
+        size = F.col("_metadata.file_size")  # files of the other kind are not opened
+        return rows.where(size >= LARGE_FILE if large else size < LARGE_FILE)
 
     def _last_drops(self, document: dict) -> DataFrame:
         return self._events(document).where("op = 'drop'").groupBy("name").agg(F.max("seq").alias("_dropped"))
@@ -137,17 +145,17 @@ class KnowledgeBase:
         """The rows of every collection, of the latest or an earlier version."""
         return self._rows_of(self.log.latest()[1] if version is None else self.log.document(version))
 
-    def _rows_of(self, document: dict) -> DataFrame:
+    def _rows_of(self, document: dict, large: bool | None = None) -> DataFrame:
         batches = list(document.get("batches", {}).values())
         last = document.get("drops", 0)
-        rows = self._batch_rows([b["folder"] for b in batches if b["at"] > last])
+        rows = self._batch_rows([b["folder"] for b in batches if b["at"] > last], large)
         older = [b for b in batches if b["at"] <= last]
         if not older:
             return rows
         # a row counts if it was committed after its collection's last drop
         placed = self.spark.createDataFrame([(b["folder"].split("=", 1)[1], b["at"]) for b in older], "batch string, _at bigint")
         drops = self._last_drops(document).withColumnRenamed("name", "collection")
-        kept = (self._batch_rows([b["folder"] for b in older]).join(placed, "batch").join(drops, "collection", "left")
+        kept = (self._batch_rows([b["folder"] for b in older], large).join(placed, "batch").join(drops, "collection", "left")
                 .where(F.col("_dropped").isNull() | (F.col("_at") > F.col("_dropped"))))
         return rows.unionByName(kept.select(rows.columns))
 
@@ -224,7 +232,8 @@ class KnowledgeBase:
 
     def _write_rows(self, rows: DataFrame) -> str:
         folder = f"batch={uuid.uuid4().hex}"
-        rows.write.partitionBy("collection").parquet(self.log.folder(folder))
+        # texts take up most of a batch: a third less to write and keep than with the default codec
+        rows.write.option("compression", "zstd").partitionBy("collection").parquet(self.log.folder(folder))
         return folder
 
     def _unseen(self, rows: DataFrame, document: dict, keys: list[str]) -> DataFrame:
@@ -251,7 +260,10 @@ class KnowledgeBase:
         return self._rows_of({**document, "batches": own})
 
     def compact(self, settled: bool = False) -> int:
-        """Rewrite the rows that count as one rebalanced batch, put in place by one commit.
+        """Rewrite the rows that count as one batch, put in place by one commit.
+
+        Only rows of small files are shuffled, to bring those of a collection together: a large file holds
+        rows of one collection and gives as large files again.
 
         Batches of ``write_batch`` may be replayed and stay as they are, unless ``settled`` says that none
         will be. Writes and drops that are committed meanwhile keep their effect.
@@ -260,8 +272,8 @@ class KnowledgeBase:
         old = {k: b for k, b in document.get("batches", {}).items() if settled or not b["keyed"]}
         if not old:
             return base
-        rows = self._rows_of({**document, "batches": old}).drop("batch").hint("rebalance", F.col("collection"))
-        folder = self._write_rows(rows)
+        large, small = (self._rows_of({**document, "batches": old}, which).drop("batch") for which in (True, False))
+        folder = self._write_rows(large.unionByName(small.hint("rebalance", F.col("collection"))))
         entry = {"folder": folder, "keyed": False, "at": base}
 
         def change(now, d):

@@ -155,3 +155,19 @@ def test_append_of_known_rows_moves_and_writes_no_rows(spark):
         batches.append(sum(f.startswith("batch=") for f in os.listdir(f"{kb.root}/data".removeprefix("file:"))))
     assert sorted((r.text, r.collection) for r in kb.all_rows().collect()) == [("", None), ("a", "a"), ("b", "b")]
     assert batches == [1, 1]
+
+
+def test_compaction_moves_rows_of_small_files_only(spark, monkeypatch):
+    kb = KnowledgeBase(spark, scratch_path(spark, "kb"))
+    for n in (3, 400, 5):
+        kb.append_by_column(spark.range(n).selectExpr(f"sha2(concat('{n}/', id), 256) as text", "concat('c', id % 2) as collection"), "collection")
+    kb.drop("c1")
+    kb.append_by_column(items(spark, ["x"], collection="c1"), "collection")
+    want = sorted(map(tuple, kb.all_rows().select("id", "text", "collection").collect()))
+    document = kb.log.latest()[1]
+    sizes = [os.path.getsize(f.removeprefix("file://")) for f in kb.all_rows().inputFiles()]
+    monkeypatch.setattr(collections, "LARGE_FILE", sorted(sizes)[-2])  # the two files of the batch of 400
+    large, small = kb._rows_of(document, True), kb._rows_of(document, False)
+    assert large.count() == 200 and large.count() + small.count() == len(want)
+    kb.compact()
+    assert sorted(map(tuple, kb.all_rows().select("id", "text", "collection").collect())) == want
