@@ -40,6 +40,8 @@ from tessera.session import memo_column
 # Marks split points for separators longer than one character (so that
 # matches are taken left to right without overlap, as a regex split does).
 _SPLIT_MARK = "\u0000"
+# Pieces packed at a time, at least (a longer text takes the root of its number of pieces).
+_PACK_BLOCK = 256
 
 __all__ = ["with_pieces", "with_chunks", "chunk_transcripts", "estimate_times", "chars_per_second",
            "chunk_metadata_columns", "guarded_overlap", "min_chunk_size", "strip_ws"]
@@ -154,16 +156,33 @@ def _part(array: Column, first: Column, count: Column) -> Column:
 
 
 def _pack(pieces: Column, size: int, overlap: int) -> Column:
-    """Greedy packing of final pieces into chunks: first piece, number of pieces, offset."""
+    """Greedy packing of final pieces into chunks: first piece, number of pieces, offset.
+
+    Adding a chunk to an array copies the chunks before it.  So the pieces are taken in blocks of
+    about the root of their number: a chunk added copies those of its block alone, and the blocks
+    so far are copied once a block.
+    """
+    no_chunks = F.array().cast("array<struct<a:int,n:int,off:int>>")
 
     def with_lens(lens: Column) -> Column:
-        items = F.transform(pieces, lambda p, i: F.struct(
-            F.length(p["s"]).alias("len"), p["g"].alias("g"), i.alias("i")))
+        n = F.size(lens)
+        block = F.greatest(F.lit(_PACK_BLOCK), F.ceil(F.sqrt(n)).cast("int"))
+        firsts = (F.when(n > 0, F.sequence(F.lit(0), n - 1, block))
+                  .when(n == 0, F.array().cast("array<int>")))
         init = F.struct(
-            F.array().cast("array<struct<a:int,n:int,off:int>>").alias("chunks"),
+            F.array().cast("array<array<struct<a:int,n:int,off:int>>>").alias("blocks"),
             F.lit(0).alias("a"), F.lit(0).alias("off"), F.lit(0).alias("total"),
             F.lit(None).cast("string").alias("g"))
 
+        def state(head: Column, acc: Column) -> Column:
+            return F.struct(head, *[acc[f].alias(f) for f in ("a", "off", "total", "g")])
+
+        def pack_block(acc: Column, first: Column) -> Column:
+            items = F.transform(F.sequence(first, F.least(first + block, n) - 1), lambda i: F.struct(
+                F.get(lens, i).alias("len"), F.get(pieces, i)["g"].alias("g"), i.alias("i")))
+            return F.aggregate(items, state(no_chunks.alias("chunks"), acc), merge, lambda st: state(
+                F.array_append(acc["blocks"], st["chunks"]).alias("blocks"), st))
+
         def emit(acc: Column, end: Column) -> Column:
             return F.when(acc["total"] > 0, F.array_append(
                 acc["chunks"], F.struct(acc["a"].alias("a"), (end - acc["a"]).alias("n"), acc["off"].alias("off")))
@@ -205,7 +224,8 @@ def _pack(pieces: Column, size: int, overlap: int) -> Column:
                     .when(overflow, let(pop(acc, x), flushed))
                     .otherwise(grown))
 
-        return F.aggregate(items, init, merge, lambda acc: emit(acc, F.size(lens)))
+        return F.aggregate(firsts, init, pack_block, lambda acc: emit(
+            state(F.flatten(acc["blocks"]).alias("chunks"), acc), n))
 
     return let(F.transform(pieces, lambda p: F.length(p["s"])), with_lens)
 

@@ -110,6 +110,44 @@ def test_time_grows_with_the_text(spark):
     assert large <= 2.5 * small, (small, large)
 
 
+def test_packing_time_grows_with_the_pieces(spark):
+    """Four times the pieces in one row take at most 8 times as long to pack."""
+    import time
+
+    def seconds(n):
+        piece = F.struct(F.repeat(F.lit("x"), 500).alias("s"), F.lit(0).alias("k"), F.lit("").alias("g"),
+                         F.lit(True).alias("done"))
+        df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: piece).alias("p")).cache()
+        df.count()
+        best = 1e9
+        for _ in range(2):
+            began = time.time()
+            spans = df.select(F.size(chunking._pack(F.col("p"), 1000, 200))).first()[0]
+            best = min(best, time.time() - began)
+        assert spans == n // 2
+        return best
+
+    seconds(1_000)
+    small, large = seconds(10_000), seconds(40_000)
+    assert large <= 8 * small, (small, large)
+
+
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_packing_in_blocks_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(chunking, "_PACK_BLOCK", block)
+    rnd = random.Random(block)
+    alphabet = ["a", "b", " ", "。", "，", "！", "x", "\n", "\n\n", "？"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(n)) for n in (0, 1, 7, 49, 300, 1500, 3000, 6000)]
+    df = spark.createDataFrame([(t,) for t in texts + [None]], "t string")
+    out = f"ch{block}"                                     # a name of its own: expressions are kept by name
+    for r in chunking.with_chunks(df, "t", out, 25, 6).collect():
+        if r.t is None:
+            assert r[out] is None
+            continue
+        assert [c.s for c in r[out]] == brute.recursive_split(r.t, list(fv.SEPARATORS), 25, 6)
+        assert all(r.t[c.off:c.off + len(c.s)] == c.s for c in r[out])
+
+
 def test_times_by_offset_tell_repeats_apart(spark):
     text = "".join(f"同一段话在这里重复出现，没有任何不同。{'啊' * 80}" for _ in range(30))
     df = spark.createDataFrame([(1, "zh", text, 1, 0.0, 100.0)], "transcript_id long, language string, "
